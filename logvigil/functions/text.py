@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from logvigil.constants import LEVELS
 
 # everything Python's str.strip() removes, as a Java character class
-BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+BLANK = r"[\p{IsWhite_Space}\x1C-\x1F]"
 
 
 def strip(c: Column) -> Column:
@@ -41,10 +41,8 @@ def flag_list(pairs: Iterable[tuple[Column, Column | str]]) -> Column:
 
 def level_rank(c: Column) -> Column:
     """0..4 for an exact level name, 0 for anything else."""
-    rank = F.lit(0)
-    for i, name in enumerate(LEVELS):
-        rank = F.when(strip(c) == name, F.lit(i)).otherwise(rank)
-    return rank
+    place = F.array_position(F.array(*[F.lit(n) for n in LEVELS]), strip(c))
+    return F.greatest(F.coalesce(place, F.lit(0)) - 1, F.lit(0)).cast("int")
 
 
 def level_name(rank: Column) -> Column:

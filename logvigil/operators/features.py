@@ -90,7 +90,8 @@ def burst_spans(rows: DataFrame, keys: list[str], bursts: dict[str, tuple[int, i
         .withColumn("far", F.explode(F.array(F.lit(False), F.lit(True))))
         .withColumn("rank_us", F.when(F.col("far"), -F.col("ts_us")).otherwise(F.col("ts_us")))
     )
-    group = [*keys, "burst", "cell", "far"]
+    # the number first: it settles most comparisons of the sort by itself
+    group = ["cell", *keys, "burst", "far"]
     most = max(events for events, _ in bursts.values())
     ends = (
         slim.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("rank_us")))
