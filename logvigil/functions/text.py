@@ -49,10 +49,19 @@ def level_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in LEVELS]), (rank + 1).cast("int"))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` written once.
+
+    A filter on a derived column is rewritten in terms of its inputs, so a
+    column named many times in its own definition would multiply.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def tidy_level(c: Column) -> Column:
     """Level name whatever its letter case; unknown or missing becomes None."""
-    name = F.initcap(F.lower(strip(c)))
-    return F.when(name.isin(*LEVELS), name).otherwise(F.lit("None"))
+    names = F.create_map(*[F.lit(x) for n in LEVELS for x in (n.lower(), n)])
+    return F.coalesce(F.try_element_at(names, F.lower(strip(c))), F.lit("None"))
 
 
 def first_seen(values: Column) -> Column:

@@ -8,7 +8,7 @@ from logvigil.constants import (
     LARGE_TRANSFER_BYTES, OUTLIER_SIGNAL, PORT_PROTOCOLS, PROTOCOL_SIGNAL, REASON_POINTS,
     SERVICE_SIGNAL, SERVICE_TERMS, TRANSFER_SIGNAL,
 )
-from logvigil.functions.text import contains_any, flag_list, strip
+from logvigil.functions.text import bind, contains_any, flag_list, strip
 from logvigil.operators.normalise import check_columns
 
 
@@ -23,39 +23,51 @@ def protocol_mismatch(port: Column, protocol: Column) -> Column:
 
 def threat_level(score: Column) -> Column:
     """T7."""
-    return (
-        F.when(score <= 0, "None").when(score <= 24, "Low").when(score <= 49, "Medium")
-        .when(score <= 74, "High").otherwise("Critical")
+    return bind(
+        score,
+        lambda s: F.when(s <= 0, "None").when(s <= 24, "Low").when(s <= 49, "Medium")
+        .when(s <= 74, "High").otherwise("Critical"),
     )
 
 
-def _signals(columns: list[str]) -> list[tuple[Column, int, str]]:
-    reasons = F.coalesce("anomaly_reasons", F.array().cast("array<string>"))
-    out = [
-        (F.array_contains(reasons, reason), points, label)
-        for reason, (points, label) in REASON_POINTS.items()
-    ]
+def _event_signals(columns: list[str]) -> list[tuple[Column, int, str]]:
+    """T2..T5: signals beside the anomaly reasons, in output order."""
     protocol = F.col("protocol") if "protocol" in columns else F.lit(None).cast("string")
     port = F.col("dst_port") if "dst_port" in columns else F.lit(0)
     kind = F.col("event_type") if "event_type" in columns else F.lit("")
     amount = F.col("bytes_transferred") if "bytes_transferred" in columns else F.lit(0.0)
-    out.append((protocol_mismatch(port, protocol), *PROTOCOL_SIGNAL))
-    out.append((F.col("ml_is_anomaly"), *OUTLIER_SIGNAL))
-    out.append((contains_any(F.lower(kind), SERVICE_TERMS), *SERVICE_SIGNAL))
-    out.append((amount > LARGE_TRANSFER_BYTES, *TRANSFER_SIGNAL))
-    return out
+    return [
+        (protocol_mismatch(port, protocol), *PROTOCOL_SIGNAL),
+        (F.coalesce("ml_is_anomaly", F.lit(False)), *OUTLIER_SIGNAL),
+        (contains_any(F.lower(kind), SERVICE_TERMS), *SERVICE_SIGNAL),
+        (F.coalesce(amount > LARGE_TRANSFER_BYTES, F.lit(False)), *TRANSFER_SIGNAL),
+    ]
 
 
 def score_threats(detected: DataFrame) -> DataFrame:
-    """Add threat_score (0..100), threat_level and threat_signals."""
+    """Add threat_score (0..100), threat_level and threat_signals.
+
+    A reason counts once however often it is listed; missing reasons are none.
+    """
     check_columns(detected, ("is_anomaly", "ml_is_anomaly", "anomaly_reasons"))
-    signals = _signals(detected.columns)
-    total = F.lit(0)
-    for fired, points, _ in signals:
-        total = total + F.when(fired, points).otherwise(0)
-    score = F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
+    reasons = F.coalesce("anomaly_reasons", F.array().cast("array<string>"))
+    known = F.array(*[F.lit(r) for r in REASON_POINTS])
+    points = F.create_map(*[F.lit(x) for r, (p, _) in REASON_POINTS.items() for x in (r, p)])
+    labels = F.create_map(*[F.lit(x) for r, (_, t) in REASON_POINTS.items() for x in (r, t)])
+    signals = _event_signals(detected.columns)
+
+    total = F.aggregate(
+        F.array_intersect(known, reasons), F.lit(0), lambda s, r: s + F.element_at(points, r)
+    )
+    for fired, extra, _ in signals:
+        total = total + F.when(fired, extra).otherwise(0)
+    named = F.transform(F.array_intersect(known, reasons), lambda r: F.element_at(labels, r))
     return (
-        detected.withColumn("threat_score", score)
+        detected
+        .withColumn("threat_score", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int"))
         .withColumn("threat_level", threat_level(F.col("threat_score")))
-        .withColumn("threat_signals", flag_list((fired, label) for fired, _, label in signals))
+        .withColumn(
+            "threat_signals",
+            F.concat(named, flag_list((fired, label) for fired, _, label in signals)),
+        )
     )
