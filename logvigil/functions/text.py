@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logvigil.constants import LEVELS
 
@@ -49,13 +49,15 @@ def level_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in LEVELS]), (rank + 1).cast("int"))
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` written once.
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, however often they are used later.
 
-    A filter on a derived column is rewritten in terms of its inputs, so a
-    column named many times in its own definition would multiply.
+    Spark writes a projected column out again wherever a later filter or
+    projection names it; the rows of a generator it leaves alone.  Filters on
+    the other columns still move below it.
     """
-    return F.transform(F.array(value), body)[0]
+    fresh = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], fresh)
 
 
 def tidy_level(c: Column) -> Column:

@@ -7,21 +7,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logvigil.constants import COLUMN_ALIASES, REQUIRED_LOG_COLUMNS
-from logvigil.functions.text import strip
+from logvigil.functions.text import settle, strip
 
 BAD_TIMESTAMP = "Unable to parse one or more timestamp values"
 
-# --- fixed values: accepted date layouts, month-first before day-first ---
+# --- fixed values: accepted date layouts by the shape of the text; within a
+# shape month-first comes before day-first ---
 _CLOCK = "[ H:mm[:ss[.SSSSSS]]]"
 _CLOCK_12 = " h:mm[:ss] a"
-MONTH_FIRST = (
-    f"M/d/yyyy{_CLOCK}", f"M/d/yyyy{_CLOCK_12}", f"M-d-yyyy{_CLOCK}", f"M.d.yyyy{_CLOCK}",
-    f"yyyy/M/d{_CLOCK}", f"d MMM yyyy{_CLOCK}", f"d-MMM-yyyy{_CLOCK}", f"MMM d, yyyy{_CLOCK}",
-    f"d MMMM yyyy{_CLOCK}", f"MMMM d, yyyy{_CLOCK}",
-)
-DAY_FIRST = (
-    f"d/M/yyyy{_CLOCK}", f"d/M/yyyy{_CLOCK_12}", f"d-M-yyyy{_CLOCK}", f"d.M.yyyy{_CLOCK}",
-)
+LAYOUTS = {
+    r"^\d{1,2}/\d{1,2}/\d{4} .*[AaPp][Mm]$": (f"M/d/yyyy{_CLOCK_12}", f"d/M/yyyy{_CLOCK_12}"),
+    r"^\d{1,2}/\d{1,2}/\d{4}": (f"M/d/yyyy{_CLOCK}", f"d/M/yyyy{_CLOCK}"),
+    r"^\d{1,2}-\d{1,2}-\d{4}": (f"M-d-yyyy{_CLOCK}", f"d-M-yyyy{_CLOCK}"),
+    r"^\d{1,2}[.]\d{1,2}[.]\d{4}": (f"M.d.yyyy{_CLOCK}", f"d.M.yyyy{_CLOCK}"),
+    r"^\d{4}/": (f"yyyy/M/d{_CLOCK}",),
+    r"^\d{1,2} [A-Za-z]": (f"d MMM yyyy{_CLOCK}", f"d MMMM yyyy{_CLOCK}"),
+    r"^\d{1,2}-[A-Za-z]": (f"d-MMM-yyyy{_CLOCK}",),
+    r"^[A-Za-z]": (f"MMM d, yyyy{_CLOCK}", f"MMMM d, yyyy{_CLOCK}"),
+}
 
 
 def column_mapping(columns: Sequence[str]) -> dict[str, str]:
@@ -81,12 +84,17 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip(F.col(f"`{c}`")) for c in strings})
 
 
-def parse_timestamp(text: Column) -> Column:
-    """ISO or month-first, then day-first for what is left; else null."""
-    value = strip(text)
-    iso = F.when(value.rlike(r"^\d{4}(-|$)"), value.try_cast("timestamp"))
-    patterns = [F.try_to_timestamp(value, F.lit(p)) for p in (*MONTH_FIRST, *DAY_FIRST)]
-    return F.coalesce(iso, *patterns)
+def parse_timestamp(value: Column) -> Column:
+    """ISO or month-first, then day-first for what is left; else null.
+
+    ``value`` is trimmed.  Its shape selects the two or so layouts that can
+    match, so a row is not tried against all of them.
+    """
+    parsed = F.when(value.rlike(r"^\d{4}(-|$)"), value.try_cast("timestamp"))
+    for shape, layouts in LAYOUTS.items():
+        tried = [F.try_to_timestamp(value, F.lit(layout)) for layout in layouts]
+        parsed = parsed.when(value.rlike(shape), F.coalesce(*tried))
+    return parsed
 
 
 def to_bytes(c: Column) -> Column:
@@ -103,19 +111,22 @@ def _typed(df: DataFrame) -> DataFrame:
     renamed = rename_columns(df)
     check_columns(renamed)
     clean = trim_strings(renamed)
-    raw = F.col("timestamp")
+    raw, have = F.col("timestamp"), set(clean.columns)
     if isinstance(clean.schema["timestamp"].dataType, T.StringType):
-        parsed, bad = parse_timestamp(raw), (raw != "") & parse_timestamp(raw).isNull()
+        timed = settle(clean.withColumnRenamed("timestamp", "_time"),
+                       {"timestamp": parse_timestamp(F.col("_time"))})
+        bad = (F.col("_time") != "") & raw.isNull()
     else:
-        parsed, bad = raw.cast("timestamp"), F.lit(False)
-    have = set(clean.columns)
-    return clean.withColumns({
+        timed = clean.withColumns({"_time": F.lit(""), "timestamp": raw.cast("timestamp")})
+        bad = F.lit(False)
+    typed = timed.withColumns({
         "_bad": F.coalesce(bad, F.lit(False)),
-        "timestamp": parsed,
         "bytes_transferred":
             to_bytes(F.col("bytes_transferred")) if "bytes_transferred" in have else F.lit(0.0),
         "dst_port": to_port(F.col("dst_port")) if "dst_port" in have else F.lit(0),
     })
+    added = [c for c in ("bytes_transferred", "dst_port") if c not in have]
+    return typed.select(*[F.col(f"`{c}`") for c in clean.columns], *added, "_bad")
 
 
 def normalise_logs(df: DataFrame) -> DataFrame:

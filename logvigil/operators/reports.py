@@ -20,6 +20,21 @@ def strip_fence(raw: Column) -> Column:
     return strip(F.regexp_replace(opened, r"```\z", ""))
 
 
+def _document(text: Column) -> Column:
+    """The JSON value of a text, or null if it is not one value and nothing else.
+
+    Spark's parser stops at the end of the first value; inside an array and
+    inside an object anything that follows it shows.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    closed = F.try_parse_json(F.concat(F.lit('{"report":'), text, F.lit(',"end":0}')))
+    alone = (
+        F.try_variant_get(listed, "$[1]", "variant").isNull()
+        & F.try_variant_get(closed, "$.end", "int").isNotNull()
+    )
+    return F.when(alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _type_of(field: str) -> str:
     return f"schema_of_variant(variant_get(_doc, '$.{field}'))"
 
@@ -68,9 +83,9 @@ def parse_reports(raw: DataFrame, author: str = REPORT_AUTHOR) -> DataFrame:
     A faulty report has null report columns.
     """
     available = F.col("rag_available") if "rag_available" in raw.columns else F.lit(None)
-    parsed = raw.withColumn(
-        "_doc", F.try_parse_json(strip_fence(F.col("raw_report")))
-    ).withColumn("report_error", _report_error())
+    parsed = raw.withColumn("_doc", _document(strip_fence(F.col("raw_report")))).withColumn(
+        "report_error", _report_error()
+    )
     sound = F.col("report_error").isNull()
     text = lambda f: F.expr(f"try_variant_get(_doc, '$.{f}', 'string')")
     listed = lambda f: F.expr(f"try_variant_get(_doc, '$.{f}', '{STRINGS}')")

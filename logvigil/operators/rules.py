@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logvigil.constants import SCAN_PORTS, SPIKE_FACTOR, SPIKE_MIN_EVENTS
 from logvigil.functions.network import cross_border
 from logvigil.functions.skew import UNIT
-from logvigil.functions.text import flag_list
+from logvigil.functions.text import flag_list, settle
 from logvigil.operators.features import CONTEXT_COLUMNS, hour_of_day, with_source_context
 from logvigil.operators.normalise import check_columns, to_bytes, to_port
 
@@ -65,9 +65,8 @@ def apply_rules(context: DataFrame, zone: str = "UTC") -> DataFrame:
     """
     if "ml_is_anomaly" not in context.columns:
         context = context.withColumn("ml_is_anomaly", F.lit(False))
-    return (
-        context.withColumn("anomaly_reasons", anomaly_reasons(zone))
-        .withColumn("is_anomaly", F.col("ml_is_anomaly") | (F.size("anomaly_reasons") > 0))
+    return settle(context, {"anomaly_reasons": anomaly_reasons(zone)}).withColumn(
+        "is_anomaly", F.col("ml_is_anomaly") | (F.size("anomaly_reasons") > 0)
     )
 
 

@@ -8,7 +8,7 @@ from logvigil.constants import (
     LARGE_TRANSFER_BYTES, OUTLIER_SIGNAL, PORT_PROTOCOLS, PROTOCOL_SIGNAL, REASON_POINTS,
     SERVICE_SIGNAL, SERVICE_TERMS, TRANSFER_SIGNAL,
 )
-from logvigil.functions.text import bind, contains_any, flag_list, strip
+from logvigil.functions.text import contains_any, flag_list, settle, strip
 from logvigil.operators.normalise import check_columns
 
 
@@ -23,10 +23,9 @@ def protocol_mismatch(port: Column, protocol: Column) -> Column:
 
 def threat_level(score: Column) -> Column:
     """T7."""
-    return bind(
-        score,
-        lambda s: F.when(s <= 0, "None").when(s <= 24, "Low").when(s <= 49, "Medium")
-        .when(s <= 74, "High").otherwise("Critical"),
+    return (
+        F.when(score <= 0, "None").when(score <= 24, "Low").when(score <= 49, "Medium")
+        .when(score <= 74, "High").otherwise("Critical")
     )
 
 
@@ -62,12 +61,8 @@ def score_threats(detected: DataFrame) -> DataFrame:
     for fired, extra, _ in signals:
         total = total + F.when(fired, extra).otherwise(0)
     named = F.transform(F.array_intersect(known, reasons), lambda r: F.element_at(labels, r))
-    return (
-        detected
-        .withColumn("threat_score", F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int"))
-        .withColumn("threat_level", threat_level(F.col("threat_score")))
-        .withColumn(
-            "threat_signals",
-            F.concat(named, flag_list((fired, label) for fired, _, label in signals)),
-        )
-    )
+    score = F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
+    labels_fired = F.concat(named, flag_list((fired, label) for fired, _, label in signals))
+    return settle(detected, {"threat_score": score}).withColumn(
+        "threat_level", threat_level(F.col("threat_score"))
+    ).withColumn("threat_signals", labels_fired)

@@ -74,7 +74,7 @@ def kb_documents(spark, sf_dir):
 def kb_upsert(spark, sf_dir):
     """Every third document comes again with new text, some documents are new."""
     docs = kb_documents(spark, sf_dir).withColumn("document", F.col("id")).drop("embedding")
-    number = F.substring("id", 2, 8).cast("int")
+    number = F.regexp_extract("id", "[0-9]+", 0).cast("int")
     again = docs.where(number % 3 == 0).withColumn("document", F.concat(F.lit("new "), "id"))
     extra = docs.withColumn("id", F.concat(F.lit("x"), "id"))
     new = again.unionByName(extra)

@@ -70,7 +70,7 @@ def owned_detail(spark, sf_dir):
     children = load(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("inv-"), "l_orderkey").alias(INV), F.col("l_linenumber").alias("event_id")
     )
-    return store.detail_children(table, children, "user7", "inv-7").select(INV, "event_id")
+    return store.detail_children(table, children, "user7", "inv-30").select(INV, "event_id")
 
 
 def after_delete(spark, sf_dir):
@@ -86,7 +86,7 @@ def after_versioned_delete(spark, sf_dir):
     """I6 on the stored table: the survivors become its next version."""
     table = VersionedTable(spark, scratch_path(spark, "investigations"), ("user_id",))
     table.replace(stored(spark, sf_dir))
-    table.replace(store.without(table.read(), "user7", "inv-7"))
+    table.replace(store.without(table.read(), "user7", "inv-30"))
     return table.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("investigations"))
 
 
@@ -220,12 +220,12 @@ CHECKS = {
         SELECT user_id, count(*) AS total, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages FROM stored GROUP BY ALL"""),
     "owned_detail": (owned_detail, _STORED + """
         SELECT 'inv-' || l_orderkey AS investigation_id, l_linenumber AS event_id FROM lineitem
-        WHERE l_orderkey = 7 AND EXISTS (SELECT 1 FROM stored WHERE k = 7 AND user_id = 'user7')"""),
+        WHERE l_orderkey = 30 AND EXISTS (SELECT 1 FROM stored WHERE k = 30 AND user_id = 'user7')"""),
     "after_delete": (after_delete, _STORED + """
         SELECT investigation_id, user_id FROM stored WHERE NOT (k % 13 = 0 AND high_threat_count % 2 = 0)"""),
     "after_versioned_delete": (after_versioned_delete, _STORED + """
         SELECT user_id, count(*) AS investigations FROM stored
-        WHERE NOT (user_id = 'user7' AND k = 7) GROUP BY ALL"""),
+        WHERE NOT (user_id = 'user7' AND k = 30) GROUP BY ALL"""),
     "filename_contains": (filename_filter, _STORED + """
         SELECT investigation_id, filename FROM stored WHERE contains(lower(filename), 'urgent')"""),
     "recent_totals": (recent_totals, _STORED + """

@@ -8,7 +8,7 @@ from logvigil.constants import (
     BINARY_MAGIC, BINARY_SAMPLE_BYTES, COLUMN_ALIASES, MAX_FILE_BYTES, MAX_TEXT_CHARS,
     REQUIRED_LOG_COLUMNS, UPLOAD_SOURCES,
 )
-from logvigil.functions.text import strip
+from logvigil.functions.text import settle, strip
 
 INV = "investigation_id"
 PASTED_NAME = "pasted-text"
@@ -136,11 +136,9 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     rejected documents with the reason.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lined = documents.withColumn("_lines", _records(text)).withColumn(
-        "_header",
-        F.when(F.size("_lines") > 0, F.transform(
-            _fields(F.get("_lines", F.lit(0))), lambda c: F.lower(strip(c)))),
-    )
+    lined = settle(documents, {"_lines": _records(text)})
+    first = _fields(F.get("_lines", F.lit(0)))
+    lined = settle(lined, {"_header": F.transform(first, lambda c: F.lower(strip(c)))})
     # position of the column that serves each canonical name, 0 when there is none
     places = {}
     for canonical, aliases in COLUMN_ALIASES.items():
@@ -149,7 +147,7 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
             spot = F.array_position("_header", name)
             at = F.when(spot > 0, spot).otherwise(at)
         places[f"_at_{canonical}"] = F.coalesce(at, F.lit(0).cast("bigint"))
-    placed = lined.withColumns(places)
+    placed = settle(lined, places)
     missing = F.array_join(F.array_compact(F.array(*[
         F.when(F.col(f"_at_{c}") == 0, F.lit(c)) for c in REQUIRED_LOG_COLUMNS
     ])), ", ")
@@ -159,16 +157,15 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
         .when(too_long, "Unable to parse pasted CSV log text")
         .when(missing != "", F.concat(F.lit("Missing required columns: "), missing))
     )
-    checked = placed.withColumn("reject_reason", reason)
+    checked = settle(placed, {"reject_reason": reason})
     rejected = checked.where(F.col("reject_reason").isNotNull()).select(INV, "reject_reason")
 
     rows = (
         checked.where(F.col("reject_reason").isNull())
         .select(INV, "_header", *places, F.posexplode(F.expr("slice(_lines, 2, size(_lines))"))
                 .alias("line_number", "_line"))
-        .withColumn("_cells", _fields(F.col("_line")))
-        .withColumn("_cells", F.transform("_cells", missing_to_null))
     )
+    rows = settle(rows, {"_cells": F.transform(_fields(F.col("_line")), missing_to_null)})
     used = F.array(*[F.col(p) for p in places])
     extra = F.map_from_entries(F.filter(
         F.transform("_header", lambda name, i: F.when(
