@@ -34,9 +34,12 @@ def contains_any(c: Column, terms: Iterable[str]) -> Column:
 
 
 def flag_list(pairs: Iterable[tuple[Column, Column | str]]) -> Column:
-    """Array of the values whose condition holds, in the given order."""
+    """Array of the values whose condition holds, in the given order.
+
+    The nulls go by array_except, which unlike array_compact is compiled.
+    """
     items = [F.when(cond, F.lit(value)) for cond, value in pairs]
-    return F.array_compact(F.array(*items))
+    return F.array_except(F.array(*items), F.array(F.lit(None).cast("string")))
 
 
 def level_rank(c: Column) -> Column:

@@ -23,20 +23,31 @@ def _smallest(links: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(pairs: DataFrame, unit: int) -> DataFrame:
+def _with_smallest(links: DataFrame, smallest: DataFrame, unit: int, total: int) -> DataFrame:
+    """Links with the smallest neighbour of ``u``; heavy nodes are cut in slices.
+
+    No node has more links than there are in all, so a graph below ``unit``
+    links needs no search for heavy ones.
+    """
+    lookup = smallest.select(INV, "u", "m")
+    if total <= unit:
+        return links.join(lookup, [INV, "u"])
+    return balanced_join(links, lookup, [INV, "u"], weights=smallest, weight="links",
+                         row_id=["v"], how="inner", unit=unit)
+
+
+def _large_star(pairs: DataFrame, unit: int, total: int) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     back = pairs.select(INV, F.col("v").alias("u"), F.col("u").alias("v"))
     smallest = _smallest(pairs.unionByName(back))
-    joined = balanced_join(back, smallest.select(INV, "u", "m"), [INV, "u"], weights=smallest,
-                           weight="links", row_id=["v"], how="inner", unit=unit)
+    joined = _with_smallest(back, smallest, unit, total)
     return joined.select(INV, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(pairs: DataFrame, unit: int) -> DataFrame:
+def _small_star(pairs: DataFrame, unit: int, total: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     smallest = _smallest(pairs)
-    joined = balanced_join(pairs, smallest.select(INV, "u", "m"), [INV, "u"], weights=smallest,
-                           weight="links", row_id=["v"], how="inner", unit=unit)
+    joined = _with_smallest(pairs, smallest, unit, total)
     return (
         joined.where(F.col("v") != F.col("m"))
         .select(INV, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -45,10 +56,25 @@ def _small_star(pairs: DataFrame, unit: int) -> DataFrame:
     )
 
 
-def _fingerprint(pairs: DataFrame) -> tuple:
-    return tuple(
-        pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(INV, "u", "v"))).first()
+def _state(pairs: DataFrame) -> tuple[int, bool]:
+    """Number of links, and whether they are separate stars.
+
+    The steps keep what is connected connected.  So once every node has one
+    link at most to a smaller one, and no such node is itself linked to, each
+    star is a whole component around its smallest node.
+    """
+    ends = pairs.select(INV, F.explode(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(False).alias("centre")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(True).alias("centre")),
+    )).alias("e")).select(INV, "e.*")
+    per_node = ends.groupBy(INV, "node").agg(
+        F.sum("up").alias("up"), F.bool_or("centre").alias("centre")
     )
+    links, unsettled = per_node.agg(
+        F.coalesce(F.sum("up"), F.lit(0)),
+        F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & F.col("centre"))),
+    ).first()
+    return links, unsettled == 0
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -63,13 +89,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame, unit: int = UNIT) -
         .select(INV, F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
         .distinct()
     )
-    before = _fingerprint(pairs)
     for _ in range(MAX_ROUNDS):
-        pairs = cut_lineage(_small_star(_large_star(pairs, unit), unit))
-        after = _fingerprint(pairs)
-        if after == before:
+        links, settled = _state(pairs)
+        if settled:
             break
-        before = after
+        # neither step makes more links than it gets, counted in both directions
+        total = 2 * links
+        pairs = cut_lineage(_small_star(_large_star(pairs, unit, total), unit, total))
     else:
         raise RuntimeError("connected components did not settle")
     stars = pairs.select(INV, F.col("u").alias("node_id"), F.col("v").alias("component"))

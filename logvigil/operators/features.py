@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from logvigil.constants import (
     BRUTE_EVENTS, BRUTE_SECONDS, FAILED_TERMS, RAPID_EVENTS, RAPID_SECONDS,
 )
+from logvigil.functions.network import cross_border
 from logvigil.functions.skew import UNIT, balanced_join
 from logvigil.functions.text import contains_any
 
@@ -72,51 +73,51 @@ def burst_spans(rows: DataFrame, keys: list[str], bursts: dict[str, tuple[int, i
     from one pass: the rows of the far end are ordered by negated time, and the
     row limit is applied before the shuffle.
     """
-    size, width = F.lit(None), F.lit(None)
-    for name, (events, seconds) in bursts.items():
-        size = F.when(F.col("burst") == name, F.lit(events)).otherwise(size)
-        width = F.when(F.col("burst") == name, F.lit(seconds * 1_000_000)).otherwise(width)
-    cell = F.lit(None).cast("long")
-    for name, (_, seconds) in bursts.items():
-        cell = F.when(
-            F.col("burst") == name, whole_steps(F.col("ts_us"), seconds * 1_000_000)
-        ).otherwise(cell)
-
-    for key in [*keys, "ts_us"]:
-        rows = rows.where(F.col(key).isNotNull())
+    by_name = lambda values: "case burst " + " ".join(
+        f"when '{name}' then {value}" for name, value in values.items()) + " end"
+    widths = {name: seconds * 1_000_000 for name, (_, seconds) in bursts.items()}
+    size = by_name({name: events for name, (events, _) in bursts.items()})
+    cell = by_name({n: f"(ts_us - pmod(ts_us, {w}L)) div {w}L" for n, w in widths.items()})
+    most = max(events for events, _ in bursts.values())
+    known = " and ".join(f"{c} is not null" for c in [*keys, "ts_us"])
+
     slim = (
-        rows.select(*keys, "ts_us", F.explode("burst").alias("burst"))
-        .withColumn("cell", cell)
-        .withColumn("far", F.explode(F.array(F.lit(False), F.lit(True))))
-        .withColumn("rank_us", F.when(F.col("far"), -F.col("ts_us")).otherwise(F.col("ts_us")))
+        rows.where(known)
+        .selectExpr(*keys, "ts_us", "explode(burst) as burst")
+        .selectExpr("*", f"{cell} as cell", "explode(array(false, true)) as far")
     )
     # the number first: it settles most comparisons of the sort by itself
-    group = ["cell", *keys, "burst", "far"]
-    most = max(events for events, _ in bursts.values())
-    ends = (
-        slim.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("rank_us")))
-        .where(F.col("_n") <= most)
-        .where(F.col("_n") <= size - F.col("far").cast("int"))
-        .groupBy(*group)
-        .agg(F.sort_array(F.collect_list("ts_us")).alias("times"))
+    group = Window.partitionBy("cell", *keys, "burst", "far").orderBy(
+        F.expr("if(far, -ts_us, ts_us)")
     )
+    # the place of each time in its end: t1, t2, ... from the border outwards
+    places = [F.max(F.expr(f"if(far and _n = {i}, ts_us, null)")).alias(f"b{i}")
+              for i in range(1, most)]
+    places += [F.max(F.expr(f"if(not far and _n = {i}, ts_us, null)")).alias(f"a{i}")
+               for i in range(1, most + 1)]
+    before = ", ".join(f"b{i}" for i in range(most - 1, 0, -1))
+    after = ", ".join(f"a{i}" for i in range(1, most + 1))
     borders = (
-        ends.withColumn("border", F.col("cell") + F.col("far").cast("long"))
+        slim.withColumn("_n", F.row_number().over(group))
+        .where(F.col("_n") <= most)
+        .where(f"_n <= {size} - int(far)")
+        .withColumn("border", F.expr("cell + int(far)"))
         .groupBy(*keys, "burst", "border")
-        .agg(
-            F.flatten(F.collect_list(F.when(F.col("far"), F.col("times")))).alias("before"),
-            F.flatten(F.collect_list(F.when(~F.col("far"), F.col("times")))).alias("after"),
+        .agg(*places)
+        .selectExpr(
+            *keys, "burst", "border", f"{size} as size", f"{by_name(widths)} as width",
+            f"array_compact(array({before})) as before", f"array_compact(array({after})) as after",
         )
-        .withColumns({"size": size, "width": width.cast("long")})
-        .withColumn("run", F.concat("before", F.expr("slice(after, 1, size - 1)")))
+        .where("size(after) >= size or (size(before) + size(after) >= size and size(before) > 0)")
+        .selectExpr("*", "concat(before, slice(after, 1, size - 1)) as run")
     )
-    return borders.select(*keys, "burst", F.explode(F.expr("""concat(
+    return borders.selectExpr(*keys, "burst", """explode(concat(
         if(size(after) >= size,
            array(struct(border * width as lo, border * width + width - 1 as hi)), array()),
         if(size(run) >= size,
            filter(transform(sequence(1, size(run) - size + 1),
                             i -> struct(run[i - 1] as lo, run[i + size - 2] as hi)),
-                  s -> s.hi - s.lo <= width), array()))""")).alias("span")
+                  s -> s.hi - s.lo <= width), array()))) as span""",
     ).select(*keys, "burst", "span.lo", "span.hi")
 
 
@@ -149,7 +150,7 @@ def _spans_by_hour(spans: DataFrame, names: list[str], zone: str) -> DataFrame:
 def source_profile(events: DataFrame) -> DataFrame:
     """events, mean bytes and distinct ports of each source."""
     return (
-        events.where(F.col("src_ip").isNotNull())
+        events.where("investigation_id is not null and src_ip is not null")
         .groupBy(*SOURCE)
         .agg(
             F.count(F.lit(1)).alias("source_events"),
@@ -171,7 +172,7 @@ def hourly_counts(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """events per source and clock hour."""
     return (
         _keyed(events, zone)
-        .where(F.col("src_ip").isNotNull())
+        .where("investigation_id is not null and src_ip is not null")
         .groupBy(*SOURCE, "hour")
         .agg(F.count(F.lit(1)).alias("source_hour_events"))
     )
@@ -196,11 +197,13 @@ def with_source_context(events: DataFrame, zone: str = "UTC", unit: int = UNIT)
     """Each event with the ledger of its source and hour.
 
     Adds source_events, source_mean_bytes, source_ports, source_hour_events and
-    the flags in_rapid_burst and in_brute_burst.  Events without a source match
+    the flags in_rapid_burst, in_brute_burst and is_abroad.  Events without a source match
     nothing.
     """
+    # the address test is the costliest rule: below the join it runs once per event
+    keyed = _keyed(events, zone).withColumn("is_abroad", cross_border("dst_ip"))
     joined = balanced_join(
-        _keyed(events, zone), source_ledger(events, zone), [*SOURCE, "hour"],
+        keyed, source_ledger(events, zone), [*SOURCE, "hour"],
         weights=hourly_counts(events, zone), weight="source_hour_events",
         row_id=["event_id"], unit=unit,
     )
@@ -217,13 +220,11 @@ def with_source_context(events: DataFrame, zone: str = "UTC", unit: int = UNIT)
         "in_brute_burst": is_failed(F.col("event_type")) & inside("brute"),
     }
     out = joined.withColumns(added).drop("hour", "ts_us", "rapid", "brute")
-    new = ["source_events", "source_mean_bytes", "source_ports", "source_hour_events",
-           "in_rapid_burst", "in_brute_burst"]
-    return out.select(*events.columns, *new)
+    return out.select(*events.columns, *CONTEXT_COLUMNS)
 
 
 CONTEXT_COLUMNS = ["source_events", "source_mean_bytes", "source_ports", "source_hour_events",
-                   "in_rapid_burst", "in_brute_burst"]
+                   "in_rapid_burst", "in_brute_burst", "is_abroad"]
 
 
 def feature_vector(zone: str = "UTC") -> Column:

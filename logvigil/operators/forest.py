@@ -99,7 +99,10 @@ def _fit(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 def fit_forests(sample: DataFrame, seed: int = SEED) -> DataFrame:
     """One row per investigation holding all its trees as flat arrays."""
-    return sample.groupBy(INV).applyInPandas(lambda pdf: _fit(pdf, seed), FOREST_SCHEMA)
+    # a sample is small but slow to fit: keep AQE from packing many into one task
+    parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = sample.repartition(parts, INV)
+    return spread.groupBy(INV).applyInPandas(lambda pdf: _fit(pdf, seed), FOREST_SCHEMA)
 
 
 def _score_block(x: np.ndarray, model: dict) -> np.ndarray:
@@ -167,7 +170,10 @@ def outlier_cutoffs(scored: DataFrame, contamination: float = CONTAMINATION) ->
 def isolation_forest(context: DataFrame, zone: str = "UTC", seed: int = SEED,
                      contamination: float = CONTAMINATION, unit: int = UNIT) -> DataFrame:
     """Set ``ml_is_anomaly`` on events that carry their source context."""
-    rows = context.drop("ml_is_anomaly").withColumn("features", feature_vector(zone))
+    # read three times below: written once, so the source context is joined once
+    rows = cut_lineage(
+        context.drop("ml_is_anomaly").withColumn("features", feature_vector(zone))
+    )
     weights = rows.groupBy(INV).agg(F.count(F.lit(1)).alias("events"))
     forests = fit_forests(training_sample(rows, seed), seed)
     scored = cut_lineage(score_events(rows, forests, weights))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logvigil.constants import SCAN_PORTS, SPIKE_FACTOR, SPIKE_MIN_EVENTS
 from logvigil.functions.network import cross_border
 from logvigil.functions.skew import UNIT
-from logvigil.functions.text import flag_list, settle
+from logvigil.functions.text import flag_list
 from logvigil.operators.features import CONTEXT_COLUMNS, hour_of_day, with_source_context
 from logvigil.operators.normalise import check_columns, to_bytes, to_port
 
@@ -53,8 +53,12 @@ RULE_ORDER = ("AMOUNT_SPIKE", "RAPID_SUCCESSION", "OFF_HOURS", "ROUND_BYTES", "N
 
 
 def anomaly_reasons(zone: str = "UTC") -> Column:
-    """The reasons that hold, in rule order."""
-    rules = {**stateless_rules(zone), **source_rules()}
+    """The reasons that hold, in rule order.
+
+    The address test was made before the events met their source context, so
+    all rules here are comparisons.
+    """
+    rules = {**stateless_rules(zone), **source_rules(), "CROSS_BORDER": F.col("is_abroad")}
     return flag_list((rules[name], name) for name in RULE_ORDER)
 
 
@@ -65,7 +69,7 @@ def apply_rules(context: DataFrame, zone: str = "UTC") -> DataFrame:
     """
     if "ml_is_anomaly" not in context.columns:
         context = context.withColumn("ml_is_anomaly", F.lit(False))
-    return settle(context, {"anomaly_reasons": anomaly_reasons(zone)}).withColumn(
+    return context.withColumn("anomaly_reasons", anomaly_reasons(zone)).withColumn(
         "is_anomaly", F.col("ml_is_anomaly") | (F.size("anomaly_reasons") > 0)
     )
 

@@ -8,17 +8,20 @@ from logvigil.constants import (
     LARGE_TRANSFER_BYTES, OUTLIER_SIGNAL, PORT_PROTOCOLS, PROTOCOL_SIGNAL, REASON_POINTS,
     SERVICE_SIGNAL, SERVICE_TERMS, TRANSFER_SIGNAL,
 )
-from logvigil.functions.text import contains_any, flag_list, settle, strip
+from logvigil.functions.text import contains_any, flag_list, strip
 from logvigil.operators.normalise import check_columns
 
 
 def protocol_mismatch(port: Column, protocol: Column) -> Column:
     """A named protocol that is not the one expected on a known port."""
-    named = F.upper(strip(protocol))
-    wrong = F.lit(False)
-    for number, expected in PORT_PROTOCOLS.items():
-        wrong = wrong | ((port == number) & ~named.isin(*expected))
-    return F.coalesce((named != "") & wrong, F.lit(False))
+    expected = F.create_map(*[
+        x for number, names in PORT_PROTOCOLS.items()
+        for x in (F.lit(number), F.array(*[F.lit(n) for n in names]))
+    ])
+    named = F.upper(F.coalesce(strip(protocol), F.lit("")))
+    # a blank protocol is as expected as any
+    fitting = F.array_contains(F.array_append(F.try_element_at(expected, port), F.lit("")), named)
+    return ~F.coalesce(fitting, F.lit(True))
 
 
 def threat_level(score: Column) -> Column:
@@ -50,19 +53,16 @@ def score_threats(detected: DataFrame) -> DataFrame:
     """
     check_columns(detected, ("is_anomaly", "ml_is_anomaly", "anomaly_reasons"))
     reasons = F.coalesce("anomaly_reasons", F.array().cast("array<string>"))
-    known = F.array(*[F.lit(r) for r in REASON_POINTS])
-    points = F.create_map(*[F.lit(x) for r, (p, _) in REASON_POINTS.items() for x in (r, p)])
-    labels = F.create_map(*[F.lit(x) for r, (_, t) in REASON_POINTS.items() for x in (r, t)])
-    signals = _event_signals(detected.columns)
-
-    total = F.aggregate(
-        F.array_intersect(known, reasons), F.lit(0), lambda s, r: s + F.element_at(points, r)
-    )
-    for fired, extra, _ in signals:
-        total = total + F.when(fired, extra).otherwise(0)
-    named = F.transform(F.array_intersect(known, reasons), lambda r: F.element_at(labels, r))
+    signals = [
+        (F.array_contains(reasons, reason), points, label)
+        for reason, (points, label) in REASON_POINTS.items()
+    ] + _event_signals(detected.columns)
+    total = F.lit(0)
+    for fired, points, _ in signals:
+        total = total + F.when(fired, points).otherwise(0)
     score = F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int")
-    labels_fired = F.concat(named, flag_list((fired, label) for fired, _, label in signals))
-    return settle(detected, {"threat_score": score}).withColumn(
-        "threat_level", threat_level(F.col("threat_score"))
-    ).withColumn("threat_signals", labels_fired)
+    return (
+        detected.withColumn("threat_score", score)
+        .withColumn("threat_level", threat_level(F.col("threat_score")))
+        .withColumn("threat_signals", flag_list((fired, label) for fired, _, label in signals))
+    )
