@@ -188,22 +188,31 @@ def read_log_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """S1, S3..S5 for a folder of uploads with differing headers.
 
     Each accepted file becomes one investigation.  Returns the raw log rows and
-    the rejected files with the reason.  A file is at most ``MAX_FILE_BYTES``
-    large, so reading it whole is bounded; larger ones are rejected by their
-    listed length.
+    the rejected files with the reason.  Names and sizes are judged from the
+    listing alone; only files of ``MAX_FILE_BYTES`` at most are opened, so
+    reading one whole is bounded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    gated = reject_binary(size_gate(with_provenance(files)))
-    reason = F.coalesce(
-        "reject_reason", "size_reason", "binary_reason",
+    listed = size_gate(with_provenance(files.drop("content")))
+    by_name = F.coalesce(
+        "reject_reason", "size_reason",
         F.when(F.col("upload_source") == "excel", "Convert Excel files to CSV first"),
     )
-    gated = gated.withColumn("reject_reason", reason).withColumn(INV, F.sha1("path"))
-    refused = gated.where(F.col("reject_reason").isNotNull()).select(INV, "path", "reject_reason")
-    texts = gated.where(F.col("reject_reason").isNull()).select(
-        INV, "path", F.decode("content", F.lit("UTF-8")).alias("text")
+    opened = with_provenance(files.where(F.col("length") <= MAX_FILE_BYTES)).where(
+        F.col("upload_source") == "csv"
     )
+    text = F.col("content").cast("string")
+    read = reject_binary(opened).select(
+        F.sha1("path").alias(INV), "path", text.alias("text"),
+        F.coalesce("binary_reason", F.when(~F.is_valid_utf8(text), "Unable to read .csv log file"))
+        .alias("reject_reason"),
+    )
+    texts = read.where(F.col("reject_reason").isNull()).select(INV, "path", "text")
     logs, unparsed = parse_text_logs(texts)
-    named = texts.select(INV, "path")
-    rejected = refused.unionByName(unparsed.join(named, INV).select(INV, "path", "reject_reason"))
+    rejected = (
+        listed.select(F.sha1("path").alias(INV), "path", by_name.alias("reject_reason"))
+        .unionByName(read.select(INV, "path", "reject_reason"))
+        .where(F.col("reject_reason").isNotNull())
+        .unionByName(unparsed.join(texts.select(INV, "path"), INV).select(INV, "path", "reject_reason"))
+    )
     return logs, rejected
