@@ -156,3 +156,17 @@ def reject_bad_investigations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     kept = typed.join(rejected, "investigation_id", "left_anti").drop("_bad")
     return kept, rejected.withColumn("reason", F.lit(BAD_TIMESTAMP))
+
+
+def with_event_id(df: DataFrame) -> DataFrame:
+    """Give rows the ``event_id`` that settles ties, where they have none.
+
+    The line number of a parsed text, else a hash of the whole row: equal rows
+    then share an id, and which of them comes first does not matter.
+    """
+    if "event_id" in df.columns:
+        return df
+    if "line_number" in df.columns:
+        return df.withColumnRenamed("line_number", "event_id")
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.withColumn("event_id", F.xxhash64(*hashable))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from logvigil.operators.normalise import (
     column_mapping, normalise_logs, normalise_with_quarantine, reject_bad_investigations, rename_columns,
+    with_event_id,
 )
+from logvigil.operators.rules import detect_anomalies
 from logvigil.sources import logs
 from logvigil.sources.knowledge_files import PATTERN_SCHEMA, read_kb_json, read_stix_bundle
 
@@ -95,7 +97,10 @@ def test_log_folder(spark, folder):
         "fake.csv": binary, "nul.csv": binary, "big.csv": "File exceeds the upload limit",
         "notes.txt": "Unsupported file type. Supported types are .csv, .xlsx and .xls",
         "book.xlsx": "Convert Excel files to CSV first"}
+    detected = detect_anomalies(with_event_id(normalise_logs(rows)), forest=True)
+    assert sorted(r.extra.get("extra", "") for r in detected.collect()) == ["", "", "e"]
     one = logs.read_logs(spark, str(folder / "one.csv"))
+    assert with_event_id(one).select("event_id").distinct().count() == 2
     assert one.columns == ["time", "src", "dst", "type"] and one.count() == 2
 
 
