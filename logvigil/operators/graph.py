@@ -79,27 +79,28 @@ def edge_events(scored: DataFrame) -> DataFrame:
     )
 
 
-def graph_edges(scored: DataFrame) -> DataFrame:
+def edges_of(traffic: DataFrame) -> DataFrame:
     """Totals of each directed address pair and its commonest event type.
 
-    Counting per type first keeps the state of a pair at one best type, however
-    many types it shows.  Ties go to the smallest name.
+    ``traffic`` counts per type, so a pair keeps one best type, however many
+    types it shows.  Ties go to the smallest name.
     """
     best = F.min(
         F.when(F.col("event_type").isNotNull(), F.struct(-F.col("events"), F.col("event_type")))
     )
-    return (
-        edge_events(scored)
-        .groupBy(INV, "source", "target")
-        .agg(
-            F.sum("events").alias("event_count"),
-            F.sum("bytes").alias("total_bytes"),
-            F.greatest(F.max("score"), F.lit(0)).alias("max_threat_score"),
-            F.coalesce(best["event_type"], F.lit("")).alias("dominant_event_type"),
-        )
+    return traffic.groupBy(INV, "source", "target").agg(
+        F.sum("events").alias("event_count"),
+        F.sum("bytes").alias("total_bytes"),
+        F.greatest(F.max("score"), F.lit(0)).alias("max_threat_score"),
+        F.coalesce(best["event_type"], F.lit("")).alias("dominant_event_type"),
     )
 
 
+def graph_edges(scored: DataFrame) -> DataFrame:
+    """G4, G5 from scored events."""
+    return edges_of(edge_events(scored))
+
+
 def attack_clusters(nodes: DataFrame, components: DataFrame, traffic: DataFrame,
                     unit: int = UNIT) -> dict[str, DataFrame]:
     """G7..G9: components with three or more suspicious nodes.
@@ -191,7 +192,10 @@ def incident_edges_of(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     ends = edges.withColumn(
         "node_id", F.explode(F.array_distinct(F.array("source", "target")))
     )
-    return ends.join(chosen.select(INV, "node_id").distinct(), [INV, "node_id"], "left_semi")
+    degree = ends.groupBy(INV, "node_id").agg(F.count(F.lit(1)).alias("_edges"))
+    return balanced_join(ends, chosen.select(INV, "node_id").distinct(), [INV, "node_id"],
+                         weights=degree, weight="_edges", row_id=["source", "target"],
+                         how="left_semi")
 
 
 def display_value(node_id: Column) -> Column:

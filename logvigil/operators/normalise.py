@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logvigil.constants import COLUMN_ALIASES, REQUIRED_LOG_COLUMNS
+from logvigil.functions.skew import balanced_join
 from logvigil.functions.text import settle, strip
 
 BAD_TIMESTAMP = "Unable to parse one or more timestamp values"
@@ -154,8 +155,15 @@ def reject_bad_investigations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = (
         typed.where("_bad").groupBy("investigation_id").agg(F.count(F.lit(1)).alias("bad_rows"))
     )
-    kept = typed.join(rejected, "investigation_id", "left_anti").drop("_bad")
-    return kept, rejected.withColumn("reason", F.lit(BAD_TIMESTAMP))
+    sizes = typed.groupBy("investigation_id").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = balanced_join(
+        typed, rejected.select("investigation_id"), ["investigation_id"], weights=sizes,
+        weight="_rows", row_id=["timestamp", "src_ip", "dst_ip", "event_type"], how="left_anti",
+    )
+    return (
+        kept.select(*[F.col(f"`{c}`") for c in typed.columns if c != "_bad"]),
+        rejected.withColumn("reason", F.lit(BAD_TIMESTAMP)),
+    )
 
 
 def with_event_id(df: DataFrame) -> DataFrame:

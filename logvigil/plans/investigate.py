@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from logvigil.functions.skew import UNIT
 from logvigil.operators.components import connected_components
 from logvigil.operators.graph import (
-    attack_clusters, edge_events, graph_edges, graph_nodes, graph_summary,
+    attack_clusters, edge_events, edges_of, graph_nodes, graph_summary,
 )
 from logvigil.operators.investigations import build_investigations
 from logvigil.operators.knowledge import pattern_technique_table, techniques_of_patterns
@@ -40,15 +40,17 @@ def scored_events(events: DataFrame, forest: bool = False, zone: str = "UTC",
 
 def graph_tables(scored: DataFrame, unit: int = UNIT) -> dict[str, DataFrame]:
     """Nodes, edges, clusters with members and event types, and the summary."""
-    nodes, edges = graph_nodes(scored), graph_edges(scored)
+    # nodes, traffic and clusters are each read by several of the tables below
+    nodes, traffic = cut_lineage(graph_nodes(scored)), cut_lineage(edge_events(scored))
+    edges = edges_of(traffic)
     components = cut_lineage(connected_components(edges, nodes, unit))
-    found = attack_clusters(nodes, components, edge_events(scored), unit)
+    found = attack_clusters(nodes, components, traffic, unit)
+    clusters = cut_lineage(found["clusters"])
     return {
-        "nodes": nodes, "edges": edges, "components": components,
-        "clusters": found["clusters"],
+        "nodes": nodes, "edges": edges, "components": components, "clusters": clusters,
         "cluster_members": found["members"],
         "cluster_event_types": found["event_types"],
-        "graph_summary": graph_summary(scored, nodes, edges, found["clusters"]),
+        "graph_summary": graph_summary(scored, nodes, edges, clusters),
     }
 
 

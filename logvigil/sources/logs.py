@@ -213,6 +213,9 @@ def read_log_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         listed.select(F.sha1("path").alias(INV), "path", by_name.alias("reject_reason"))
         .unionByName(read.select(INV, "path", "reject_reason"))
         .where(F.col("reject_reason").isNotNull())
-        .unionByName(unparsed.join(texts.select(INV, "path"), INV).select(INV, "path", "reject_reason"))
+        .unionByName(
+            unparsed.join(listed.select(F.sha1("path").alias(INV), "path"), INV)
+            .select(INV, "path", "reject_reason")
+        )
     )
     return logs, rejected
