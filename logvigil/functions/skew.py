@@ -49,8 +49,17 @@ def repeat_lookup(lookup: DataFrame, heavy: DataFrame, keys: list[str]) -> DataF
 
 def balanced_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weights: DataFrame,
                   weight: str, row_id: list[str], how: str = "left", unit: int = UNIT) -> DataFrame:
-    """Join ``rows`` to a ``lookup`` that has one row per key."""
+    """Join ``rows`` to a ``lookup`` that has one row per key.
+
+    A lookup that carries the weight itself is repeated by it.  It may then
+    repeat keys that did not make the list of heavy ones; their rows all meet
+    slice 0.
+    """
     heavy = heavy_keys(weights, keys, weight, unit)
     left = slice_rows(rows, heavy, keys, row_id)
-    right = repeat_lookup(lookup, heavy, keys)
+    if weight in lookup.columns:
+        last = F.greatest(F.ceil(F.col(weight) / unit).cast("int"), F.lit(1)) - 1
+        right = lookup.withColumn("_slice", F.explode(F.sequence(F.lit(0), last)))
+    else:
+        right = repeat_lookup(lookup, heavy, keys)
     return left.join(right, [*keys, "_slice"], how).drop("_slice")

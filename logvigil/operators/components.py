@@ -29,10 +29,9 @@ def _with_smallest(links: DataFrame, smallest: DataFrame, unit: int, total: int)
     No node has more links than there are in all, so a graph below ``unit``
     links needs no search for heavy ones.
     """
-    lookup = smallest.select(INV, "u", "m")
     if total <= unit:
-        return links.join(lookup, [INV, "u"])
-    return balanced_join(links, lookup, [INV, "u"], weights=smallest, weight="links",
+        return links.join(smallest, [INV, "u"])
+    return balanced_join(links, smallest, [INV, "u"], weights=smallest, weight="links",
                          row_id=["v"], how="inner", unit=unit)
 
 

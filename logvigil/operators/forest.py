@@ -177,9 +177,11 @@ def isolation_forest(context: DataFrame, zone: str = "UTC", seed: int = SEED,
     weights = rows.groupBy(INV).agg(F.count(F.lit(1)).alias("events"))
     forests = fit_forests(training_sample(rows, seed), seed)
     scored = cut_lineage(score_events(rows, forests, weights))
-    cutoffs = outlier_cutoffs(scored, contamination)
-    joined = balanced_join(scored, cutoffs.select(INV, "cutoff"), [INV], weights=cutoffs,
-                           weight="events", row_id=["event_id"], unit=unit)
-    return joined.withColumn("ml_is_anomaly", F.col("ml_score") > F.col("cutoff")).select(
+    cutoffs = outlier_cutoffs(scored, contamination).withColumnsRenamed(
+        {"events": "_events", "cutoff": "_cutoff"}
+    )
+    joined = balanced_join(scored, cutoffs, [INV], weights=cutoffs,
+                           weight="_events", row_id=["event_id"], unit=unit)
+    return joined.withColumn("ml_is_anomaly", F.col("ml_score") > F.col("_cutoff")).select(
         *[c for c in context.columns if c != "ml_is_anomaly"], "ml_is_anomaly"
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logvigil.operators import investigations as store
 from logvigil.operators.graph import graph_nodes
-from logvigil.operators.reports import prompt_context
 from logvigil.operators.summary import (
     recent_totals as newest_totals, threat_summary, top_events_list,
 )

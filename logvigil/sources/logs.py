@@ -47,7 +47,7 @@ def safe_name(path: Column) -> Column:
 
 def upload_source(name: Column) -> Column:
     """Csv or excel by extension; null for other types."""
-    extension = F.lower(F.regexp_extract(name, r"[^.](\.[^.]*)$", 1))
+    extension = F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
     source = F.lit(None).cast("string")
     for suffix, kind in UPLOAD_SOURCES.items():
         source = F.when(extension == suffix, F.lit(kind)).otherwise(source)
