@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from logvigil.llm.stages import Stages, batches_of, texts_of
@@ -126,7 +125,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 _HITS = (
-    "doc_id long, key binary, n_words long, "
+    "doc_id long, key long, n_words long, "
     "spans array<struct<start:int,end:int>>, items array<string>"
 )
 
@@ -134,10 +133,10 @@ _HITS = (
 def find_hits(docs: DataFrame, windows: dict[bytes, list]) -> DataFrame:
     """One row per row of ``docs``: its words, hit spans in words, and items found.
 
-    ``key`` tells texts of one doc_id apart.
+    ``key`` is Spark's xxhash64 of the text and tells texts of one doc_id apart.
     """
     fields = pa.schema([
-        ("doc_id", pa.int64()), ("key", pa.binary()), ("n_words", pa.int64()),
+        ("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         ("items", pa.list_(pa.string())),
     ])
@@ -147,17 +146,17 @@ def find_hits(docs: DataFrame, windows: dict[bytes, list]) -> DataFrame:
         windows = WindowSet(sent.value)
         for batch in batches:
             rows: dict[str, list] = {f.name: [] for f in fields}
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            rows["doc_id"], rows["key"] = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for text in texts_of(batch):
                 words = words_of(text)
                 spans, items = windows.scan(words)
-                rows["doc_id"].append(doc_id)
-                rows["key"].append(xxhash.xxh3_128_digest(text or b""))
                 rows["n_words"].append(len(words))
                 rows["spans"].append([{"start": a, "end": b} for a, b in spans])
                 rows["items"].append(sorted(items))
             yield batches_of(rows, fields)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, _HITS)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return rows.mapInArrow(scan, _HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, one_in: int = 20,

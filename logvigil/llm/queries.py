@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from logvigil.llm.ann import nearest_neighbours
 from logvigil.llm.decontaminate import contamination
+from logvigil.llm.language import identify
+from logvigil.llm.line_dedup import dedup_lines
+from logvigil.llm.near_dedup import near_duplicates
+from logvigil.llm.ngram_model import score_texts
 from logvigil.llm.packing import pack_documents
+from logvigil.llm.passages import repeated_passages
 from logvigil.llm.pii import personal_data_digest
 from logvigil.llm.stages import table
 from logvigil.llm.token_counts import token_counts
@@ -20,13 +26,36 @@ def _tokenizer() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at 80 % of four-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).drop("set_key")
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer()).drop("step_id")
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that stays of each document, and the numbers of the lines it loses."""
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", "dedup.n_lines", "dedup.n_removed", "dedup.removed")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +66,54 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_decontamination": op3_decontamination,
-    "op6_packing": op6_packing,
-    "op8_pii": op8_pii,
-    "op9_token_counts": op9_token_counts,
+    f.__name__: f
+    for f in (
+        op1_near_dedup, op2_substring_dedup, op3_decontamination, op4_lm_scores, op5_nearest,
+        op6_packing, op7_line_dedup, op8_pii, op9_token_counts, op10_language,
+    )
+}
+
+#: The others cannot be said in SQL (learned models, tokenizer files, components, alignments)
+#: or only too slowly on whole tables; their tests compare with brute force.
+STATEMENTS: dict[str, str] = {
+    "op3_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(
+                     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+                   FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        items AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
+                    array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
+                  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i
+                        FROM b WHERE len(w) > 0)),
+        sizes AS (SELECT DISTINCT n FROM items),
+        runs AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS gram
+                 FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                       FROM d, sizes WHERE len(w) >= n)),
+        hits AS (SELECT r.doc_id, r.i, r.n, x.item_id FROM runs r JOIN items x ON x.gram = r.gram AND x.n = r.n),
+        places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+                   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+                  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
+               CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+    "op5_nearest": """
+        WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+        pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+                  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r
+                   FROM pairs)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+    """,
 }
-STATEMENTS: dict[str, str] = {}

@@ -97,10 +97,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT)
 
         def size(chunk: str) -> int:
             """Tokens of a chunk, or -1 when some pre-token is not in the broadcast table."""
-            if len(known_of) >= pieces.held:
-                known_of.clear()
             parts = [sizes.get(p) for p in pieces.pre_tokens(chunk)]
-            found = known_of[chunk] = -1 if None in parts else sum(parts)
+            found = -1 if None in parts else sum(parts)
+            if len(known_of) < pieces.held:
+                known_of[chunk] = found
             return found
 
         for batch in batches:

@@ -23,7 +23,7 @@ _SPACES = re.compile("[^\\S\x1c-\x1f]+")
 
 
 class WordPieces:
-    """``held`` bounds each cache; a full cache is emptied."""
+    """``held`` bounds each cache.  A full cache stays as it is: what came first is mostly frequent."""
 
     def __init__(self, path: str, held: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,9 +62,9 @@ class WordPieces:
             return part
         spelling = self._plain_spelling.get(part)
         if spelling is None:
-            if len(self._plain_spelling) >= self.held:
-                self._plain_spelling.clear()
-            spelling = self._plain_spelling[part] = self._bytes.pre_tokenize_str(part)[0][0]
+            spelling = self._bytes.pre_tokenize_str(part)[0][0]
+            if len(self._plain_spelling) < self.held:
+                self._plain_spelling[part] = spelling
         return spelling
 
     def count(self, pre_token: str) -> int:
@@ -73,17 +73,17 @@ class WordPieces:
     def _ids_of(self, pre_token: str) -> bytes:
         found = self._pieces.get(pre_token)
         if found is None:
-            if len(self._pieces) >= self.held:
-                self._pieces.clear()
-            found = self._pieces[pre_token] = b"".join(
+            found = b"".join([
                 p.id.to_bytes(4, "little") for p in self.tokenizer.model.tokenize(pre_token)
-            )
+            ])
+            if len(self._pieces) < self.held:
+                self._pieces[pre_token] = found
         return found
 
     def _chunk_ids(self, chunk: str) -> bytes:
-        if len(self._chunks) >= self.held:
-            self._chunks.clear()
-        found = self._chunks[chunk] = b"".join(map(self._ids_of, self.pre_tokens(chunk)))
+        found = b"".join(map(self._ids_of, self.pre_tokens(chunk)))
+        if len(self._chunks) < self.held:
+            self._chunks[chunk] = found
         return found
 
     def _section_ids(self, text: str) -> bytes:
