@@ -193,7 +193,11 @@ def fit(labelled: DataFrame, per_label: int = PER_LABEL) -> ByteNet | None:
 
 
 def predict(docs: DataFrame, net: ByteNet | None, keep: list[str], name: str = "language") -> DataFrame:
-    """The columns ``keep`` of every row, and the struct ``name`` of lang_pred and score."""
+    """The columns ``keep`` of every row, and the struct ``name`` of lang_pred and score.
+
+    The struct takes the place of a column of that name.
+    """
+    keep = [c for c in keep if c != name]
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([*docs.select(*[f"`{c}`" for c in keep]).schema, T.StructField(name, kind)])
     sent = docs.sparkSession.sparkContext.broadcast(net)
