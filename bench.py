@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -27,6 +28,7 @@ def main() -> None:
     spark = build_session(
         f"local[{cpus}]", int(cpus), "logvigil-bench", spark__ui__enabled="false",
         spark__driver__memory="16g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     wanted = os.environ.get("BENCH_QUERIES")

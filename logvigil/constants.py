@@ -93,17 +93,10 @@ MAX_FILE_BYTES = 10 * 1024 * 1024
 MAX_TEXT_CHARS = 50_000
 BINARY_SAMPLE_BYTES = 4096
 UPLOAD_SOURCES = {".csv": "csv", ".xlsx": "excel", ".xls": "excel"}
-# leading bytes, in hex, of content that cannot be a CSV file
-BINARY_MAGIC = {
-    "4D5A": "windows executable",
-    "255044462D": "pdf",
-    "504B0304": "zip",
-    "7F454C46": "elf",
-    "89504E47": "png",
-    "FFD8FF": "jpeg",
-    "474946383761": "gif87a",
-    "474946383961": "gif89a",
-}
+# leading bytes of executables, PDF, ZIP, ELF, PNG, JPEG and GIF files
+BINARY_MAGIC = (
+    b"MZ", b"%PDF-", b"PK\x03\x04", b"\x7fELF", b"\x89PNG", b"\xff\xd8\xff", b"GIF87a", b"GIF89a",
+)
 
 # --- fixed values: generated-report contract ---
 REPORT_KEYS = (

@@ -12,21 +12,29 @@ from logvigil.functions.text import settle, strip
 
 BAD_TIMESTAMP = "Unable to parse one or more timestamp values"
 
-# --- fixed values: accepted date layouts by the shape of the text; within a
-# shape month-first comes before day-first ---
+# --- fixed values: accepted date layouts by the shape of the text; where a shape has two,
+# the first is month-first and the second day-first ---
 _CLOCK = "[ H:mm[:ss[.SSSSSS]]]"
-_CLOCK_12 = " h:mm[:ss] a"
+_CLOCK_12 = " h:mm[:ss][ ]a"
 LAYOUTS = {
+    r"^\d{4}-.*[AaPp][Mm]$": (f"yyyy-M-d{_CLOCK_12}",),
+    r"^\d{8}$": ("yyyyMMdd",),
+    r"^\d{8} \d{6}$": ("yyyyMMdd HHmmss",),
     r"^\d{1,2}/\d{1,2}/\d{4} .*[AaPp][Mm]$": (f"M/d/yyyy{_CLOCK_12}", f"d/M/yyyy{_CLOCK_12}"),
+    r"^\d{1,2}/\d{1,2}/\d{2} .*[AaPp][Mm]$": (f"M/d/yy{_CLOCK_12}", f"d/M/yy{_CLOCK_12}"),
     r"^\d{1,2}/\d{1,2}/\d{4}": (f"M/d/yyyy{_CLOCK}", f"d/M/yyyy{_CLOCK}"),
+    r"^\d{1,2}/\d{1,2}/\d{2}(?!\d)": (f"M/d/yy{_CLOCK}", f"d/M/yy{_CLOCK}"),
     r"^\d{1,2}-\d{1,2}-\d{4}": (f"M-d-yyyy{_CLOCK}", f"d-M-yyyy{_CLOCK}"),
     r"^\d{1,2}[.]\d{1,2}[.]\d{4}": (f"M.d.yyyy{_CLOCK}", f"d.M.yyyy{_CLOCK}"),
     r"^\d{4}/": (f"yyyy/M/d{_CLOCK}",),
-    r"^\d{1,2} [A-Za-z]": (f"d MMM yyyy{_CLOCK}", f"d MMMM yyyy{_CLOCK}"),
+    r"^\d{1,2} [A-Za-z]{3} ": (f"d MMM yyyy{_CLOCK}",),
+    r"^\d{1,2} [A-Za-z]": (f"d MMMM yyyy{_CLOCK}",),
     r"^\d{1,2}-[A-Za-z]": (f"d-MMM-yyyy{_CLOCK}",),
-    r"^[A-Za-z]": (f"MMM d, yyyy{_CLOCK}", f"MMMM d, yyyy{_CLOCK}"),
+    r"^[A-Za-z]{3} ": (f"MMM d yyyy{_CLOCK}",),
+    r"^[A-Za-z]": (f"MMMM d yyyy{_CLOCK}",),
 }
-
+_ZONE = r"(?i)(?<=\d)\s*(Z|GMT|UTC|[+-]\d{2}:?\d{2})$"
+_DECIMAL = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)\s*$"
 
 def column_mapping(columns: Sequence[str]) -> dict[str, str]:
     """Source column -> canonical name.
@@ -86,26 +94,44 @@ def trim_strings(df: DataFrame) -> DataFrame:
 
 
 def parse_timestamp(value: Column) -> Column:
-    """ISO or month-first, then day-first for what is left; else null.
+    """ISO, and the layouts above; else null.
 
-    ``value`` is trimmed.  Its shape selects the two or so layouts that can
-    match, so a row is not tried against all of them.
+    ``value`` is trimmed.  Its shape selects the layout, and where month and day
+    could be either way round, the first number does: above 12 it is a day.  A weekday
+    in front is passed over, a comma may start the fraction, and a zone behind
+    the clock shifts the time to UTC.
     """
-    parsed = F.when(value.rlike(r"^\d{4}(-|$)"), value.try_cast("timestamp"))
-    for shape, layouts in LAYOUTS.items():
-        tried = [F.try_to_timestamp(value, F.lit(layout)) for layout in layouts]
-        parsed = parsed.when(value.rlike(shape), F.coalesce(*tried))
-    return parsed
+    plain = F.regexp_replace(value, r"^[A-Za-z]{3,9}, +(?=\d)", "")
+    plain = F.regexp_replace(plain, r"(:\d{2}),(\d{1,6})", "$1.$2")
+    is_iso = plain.rlike(r"^\d{4}(-|$)") & ~plain.rlike(r"[AaPp][Mm]$")
+    clocked = plain.rlike(r"\d:\d{2}|^\d{8}T")
+    zone = F.when(clocked, F.upper(F.regexp_extract(plain, _ZONE, 1)))
+    local = F.when(clocked, F.regexp_replace(plain, _ZONE, "")).otherwise(plain)
+    local = F.regexp_replace(F.regexp_replace(local, r"(?<=\d)T(?=\d)", " "), r"(?<=[A-Za-z0-9]),(?= )", "")
+    day_first = F.regexp_extract(local, r"^(\d{1,2})\D", 1).try_cast("int") > 12
+    parsed = F.lit(None).cast("timestamp")
+    for shape, layouts in reversed(LAYOUTS.items()):
+        layout = F.when(day_first, layouts[-1]).otherwise(layouts[0]) if len(layouts) > 1 else F.lit(layouts[0])
+        parsed = F.when(local.rlike(shape), F.try_to_timestamp(local, layout)).otherwise(parsed)
+    minutes = F.when(zone.rlike(r"^[+-]"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (
+        F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, -2, 2).cast("int"))).otherwise(0)
+    shifted = F.timestamp_micros(F.unix_micros(parsed) - minutes.cast("long") * 60_000_000)
+    return F.when(is_iso, plain.try_cast("timestamp")).otherwise(shifted)
+
+
+def _decimal(c: Column) -> Column:
+    """A double for decimal notation and infinities; null for all other texts, such as 1d or 0x1p3."""
+    return F.when(c.cast("string").rlike(_DECIMAL), c.try_cast("double"))
 
 
 def to_bytes(c: Column) -> Column:
     """A double; what is no number becomes 0.0."""
-    return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(_decimal(c), F.lit(0.0))
 
 
 def to_port(c: Column) -> Column:
     """An int cut towards zero; what is no number becomes 0."""
-    return F.coalesce(c.try_cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(_decimal(c).try_cast("int"), F.lit(0))
 
 
 def _typed(df: DataFrame) -> DataFrame:
@@ -169,12 +195,16 @@ def reject_bad_investigations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_event_id(df: DataFrame) -> DataFrame:
     """Give rows the ``event_id`` that settles ties, where they have none.
 
-    The line number of a parsed text, else a hash of the whole row: equal rows
-    then share an id, and which of them comes first does not matter.
+    The line number of a parsed text, else a hash of the whole row, maps
+    included: only rows that are equal in every column share an id, and which
+    of them comes first does not matter.
     """
     if "event_id" in df.columns:
         return df
     if "line_number" in df.columns:
         return df.withColumnRenamed("line_number", "event_id")
-    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    hashable = [
+        F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if isinstance(f.dataType, T.MapType)
+        else F.col(f"`{f.name}`") for f in df.schema.fields
+    ]
     return df.withColumn("event_id", F.xxhash64(*hashable))

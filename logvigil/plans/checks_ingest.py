@@ -12,14 +12,24 @@ from logvigil.session import scratch_path
 from logvigil.sources import knowledge_files, logs
 
 # the same moment in the layouts found in the field; day-first only where the day tells
-_TIME = """case event_id % 6
+_TIME = """case event_id % 15
     when 0 then date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     when 1 then date_format(timestamp, '  yyyy-MM-dd HH:mm:ss.SSSSSS')
     when 2 then date_format(timestamp, 'M/d/yyyy HH:mm:ss.SSSSSS')
     when 3 then date_format(timestamp + interval 13 days, 'dd/MM/yyyy HH:mm:ss.SSSSSS')
     when 4 then date_format(timestamp, 'MMM d, yyyy HH:mm:ss')
-    else date_format(timestamp, 'd MMM yyyy HH:mm') end"""
+    when 5 then date_format(timestamp, 'd MMM yyyy HH:mm')
+    when 6 then date_format(timestamp, 'yyyy-MM-dd hh:mm:ss a')
+    when 7 then date_format(timestamp, 'yyyyMMdd')
+    when 8 then date_format(timestamp, "yyyyMMdd'T'HHmmss")
+    when 9 then date_format(timestamp, 'M/d/yy HH:mm')
+    when 10 then date_format(timestamp, "M/d/yyyy HH:mm:ss'Z'")
+    when 11 then date_format(timestamp + interval 13 days, "dd/MM/yyyy'T'HH:mm:ss")
+    when 12 then date_format(timestamp, "EEE, d MMM yyyy HH:mm:ss 'GMT'")
+    when 13 then date_format(timestamp - interval 2 hours, "MMM d yyyy HH:mm:ss'-02:00'")
+    else date_format(timestamp, 'yyyy-MM-dd HH:mm:ss,SSS') end"""
 _BYTES = """case when event_id % 7 = 0 then 'unknown' when event_id % 11 = 0 then null
+    when event_id % 23 = 0 then '1d' when event_id % 29 = 0 then '0x1p3'
     else concat(' ', cast(cast(bytes_transferred as bigint) as string), ' ') end"""
 _PORT = """case when event_id % 9 = 0 then concat(dst_port, '.7') when event_id % 13 = 0 then 'NaN'
     when event_id % 17 = 0 then '' else cast(dst_port as string) end"""
@@ -87,13 +97,13 @@ def pasted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     iso = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
     plain = F.concat_ws(",", iso, "src_ip", "dst_ip", "event_type", F.col("dst_port").cast("string"))
     quoted = F.concat_ws(
-        ",", F.concat(F.lit('"a ""b"",\n'), "event_type", F.lit('"')), "dst_ip", "src_ip", iso, F.lit("ZA"))
+        ",", F.concat(F.lit('"a ""b"",\n'), "event_type", F.lit('"')), "dst_ip", "src_ip", iso, F.lit("ZA"), F.lit("again"))
     line = F.when(F.col("doc") % 2 == 0, plain).otherwise(quoted)
     # a text has one hundred lines at most
     texts = events.groupBy("doc").agg(
         F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"))
     header = F.when(F.col("doc") % 2 == 0, "time,src,dst,type,port").otherwise(
-        "Event , DEST_IP,source_ip,datetime,country")
+        "Event , DEST_IP,source_ip,datetime,country,Country")
     body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
     broken = F.when(F.col("doc") % 10 == 3, " ").when(F.col("doc") % 10 == 6, F.concat(F.lit("a,b\n"), body))
     return texts.select(
@@ -106,7 +116,8 @@ def pasted_logs(spark, sf_dir):
     rows, _ = logs.parse_text_logs(pasted_documents(spark, sf_dir))
     good, _ = normalise.normalise_with_quarantine(rows)
     return good.select(INV, "line_number", stamp("timestamp"), "src_ip", "dst_ip", "event_type", "dst_port",
-                       F.col("extra")["country"].alias("country"))
+                       F.col("extra")["country"].alias("country"),
+                       F.col("extra")["country__dup1"].alias("second_country"))
 
 
 def rejected_texts(spark, sf_dir):
@@ -172,9 +183,12 @@ def stix_bundles(spark, sf_dir):
 
 _RAW = sql.chain(sql.LOGS, """
 parsed AS (
-  SELECT *, CASE event_id % 6 WHEN 3 THEN ts + INTERVAL 13 DAY WHEN 4 THEN date_trunc('second', ts)
-                 WHEN 5 THEN date_trunc('minute', ts) ELSE ts END AS at_time,
-         CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN 0.0::DOUBLE ELSE bytes_transferred END AS amount,
+  SELECT *, CASE event_id % 15 WHEN 3 THEN ts + INTERVAL 13 DAY WHEN 5 THEN date_trunc('minute', ts)
+                 WHEN 7 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) WHEN 9 THEN date_trunc('minute', ts)
+                 WHEN 11 THEN date_trunc('second', ts) + INTERVAL 13 DAY
+                 WHEN 14 THEN date_trunc('millisecond', ts)
+                 WHEN 0 THEN ts WHEN 1 THEN ts WHEN 2 THEN ts ELSE date_trunc('second', ts) END AS at_time,
+         CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 23 = 0 OR event_id % 29 = 0 THEN 0.0::DOUBLE ELSE bytes_transferred END AS amount,
          CASE WHEN event_id % 9 = 0 THEN dst_port WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 0
               ELSE dst_port END AS port
   FROM logs
@@ -202,7 +216,8 @@ CHECKS = {
                strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') AS timestamp, src_ip, dst_ip,
                CASE WHEN (event_id // 100) % 2 = 0 THEN event_type ELSE 'a "b",' || chr(10) || event_type END AS event_type,
                CASE WHEN (event_id // 100) % 2 = 0 THEN dst_port ELSE 0 END AS dst_port,
-               CASE WHEN (event_id // 100) % 2 = 1 THEN 'ZA' END AS country
+               CASE WHEN (event_id // 100) % 2 = 1 THEN 'ZA' END AS country,
+               CASE WHEN (event_id // 100) % 2 = 1 THEN 'again' END AS second_country
         FROM logs WHERE (event_id // 100) % 10 NOT IN (3, 6)"""),
     "rejected_texts": (rejected_texts, """
         SELECT DISTINCT 'doc-' || (event_id // 100) AS investigation_id,

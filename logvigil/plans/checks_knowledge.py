@@ -315,8 +315,8 @@ CHECKS = {
                     CASE WHEN event_id % 2 = 0 THEN 'Linux' ELSE 'Linux, Windows' END AS platforms
                   FROM newest WHERE n = 1 AND user_id % 13 <> 0)
         SELECT 'mitre_attack' AS collection, id, name, tactics, platforms,
-               'Technique: ' || id || ' - ' || name || '. seen ' || event_type || '. Platforms: ' || platforms
-               || '. Tactics: ' || tactics AS document FROM ready"""),
+               id || ' | ' || name || ' | seen ' || event_type || ' | runs on ' || platforms
+               || ' | serves ' || tactics AS document FROM ready"""),
     "whitespace_normalise": (whitespace, r"""
         SELECT doc_id, trim(regexp_replace(text,
           '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+',

@@ -236,18 +236,18 @@ CHECKS = {
                mitre_techniques, popia_flags, cybercrimes_flags, attack_clusters, high_threat_count, event_count,
                {_ISO} AS created_at FROM stored"""),
     "text_reports": (text_reports, _STORED + f"""
-        SELECT investigation_id, array_to_string(['INCIDENT REPORT', '', 'Investigation ID: ' || investigation_id,
+        SELECT investigation_id, array_to_string(['INVESTIGATION SUMMARY SHEET', '', 'Investigation ID: ' || investigation_id,
           'Created: ' || {_ISO}, 'Events: ' || event_count, 'High threats: ' || high_threat_count,
-          'Attack clusters: ' || attack_clusters, '', 'SUSPICIOUS ACTIVITY SUMMARY',
-          coalesce(incident_summary, 'No summary available.'), '', 'RECOMMENDED NEXT STEPS',
-          CASE WHEN incident_next_steps = '' THEN 'None recorded.' ELSE '1. look' || chr(10) || '2. act' END, '',
-          'MITRE ATT&CK TECHNIQUES',
-          CASE WHEN mitre_techniques = '' THEN 'None recorded.' ELSE '- T1078' || chr(10) || '- T1110' END, '',
-          'SOUTH AFRICAN INTELLIGENCE',
+          'Attack clusters: ' || attack_clusters, '', 'WHAT HAPPENED',
+          coalesce(incident_summary, '(no summary)'), '', 'TO DO',
+          CASE WHEN incident_next_steps = '' THEN '(none)' ELSE '1. look' || chr(10) || '2. act' END, '',
+          'TECHNIQUES',
+          CASE WHEN mitre_techniques = '' THEN '(none)' ELSE '- T1078' || chr(10) || '- T1110' END, '',
+          'FLAGS',
           'POPIA flags: ' || coalesce(nullif(popia_flags, ''), 'None'),
           'Cybercrimes Act flags: ' || coalesce(nullif(replace(cybercrimes_flags, '|', ', '), ''), 'None'),
-          'SA patterns matched: None', '', 'RAG SOURCES',
-          CASE WHEN rag_sources_used = '' THEN 'None recorded.' ELSE '- KB' END], chr(10)) AS report
+          'SA patterns matched: None', '', 'KNOWLEDGE USED',
+          CASE WHEN rag_sources_used = '' THEN '(none)' ELSE '- KB' END], chr(10)) AS report
         FROM stored"""),
     "json_rows": (json_rows, """
         SELECT event_id, '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S')

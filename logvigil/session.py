@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,17 +42,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one only in local mode."""
+    """A folder of this application below the one ``spark.checkpoint.dir`` names.
+
+    The setting is required: the folder must be one that all executors share, and
+    only the user can know it.
+    """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 

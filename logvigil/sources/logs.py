@@ -20,15 +20,17 @@ MISSING_TEXTS = (
 )
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV files that share one header, every column as text.
 
-    Splittable, so it suits files of any size.  For many uploads with headers
-    of their own use ``read_log_files``.
+    Splittable, so it suits files of any size.  A file whose header differs, also
+    in the order of its columns, fails the job; for uploads with headers of their own
+    use ``read_log_files``.  Line breaks inside quotes need ``multi_line``, which reads
+    each file in one task.
     """
     frame = (
-        spark.read.option("header", True).option("escape", '"')
-        .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
+        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+        .option("multiLine", multi_line).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
     )
     return frame.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in frame.columns])
 
@@ -81,9 +83,9 @@ def size_gate(df: DataFrame, max_bytes: int = MAX_FILE_BYTES, max_chars: int = M
 def looks_binary(content: Column) -> Column:
     """S3: a NUL byte or a known binary signature in the first 4096 bytes."""
     sample = F.substring(content, 1, BINARY_SAMPLE_BYTES)
-    hit = F.contains(sample, F.unhex(F.lit("00")))
+    hit = F.contains(sample, F.lit(b"\0"))
     for magic in BINARY_MAGIC:
-        hit = hit | F.startswith(sample, F.unhex(F.lit(magic)))
+        hit = hit | F.startswith(sample, F.lit(magic))
     return hit
 
 
@@ -126,6 +128,24 @@ def _fields(line: Column) -> Column:
     return F.when(line.contains('"'), unquoted).otherwise(F.split(line, ",", -1))
 
 
+def _passing_names(places: list[str]) -> Column:
+    """Names of the columns that pass through; null for those that serve a canonical name.
+
+    A name that occurred before, or is a canonical name already served, gets a
+    ``__dupN`` suffix, as ``rename_columns`` does it.
+    """
+    used = F.array(*[F.col(p) for p in places])
+    passing = F.transform("_header", lambda name, i: F.when(
+        ~F.array_contains(used, (i + 1).cast("bigint")), name))
+    served = F.array_compact(F.array(*[F.when(F.col(p) > 0, F.lit(p.removeprefix("_at_"))) for p in places]))
+    before = lambda names, name, i: F.size(F.filter(
+        F.concat(served, F.slice(names, F.lit(1), i)), lambda x: x == name))
+    return F.transform(passing, lambda name, i: F.when(
+        before(passing, name, i) > 0,
+        F.concat(name, F.lit("__dup"), before(passing, name, i).cast("string")),
+    ).otherwise(name))
+
+
 def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows of many CSV texts, each with a header of its own.
 
@@ -147,7 +167,7 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
             spot = F.array_position("_header", name)
             at = F.when(spot > 0, spot).otherwise(at)
         places[f"_at_{canonical}"] = F.coalesce(at, F.lit(0).cast("bigint"))
-    placed = settle(lined, places)
+    placed = settle(settle(lined, places), {"_names": _passing_names(list(places))})
     missing = F.array_join(F.array_compact(F.array(*[
         F.when(F.col(f"_at_{c}") == 0, F.lit(c)) for c in REQUIRED_LOG_COLUMNS
     ])), ", ")
@@ -162,16 +182,13 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
 
     rows = (
         checked.where(F.col("reject_reason").isNull())
-        .select(INV, "_header", *places, F.posexplode(F.expr("slice(_lines, 2, size(_lines))"))
+        .select(INV, "_names", *places, F.posexplode(F.expr("slice(_lines, 2, size(_lines))"))
                 .alias("line_number", "_line"))
     )
     rows = settle(rows, {"_cells": F.transform(_fields(F.col("_line")), missing_to_null)})
-    used = F.array(*[F.col(p) for p in places])
     extra = F.map_from_entries(F.filter(
-        F.transform("_header", lambda name, i: F.when(
-            ~F.array_contains(used, (i + 1).cast("bigint"))
-            & (F.array_position("_header", name) == i + 1),
-            F.struct(name.alias("key"), F.get("_cells", i).alias("value")),
+        F.transform("_names", lambda name, i: F.when(
+            name.isNotNull(), F.struct(name.alias("key"), F.get("_cells", i).alias("value")),
         )),
         lambda e: e.isNotNull(),
     ))
@@ -184,21 +201,22 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     return logs, rejected
 
 
-def read_log_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_log_files(spark: SparkSession, path: str,
+                   max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """S1, S3..S5 for a folder of uploads with differing headers.
 
     Each accepted file becomes one investigation.  Returns the raw log rows and
     the rejected files with the reason.  Names and sizes are judged from the
-    listing alone; only files of ``MAX_FILE_BYTES`` at most are opened, so
+    listing alone; only files of ``max_bytes`` at most are opened, so
     reading one whole is bounded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    listed = size_gate(with_provenance(files.drop("content")))
+    listed = size_gate(with_provenance(files.drop("content")), max_bytes=max_bytes)
     by_name = F.coalesce(
         "reject_reason", "size_reason",
         F.when(F.col("upload_source") == "excel", "Convert Excel files to CSV first"),
     )
-    opened = with_provenance(files.where(F.col("length") <= MAX_FILE_BYTES)).where(
+    opened = with_provenance(files.where(F.col("length") <= max_bytes)).where(
         F.col("upload_source") == "csv"
     )
     text = F.col("content").cast("string")

@@ -9,10 +9,11 @@ from logvigil.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "local[8]", 4, "logvigil-tests", spark__ui__enabled="false", spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("stages")),
     )
     session.sparkContext.setLogLevel("OFF")
     yield session

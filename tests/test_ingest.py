@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from logvigil.operators.normalise import (
-    column_mapping, normalise_logs, normalise_with_quarantine, reject_bad_investigations, rename_columns,
-    with_event_id,
+    column_mapping, normalise_logs, normalise_with_quarantine, parse_timestamp, reject_bad_investigations,
+    rename_columns, to_bytes, with_event_id,
 )
 from logvigil.operators.rules import detect_anomalies
 from logvigil.sources import logs
@@ -55,6 +55,43 @@ def test_normalise(spark):
         normalise_logs(frame.select("date", "from_ip"))
 
 
+def test_timestamp_forms(spark):
+    at = datetime(2026, 7, 20, 8)
+    forms = {
+        "2026-07-20 08:00 AM": at, "20260720": datetime(2026, 7, 20), "20260720T080000": at,
+        "7/20/26 8:00": at, "7/30/2026 14:20:00Z": datetime(2026, 7, 30, 14, 20),
+        "30/07/2026T14:20:00": datetime(2026, 7, 30, 14, 20), "Mon, 20 Jul 2026 08:00:00 GMT": at,
+        "Jul 20 2026 08:00:00": at, "July 20, 2026 08:00": at, "2026-07-20 08:00:00,123": at.replace(microsecond=123_000),
+        "20/07/26 10:00:00+02:00": at, "2026-07-20 8:00pm": datetime(2026, 7, 20, 20), "7/8/2026": datetime(2026, 7, 8),
+        "13/13/2026": None, "2/30/2026": None, "soon": None, "2026-13-01": None,
+    }
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(forms)], "i int, t string")
+    found = rows.select("i", parse_timestamp(F.col("t")).alias("t")).orderBy("i").collect()
+    assert dict(zip(forms, (r.t for r in found), strict=True)) == forms
+
+
+def test_numbers(spark):
+    texts = ["1d", "1f", "0x1p3", "1e3", " -2.5 ", ".5", "5.", "inf", "-Infinity", "nan", "1_000", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", to_bytes(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [r.b for r in found] == [0, 0, 0, 1000, -2.5, 0.5, 5, float("inf"), float("-inf"), 0, 0, 0, 0]
+
+
+def test_headers_must_agree(spark, folder):
+    (folder / "one.csv").write_text("time,src,dst,type\n2026-01-01,a,b,c\n")
+    (folder / "two.csv").write_text("src,time,dst,type\na,2026-01-01,b,c\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        logs.read_logs(spark, str(folder)).collect()
+    (folder / "two.csv").write_text('time,src,dst,type\n2026-01-01,a,b,"two\nlines"\n')
+    rows = logs.read_logs(spark, str(folder), multi_line=True).collect()
+    assert sorted(r.type for r in rows) == ["c", "two\nlines"]
+
+
+def test_event_ids_cover_maps(spark):
+    rows = spark.createDataFrame([("a", {"x": "1"}), ("a", {"x": "2"})], "src string, extra map<string,string>")
+    assert with_event_id(rows).select("event_id").distinct().count() == 2
+
+
 def test_duplicate_names(spark):
     frame = spark.createDataFrame([("1", "2", "3")], ["Src", "src_ip", "x"]).toDF("src", "src_ip", "SRC")
     assert rename_columns(frame).columns == ["src", "src_ip", "SRC__dup1"]

@@ -19,16 +19,23 @@ def test_records(spark):
         "mitre_technique_ids array<string>, source string")
     row = knowledge.pattern_records(patterns).first()
     assert row.document == (
-        "South African threat pattern: Name (P). Description: What. Indicators: i1; i2. Affected sectors: s. "
-        "MITRE ATT&CK techniques: T1, T2. Source: src.")
+        "P | Name | What. | signs: i1; i2 | sectors: s | techniques: T1, T2 | from src")
     assert row.metadata["mitre_technique_ids"] == "T1, T2"
     rules = spark.createDataFrame(
         [("C", "Act", "s1", "Title", "Sum.", ["a", "b"], "Do.", "Body", "soon")],
         "id string, legislation string, section string, title string, summary string, "
         "trigger_conditions array<string>, required_action string, reporting_body string, deadline string")
     assert knowledge.compliance_records(rules).first().document == (
-        "Compliance rule: Act, s1 - Title. Summary: Sum. Trigger conditions: a; b. Required action: Do. "
-        "Reporting body: Body. Deadline: soon.")
+        "Act | s1 | Title | Sum. | applies when: a; b | do: Do. | report to Body | within soon")
+
+
+def test_upsert_does_not_depend_on_order(spark):
+    schema = "collection string, id string, document string, line int"
+    new = [("c", "a", "one", 1), ("c", "a", "two", 2), ("c", "b", "x", 1), ("c", "b", "y", 1)]
+    current = spark.createDataFrame([("c", "a", "old", 0), ("c", "z", "kept", 0)], schema).drop("line")
+    for rows in (new, new[::-1]):
+        out = knowledge.upsert(current, spark.createDataFrame(rows, schema), position="line")
+        assert sorted(map(tuple, out.collect())) == [("c", "a", "two"), ("c", "b", "y"), ("c", "z", "kept")]
 
 
 def test_vector_space(spark):

@@ -96,7 +96,7 @@ def test_investigate_store_regenerate(spark, folder):
     assert scored.count() == 1000
     assert 0.03 < scored.where("ml_is_anomaly").count() / 1000 < 0.07
     report = text_report(store.incident_view(spark.read.parquet(str(folder / "investigations")))).collect()
-    assert all(r.report.startswith("INCIDENT REPORT\n\nInvestigation ID: inv-") for r in report)
+    assert all(r.report.startswith("INVESTIGATION SUMMARY SHEET\n\nInvestigation ID: inv-") for r in report)
 
 
 def test_shared_folder(spark):
