@@ -3,50 +3,36 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): the number of rounds grows with the
 logarithm of the graph, also on long chains, where plain label passing needs as
-many rounds as the chain is long.  Each round is cut by a reliable checkpoint.
+many rounds as the chain is long.  Each round is written to the shared folder.
+Neighbours are pre-aggregated in each task; a join on a node with very many links is
+split by adaptive execution.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from logvigil.functions.skew import UNIT, balanced_join
 from logvigil.session import cut_lineage
 
 INV = "investigation_id"
-MAX_ROUNDS = 100
 
 
 def _smallest(links: DataFrame) -> DataFrame:
-    return links.groupBy(INV, "u").agg(
-        F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("links")
-    )
-
-
-def _with_smallest(links: DataFrame, smallest: DataFrame, unit: int, total: int) -> DataFrame:
-    """Links with the smallest neighbour of ``u``; heavy nodes are cut in slices.
-
-    No node has more links than there are in all, so a graph below ``unit``
-    links needs no search for heavy ones.
-    """
-    if total <= unit:
-        return links.join(smallest, [INV, "u"])
-    return balanced_join(links, smallest, [INV, "u"], weights=smallest, weight="links",
-                         row_id=["v"], how="inner", unit=unit)
+    return links.groupBy(INV, "u").agg(F.least("u", F.min("v")).alias("m"))
 
 
-def _large_star(pairs: DataFrame, unit: int, total: int) -> DataFrame:
+def _large_star(pairs: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     back = pairs.select(INV, F.col("v").alias("u"), F.col("u").alias("v"))
     smallest = _smallest(pairs.unionByName(back))
-    joined = _with_smallest(back, smallest, unit, total)
+    joined = back.join(smallest, [INV, "u"])
     return joined.select(INV, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(pairs: DataFrame, unit: int, total: int) -> DataFrame:
+def _small_star(pairs: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     smallest = _smallest(pairs)
-    joined = _with_smallest(pairs, smallest, unit, total)
+    joined = pairs.join(smallest, [INV, "u"])
     return (
         joined.where(F.col("v") != F.col("m"))
         .select(INV, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -55,8 +41,8 @@ def _small_star(pairs: DataFrame, unit: int, total: int) -> DataFrame:
     )
 
 
-def _state(pairs: DataFrame) -> tuple[int, bool]:
-    """Number of links, and whether they are separate stars.
+def _settled(pairs: DataFrame) -> bool:
+    """Whether the links are separate stars.
 
     The steps keep what is connected connected.  So once every node has one
     link at most to a smaller one, and no such node is itself linked to, each
@@ -69,14 +55,10 @@ def _state(pairs: DataFrame) -> tuple[int, bool]:
     per_node = ends.groupBy(INV, "node").agg(
         F.sum("up").alias("up"), F.bool_or("centre").alias("centre")
     )
-    links, unsettled = per_node.agg(
-        F.coalesce(F.sum("up"), F.lit(0)),
-        F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & F.col("centre"))),
-    ).first()
-    return links, unsettled == 0
+    return per_node.where((F.col("up") > 1) | ((F.col("up") > 0) & F.col("centre"))).isEmpty()
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, unit: int = UNIT) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(investigation_id, node_id, component) for each address node.
 
     ``edges`` has source and target; ``nodes`` has node_id.  The component is
@@ -88,15 +70,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame, unit: int = UNIT) -
         .select(INV, F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v"))
         .distinct()
     )
-    for _ in range(MAX_ROUNDS):
-        links, settled = _state(pairs)
-        if settled:
-            break
-        # neither step makes more links than it gets, counted in both directions
-        total = 2 * links
-        pairs = cut_lineage(_small_star(_large_star(pairs, unit, total), unit, total))
-    else:
-        raise RuntimeError("connected components did not settle")
+    while not _settled(pairs):
+        pairs = cut_lineage(_small_star(_large_star(pairs)))
     stars = pairs.select(INV, F.col("u").alias("node_id"), F.col("v").alias("component"))
     return (
         nodes.where(F.col("node_id").startswith("ip:")).select(INV, "node_id")

@@ -20,6 +20,7 @@ from logvigil.constants import (
 from logvigil.functions.network import cross_border
 from logvigil.functions.skew import UNIT, balanced_join
 from logvigil.functions.text import contains_any
+from logvigil.session import cut_lineage
 
 SOURCE = ["investigation_id", "src_ip"]
 HOUR_US = 3_600_000_000
@@ -147,19 +148,34 @@ def _spans_by_hour(spans: DataFrame, names: list[str], zone: str) -> DataFrame:
     )
 
 
-def source_profile(events: DataFrame) -> DataFrame:
-    """events, mean bytes and distinct ports of each source."""
+def hourly_ports(events: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Events and bytes per source, clock hour and port: the one aggregate F1..F3 come from."""
     return (
-        events.where("investigation_id is not null and src_ip is not null")
-        .groupBy(*SOURCE)
-        .agg(
-            F.count(F.lit(1)).alias("source_events"),
-            F.avg("bytes_transferred").alias("source_mean_bytes"),
-            F.count_distinct("dst_port").alias("source_ports"),
-        )
+        _keyed(events, zone)
+        .where("investigation_id is not null and src_ip is not null")
+        .groupBy(*SOURCE, "hour", "dst_port")
+        .agg(F.count(F.lit(1)).alias("events"), F.sum("bytes_transferred").alias("bytes"),
+             F.count("bytes_transferred").alias("amounts"))
     )
 
 
+def profile_of(hourly: DataFrame) -> DataFrame:
+    return hourly.groupBy(*SOURCE).agg(
+        F.sum("events").alias("source_events"),
+        F.try_divide(F.sum("bytes"), F.sum("amounts")).alias("source_mean_bytes"),
+        F.count_distinct("dst_port").alias("source_ports"),
+    )
+
+
+def counts_of(hourly: DataFrame) -> DataFrame:
+    return hourly.groupBy(*SOURCE, "hour").agg(F.sum("events").alias("source_hour_events"))
+
+
+def source_profile(events: DataFrame) -> DataFrame:
+    """events, mean bytes and distinct ports of each source."""
+    return profile_of(hourly_ports(events))
+
+
 def _keyed(events: DataFrame, zone: str) -> DataFrame:
     ts_us = F.unix_micros("timestamp")
     return events.withColumns({
@@ -170,25 +186,20 @@ def _keyed(events: DataFrame, zone: str) -> DataFrame:
 
 def hourly_counts(events: DataFrame, zone: str = "UTC") -> DataFrame:
     """events per source and clock hour."""
-    return (
-        _keyed(events, zone)
-        .where("investigation_id is not null and src_ip is not null")
-        .groupBy(*SOURCE, "hour")
-        .agg(F.count(F.lit(1)).alias("source_hour_events"))
-    )
+    return counts_of(hourly_ports(events, zone))
 
 
-def source_ledger(events: DataFrame, zone: str = "UTC") -> DataFrame:
+def source_ledger(events: DataFrame, hourly: DataFrame, zone: str = "UTC") -> DataFrame:
     """All facts about a source in one clock hour, bursts included."""
-    candidates = _keyed(events, zone).withColumn(
-        "burst",
+    candidates = events.select(
+        *SOURCE, F.unix_micros("timestamp").alias("ts_us"),
         F.when(is_failed(F.col("event_type")), F.array(F.lit("rapid"), F.lit("brute")))
-        .otherwise(F.array(F.lit("rapid"))),
+        .otherwise(F.array(F.lit("rapid"))).alias("burst"),
     )
     spans = burst_spans(candidates, SOURCE, BURSTS)
     return (
-        hourly_counts(events, zone)
-        .join(source_profile(events), SOURCE)
+        counts_of(hourly)
+        .join(profile_of(hourly), SOURCE)
         .join(_spans_by_hour(spans, list(BURSTS), zone), [*SOURCE, "hour"], "left")
     )
 
@@ -198,13 +209,15 @@ def with_source_context(events: DataFrame, zone: str = "UTC", unit: int = UNIT)
 
     Adds source_events, source_mean_bytes, source_ports, source_hour_events and
     the flags in_rapid_burst, in_brute_burst and is_abroad.  Events without a source match
-    nothing.
+    nothing.  Three scans of the events: one for the small hourly table, which is
+    written once, one for the bursts, and one for the events themselves.
     """
+    hourly = cut_lineage(hourly_ports(events, zone))
     # the address test is the costliest rule: below the join it runs once per event
     keyed = _keyed(events, zone).withColumn("is_abroad", cross_border("dst_ip"))
     joined = balanced_join(
-        keyed, source_ledger(events, zone), [*SOURCE, "hour"],
-        weights=hourly_counts(events, zone), weight="source_hour_events",
+        keyed, source_ledger(events, hourly, zone), [*SOURCE, "hour"],
+        weights=counts_of(hourly), weight="source_hour_events",
         row_id=["event_id"], unit=unit,
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logvigil.constants import SCAN_PORTS, SPIKE_FACTOR, SPIKE_MIN_EVENTS
+from logvigil.constants import REASON_POINTS, SCAN_PORTS, SPIKE_FACTOR, SPIKE_MIN_EVENTS
 from logvigil.functions.network import cross_border
 from logvigil.functions.skew import UNIT
 from logvigil.functions.text import flag_list
@@ -18,7 +18,7 @@ def prepare(events: DataFrame, require_nonempty: bool = False) -> DataFrame:
     """Check the columns and coerce bytes and port."""
     check_columns(events, REQUIRED)
     if require_nonempty and events.isEmpty():
-        raise ValueError("Anomaly detection requires at least one log event")
+        raise ValueError("There are no events to look at")
     return events.withColumns({
         "bytes_transferred": to_bytes(F.col("bytes_transferred")),
         "dst_port": to_port(F.col("dst_port")),
@@ -48,8 +48,7 @@ def source_rules() -> dict[str, Column]:
     }
 
 
-RULE_ORDER = ("AMOUNT_SPIKE", "RAPID_SUCCESSION", "OFF_HOURS", "ROUND_BYTES", "NEW_SOURCE",
-              "PORT_SCAN", "CROSS_BORDER", "BRUTE_FORCE")
+RULE_ORDER = tuple(REASON_POINTS)
 
 
 def anomaly_reasons(zone: str = "UTC") -> Column:

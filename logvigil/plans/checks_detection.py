@@ -96,8 +96,43 @@ def cross_border_addresses(spark, sf_dir):
 
 
 def isolation_forest_flags(spark, sf_dir):
-    context = features.with_source_context(rules.prepare(logs(spark, sf_dir)))
-    return isolation_forest(context).select(INV, "event_id", "ml_is_anomaly")
+    """R10 as facts: the flagged share, and whether planted outliers are flagged."""
+    planted = F.col("event_id") % 997 == 5
+    far = logs(spark, sf_dir).withColumns({
+        "bytes_transferred": F.when(planted, 1e12).otherwise(F.col("bytes_transferred")),
+        "dst_port": F.when(planted, 65_000).otherwise(F.col("dst_port")),
+    })
+    found = isolation_forest(features.with_source_context(rules.prepare(far)))
+    share = F.count_if("ml_is_anomaly") / F.count(F.lit(1))
+    return found.groupBy(INV).agg(
+        F.count(F.lit(1)).alias("events"), share.between(0.03, 0.06).alias("share_as_set"),
+        F.count_if(planted).alias("planted"), F.count_if(planted & F.col("ml_is_anomaly")).alias("planted_found"),
+    )
+
+
+def outlier_scores(spark, sf_dir):
+    """Given outliers among the events."""
+    given = logs(spark, sf_dir).withColumn("ml_is_anomaly", F.col("event_id") % 20 == 0)
+    return scored_events(given).select(
+        INV, "event_id", "is_anomaly", "threat_score", "threat_level", piped("threat_signals"))
+
+
+def column_checks(spark, sf_dir):
+    """The complaint about each column that is taken away, and about an empty input."""
+    frame = logs(spark, sf_dir)
+
+    def complaint(check) -> str:
+        try:
+            check()
+        except ValueError as error:
+            return str(error)
+        return ""
+
+    found = [(c, complaint(lambda c=c: rules.prepare(frame.drop(c)))) for c in sorted(frame.columns)]
+    none = frame.where("event_id < 0")
+    found.append(("(no rows)", complaint(lambda: rules.prepare(none, require_nonempty=True))))
+    found.append(("(all rows)", complaint(lambda: rules.prepare(frame, require_nonempty=True))))
+    return spark.createDataFrame(found, "taken string, complaint string")
 
 
 def threat_scores(spark, sf_dir):
@@ -180,7 +215,27 @@ CHECKS = {
         WITH a AS (SELECT o_orderkey, (({_NUMBER}) // 16777216) || '.' || (({_NUMBER}) // 65536 % 256)
                      || '.' || (({_NUMBER}) // 256 % 256) || '.' || (({_NUMBER}) % 256) AS address FROM orders)
         SELECT o_orderkey, address, {sql.ABROAD.format(c='address')} AS outside FROM a"""),
-    "isolation_forest_flags": (isolation_forest_flags, None),
+    "isolation_forest_flags": (isolation_forest_flags, _LOGS + """
+        SELECT investigation_id, count(*) AS events, true AS share_as_set,
+               count(*) FILTER (event_id % 997 = 5) AS planted,
+               count(*) FILTER (event_id % 997 = 5) AS planted_found FROM logs GROUP BY ALL"""),
+    "outlier_scores": (outlier_scores, _SCORED + """,
+        given AS (SELECT *, event_id % 20 = 0 AS ml FROM marked),
+        rated AS (
+          SELECT *, CAST(least(100, """ + sql.POINTS + """ + CASE WHEN ml THEN 15 ELSE 0 END) AS INTEGER) AS score
+          FROM given)
+        SELECT investigation_id, event_id, ml OR """ + sql.REASONS + """ <> '' AS is_anomaly, score AS threat_score,
+               CASE WHEN score = 0 THEN 'None' WHEN score <= 24 THEN 'Low' WHEN score <= 49 THEN 'Medium'
+                    WHEN score <= 74 THEN 'High' ELSE 'Critical' END AS threat_level,
+               """ + sql.labels("CASE WHEN ml THEN 'Statistical outlier (ML)' END") + """ AS threat_signals
+        FROM rated"""),
+    "column_checks": (column_checks, """
+        SELECT taken, CASE WHEN taken = '(no rows)' THEN 'There are no events to look at'
+                           WHEN needed THEN 'Missing required columns: ' || taken ELSE '' END AS complaint
+        FROM (VALUES ('investigation_id', false), ('event_id', false), ('timestamp', true), ('src_ip', true),
+              ('dst_ip', true), ('event_type', true), ('dst_port', true), ('protocol', false),
+              ('bytes_transferred', true), ('user_account', false), ('device_id', false),
+              ('(no rows)', false), ('(all rows)', false)) AS t(taken, needed)"""),
     "threat_scores": (threat_scores, _SCORED + """
         SELECT investigation_id, event_id, threat_score, threat_level, signals AS threat_signals FROM scored"""),
     "protocol_mismatch": (protocol_mismatch, _LOGS + f"""

@@ -343,7 +343,10 @@ CHECKS = {
                string_agg(id, '|' ORDER BY 1 - distance DESC, collection, id) AS ids,
                'text of ' || list_extract(list(id ORDER BY 1 - distance DESC, collection, id), 1) AS first_content
         FROM hits WHERE position <= 3 GROUP BY query_id"""),
-    "hashed_embedding": (hashed_embedding, None),
+    "hashed_embedding": (hashed_embedding, r"""
+        SELECT doc_id, 256 AS dim,
+               CASE WHEN regexp_matches(text, '[\p{L}\p{N}.]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS square
+        FROM documents"""),
     "query_text": (query_text, sql.chain(sql.SCORED, sql.flags(), sql.TOP, sql.QUERY_TEXT)
                    + " SELECT * FROM asked"),
     "pattern_techniques": (pattern_techniques, sql.chain(sql.SCORED, sql.flags(), sql.TECHNIQUES) + """

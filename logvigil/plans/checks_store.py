@@ -14,7 +14,8 @@ from logvigil.plans.adapter import load, telemetry_of
 from logvigil.plans.checks_detection import INV, piped, scored, stamp
 from logvigil.plans.investigate import investigate
 from logvigil.session import cut_lineage, scratch_path
-from logvigil.sources.sinks import text_report, to_json_rows, write_investigations
+from logvigil.sources.sinks import text_report, to_json_rows
+from logvigil.sources.store import CHILD_TABLES, InvestigationStore, write_investigations
 from logvigil.sources.versioned import VersionedTable
 
 
@@ -89,6 +90,68 @@ def after_versioned_delete(spark, sf_dir):
     return table.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("investigations"))
 
 
+def _store(spark: SparkSession, sf_dir: str) -> InvestigationStore:
+    """Orders as investigations, their lines as events, the customers' nations as nodes; written twice."""
+    keep = InvestigationStore(spark, scratch_path(spark, "store"))
+    main = stored(spark, sf_dir).withColumn("compliance_summary", F.lit(""))
+    events = load(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("inv-"), "l_orderkey").alias(INV), F.col("l_linenumber").alias("event_id"),
+        F.col("l_returnflag").alias("event_type"))
+    nodes = load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("inv-"), "o_orderkey").alias(INV), F.concat(F.lit("user:"), "o_custkey").alias("node_id"))
+    few = lambda df: df.where(F.substring(INV, 5, 20).cast("long") % 50 == 0)
+    tables = {"investigations": few(main), "events": few(events), "nodes": few(nodes)}
+    keep.write({name: table.limit(0) if name == "nodes" else table for name, table in tables.items()})
+    keep.write(tables)
+    return keep
+
+
+def _counts(keep: InvestigationStore) -> DataFrame:
+    out = None
+    for name in ("investigations", "events", "nodes"):
+        rows = keep.read(name).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def stored_twice(spark, sf_dir):
+    """A second write of the same investigations replaces the first."""
+    return _counts(_store(spark, sf_dir))
+
+
+def stored_delete(spark, sf_dir):
+    """Half of the requests come from strangers; children go with their investigation."""
+    keep = _store(spark, sf_dir)
+    number = F.substring(INV, 5, 20).cast("long")
+    keep.delete(keep.read().where(number % 200 == 0).select(
+        F.when(number % 400 == 0, F.col("user_id")).otherwise("stranger").alias("user_id"), INV))
+    return _counts(keep)
+
+
+def stored_regeneration(spark, sf_dir):
+    """New reports are stored and read back."""
+    keep = _store(spark, sf_dir)
+    number = F.substring(INV, 5, 20).cast("long")
+    reports = keep.read().where(number % 150 == 0).select(
+        F.when(number % 300 == 0, F.col("user_id")).otherwise("stranger").alias("user_id"), INV,
+        F.when(number % 900 == 0, "broken").alias("report_error"),
+        F.concat(F.lit("new "), INV).alias("incident_summary"),
+        F.array(F.lit("one")).alias("incident_next_steps"), F.array(F.lit("T1")).alias("mitre_techniques"),
+        F.array().cast("array<string>").alias("rag_sources_used"))
+    keep.regenerate(reports, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    return keep.read().select(INV, "user_id", "incident_summary", piped("mitre_techniques"), stamp("regenerated_at"))
+
+
+def orphaned_rows(spark, sf_dir):
+    """Events of investigations that were not uploaded are reported, not lost in silence."""
+    main = stored(spark, sf_dir).where(F.substring(INV, 5, 20).cast("long") % 3 == 0)
+    events = load(spark, sf_dir, "lineitem").where("l_orderkey % 100 < 5").select(
+        F.concat(F.lit("inv-"), "l_orderkey").alias(INV), F.col("l_linenumber").alias("event_id"))
+    few = main.where(F.substring(INV, 5, 20).cast("long") % 100 < 5)
+    rejects = write_investigations({"investigations": few, "events": events}, scratch_path(spark, "store"))
+    return rejects.select(F.col("table").alias("name"), INV, "rows")
+
+
 def filename_filter(spark, sf_dir):
     return store.filename_contains(stored(spark, sf_dir), " URGENT ").select(INV, "filename")
 
@@ -205,7 +268,29 @@ _SHORT = """SELECT investigation_id, user_id, filename, strftime(created_at, '%Y
 _ISO = """strftime(created_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(created_at) % 1000000 <> 0
   THEN strftime(created_at, '.%f') ELSE '' END || '+00:00'"""
 
+_KEPT = """
+    WITH kept AS (SELECT o_orderkey, 'user' || (o_custkey % 20) AS user_id FROM orders
+                  WHERE o_orderkey % 50 = 0 AND {0}),
+    named AS (SELECT user_id, 'investigations' AS name FROM kept
+              UNION ALL SELECT user_id, 'nodes' FROM kept
+              UNION ALL SELECT user_id, 'events' FROM kept JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT user_id, name, count(*) AS rows FROM named GROUP BY ALL"""
+
 CHECKS = {
+    "stored_twice": (stored_twice, _KEPT.format("true")),
+    "stored_delete": (stored_delete, _KEPT.format("o_orderkey % 400 <> 0")),
+    "stored_regeneration": (stored_regeneration, """
+        SELECT 'inv-' || o_orderkey AS investigation_id, 'user' || (o_custkey % 20) AS user_id,
+               CASE WHEN fresh THEN 'new inv-' || o_orderkey
+                    WHEN o_orderstatus = 'F' THEN 'order ' || o_orderkey END AS incident_summary,
+               CASE WHEN fresh THEN 'T1' WHEN o_orderkey % 4 = 0 THEN 'T1078|T1110' ELSE '' END AS mitre_techniques,
+               CASE WHEN fresh THEN '2026-01-01 00:00:00.000000' END AS regenerated_at
+        FROM (SELECT *, o_orderkey % 300 = 0 AND o_orderkey % 900 <> 0 AS fresh FROM orders)
+        WHERE o_orderkey % 50 = 0"""),
+    "orphaned_rows": (orphaned_rows, """
+        SELECT 'events' AS name, 'inv-' || l_orderkey AS investigation_id, count(*) AS rows
+        FROM lineitem WHERE l_orderkey % 100 < 5 AND l_orderkey % 3 <> 0 GROUP BY l_orderkey"""),
+
     "owned_page": (owned_page, _STORED + _SHORT + """ WHERE user_id = 'user7'
         ORDER BY high_threat_count DESC, investigation_id LIMIT 20 OFFSET 40"""),
     "owned_page_by_date": (owned_page_by_date, _STORED + _SHORT + """ WHERE user_id = 'user3'

@@ -43,7 +43,7 @@ def graph_tables(scored: DataFrame, unit: int = UNIT) -> dict[str, DataFrame]:
     # nodes, traffic and clusters are each read by several of the tables below
     nodes, traffic = cut_lineage(graph_nodes(scored)), cut_lineage(edge_events(scored))
     edges = edges_of(traffic)
-    components = cut_lineage(connected_components(edges, nodes, unit))
+    components = cut_lineage(connected_components(edges, nodes))
     found = attack_clusters(nodes, components, traffic, unit)
     clusters = cut_lineage(found["clusters"])
     return {

@@ -1,34 +1,39 @@
-"""Tables that are replaced as a whole, on plain Parquet.
+"""Tables that are replaced as a whole, on plain Parquet (K7).
 
-Each change writes a new version folder; a version counts once its job has
-committed it.  Readers of an older version are not disturbed, and a failed or
-repeated job leaves the last version as it was.
+A change is written to a folder of its own and renamed to the next version when it is
+complete.  Readers of an older version are not disturbed; a writer that dies leaves
+the last version as it was, and its folder is in nobody's way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 class VersionedTable:
-    """The newest committed version below ``root``."""
+    """The newest version below ``root``."""
 
     def __init__(self, spark: SparkSession, root: str, partition_by: tuple[str, ...] = ()):
         self.spark, self.root, self.partition_by = spark, root.rstrip("/"), partition_by
 
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    @property
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
+        fs, root = self._fs, self._path("")
+        if not fs.exists(root):
             return []
-        found = []
-        for status in fs.listStatus(path):
-            name = status.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-            if name.startswith("version=") and fs.exists(done):
-                found.append(int(name.split("=", 1)[1]))
-        return sorted(found)
+        names = [status.getPath().getName() for status in fs.listStatus(root)]
+        done = [n for n in names if n.startswith("version=") and fs.exists(self._path(f"{n}/_SUCCESS"))]
+        return sorted(int(n.split("=", 1)[1]) for n in done)
 
     def exists(self) -> bool:
         return bool(self._versions())
@@ -37,16 +42,26 @@ class VersionedTable:
         versions = self._versions()
         if not versions:
             raise ValueError(f"No committed version below {self.root}")
-        return self.spark.read.parquet(f"{self.root}/version={version or versions[-1]:08d}")
+        folder = f"{self.root}/version={version or versions[-1]:08d}"
+        stored = self._fs.open(self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_schema"))
+        schema = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stored, "UTF-8")
+        stored.close()
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(folder)
 
     def replace(self, df: DataFrame) -> int:
         """Write ``df``, which may read the current version, as the next one.
 
-        Fails when another writer took the same version number.
+        A number that another writer or a dead one left behind is passed over.
         """
+        attempt = f"_attempt-{uuid.uuid4().hex}"
+        rows = df.hint("rebalance", *self.partition_by) if self.partition_by else df
+        rows.write.partitionBy(*self.partition_by).parquet(f"{self.root}/{attempt}")
+        out = self._fs.create(self._path(f"{attempt}/_schema"), False)
+        out.write(bytearray(df.schema.json().encode()))
+        out.close()
         number = (self._versions() or [0])[-1] + 1
-        target = f"{self.root}/version={number:08d}"
-        if self.partition_by:
-            df = df.hint("rebalance", *self.partition_by)
-        df.write.mode("errorifexists").partitionBy(*self.partition_by).parquet(target)
+        while self._fs.exists(self._path(f"version={number:08d}")):
+            number += 1
+        if not self._fs.rename(self._path(attempt), self._path(f"version={number:08d}")):
+            raise RuntimeError(f"version {number} could not be committed")
         return number

@@ -77,7 +77,7 @@ def test_components_against_union_find(spark):
         f"{INV} string, node_id string")
     expected = {(g, n): c for g, pairs in graphs.items() for n, c in union_find(pairs).items()}
     for unit in (1_000_000, 7):
-        got = {(r[INV], r.node_id): r.component for r in connected_components(edges, nodes, unit).collect()}
+        got = {(r[INV], r.node_id): r.component for r in connected_components(edges, nodes).collect()}
         assert got == expected
 
 
@@ -89,7 +89,7 @@ def test_clusters(spark):
     frame = scored(spark, rows)
     nodes, edges = graph_nodes(frame), graph_edges(frame)
     for unit in (1_000_000, 1):
-        parts = connected_components(edges, nodes, unit)
+        parts = connected_components(edges, nodes)
         found = attack_clusters(nodes, parts, edge_events(frame), unit)
         got = found["clusters"].orderBy("position").collect()
         assert [(r.cluster_id, r.first_node, r.node_count, r.suspicious_nodes, r.edge_count, r.total_bytes,

@@ -12,7 +12,8 @@ from logvigil.plans.adapter import telemetry_of
 from logvigil.plans.checks_store import uploads
 from logvigil.plans.investigate import investigate
 from logvigil.session import shared_dir
-from logvigil.sources.sinks import CHILD_TABLES, text_report, to_json_rows, write_investigations
+from logvigil.sources.sinks import text_report, to_json_rows
+from logvigil.sources.store import CHILD_TABLES, InvestigationStore, write_investigations
 from logvigil.sources.versioned import VersionedTable
 
 INV = "investigation_id"
@@ -55,7 +56,29 @@ def test_versions(spark, table, folder):
     versioned.replace(table)
     versioned.replace(store.without(versioned.read(), "me", "i03"))
     (folder / "t" / "version=00000003").mkdir()    # a writer that never finished
+    (folder / "t" / "_attempt-dead").mkdir()
     assert versioned.read().count() == 14 and versioned.read(1).count() == 15
+    versioned.replace(versioned.read().limit(0))
+    assert versioned.read().count() == 0 and versioned.read().columns == versioned.read(1).columns
+
+
+def test_store_survives(spark, table, folder):
+    keep = InvestigationStore(spark, str(folder / "s"))
+    with pytest.raises(ValueError):
+        keep.read()
+    main = table.withColumn("user_id", F.concat("user_id", F.lit("/a=b")))
+    events = main.select(INV, F.lit(1).alias("event_id"))
+    lost = events.limit(1).withColumn(INV, F.lit("unknown"))
+    rejects = keep.write({"investigations": main, "events": events.unionByName(lost)})
+    assert [tuple(r) for r in rejects.collect()] == [("events", "unknown", 1)]
+    # a writer that died leaves its staging folder
+    (folder / "s" / "investigations" / ".spark-staging-dead" / "user_id=x").mkdir(parents=True)
+    assert keep.read().count() == 15 and keep.read("events").count() == 15
+    keep.write({"investigations": main.limit(2), "events": events.limit(0)})
+    assert keep.read().count() == 15 and keep.read("events").count() == 13
+    keep.delete(main)
+    assert keep.read().count() == keep.read("events").count() == 0
+    assert set(keep.read().columns) == set(main.columns)
 
 
 def test_json_rows(spark):
@@ -82,7 +105,8 @@ def test_investigate_store_regenerate(spark, folder):
         [("sa_threat_intel", "P1", "brute force authentication", {"k": "v"}), ("mitre_attack", "T1", "port scan", {})],
         "collection string, id string, document string, metadata map<string,string>"), "document")
     tables = investigate(events, uploads(events), docs, generate=model)
-    write_investigations({k: tables[k] for k in ["investigations", *CHILD_TABLES]}, str(folder))
+    rejects = write_investigations({k: tables[k] for k in ["investigations", *CHILD_TABLES]}, str(folder))
+    assert rejects.count() == 0
     stored = {r[INV]: r for r in spark.read.parquet(str(folder / "investigations")).collect()}
     assert set(stored) == {"inv-0", "inv-1"}
     assert stored["inv-0"].incident_summary == "from model"
