@@ -12,7 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from logvigil.plans.registry import QUERIES  # noqa: E402
-from logvigil.session import build_session  # noqa: E402
+from logvigil.session import build_session, stage_scope  # noqa: E402
 
 HEADLINE = (
     "normalised_logs", "source_profile", "anomaly_reasons", "threat_scores", "threat_distribution",
@@ -38,7 +38,8 @@ def main() -> None:
     seconds = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with stage_scope(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline queries, total wall time",

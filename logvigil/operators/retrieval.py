@@ -115,12 +115,19 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "l2",
     embedding.  Both sides are cut by hash into parts of bounded size; every
     (query chunk, document block) pair is one task that keeps k hits per query
     and collection, so neither side has to fit in one place and the pairs
-    themselves are never rows.  ``metric``: l2 (squared), euclidean or cosine.
+    themselves are never rows.  ``query_chunks`` and ``doc_blocks`` follow the numbers
+    of rows unless they are given; they do not change the result.  Documents whose vectors
+    are longer or shorter than the queries' are never hits, so a collection from another
+    model counts as unavailable.  ``metric``: l2 (squared), euclidean or cosine.
     """
     if isinstance(k, bool) or not isinstance(k, int):
         raise TypeError("k must be an integer")
     if not 1 <= k <= 10:
         raise ValueError("k must be between 1 and 10")
+    # vectors of another length live in another space: nothing there is near
+    asked = queries.where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("dim")).first()
+    same_length = F.size("embedding") == (asked.dim if asked else 0)
+    queries, docs = queries.where(same_length), docs.where(same_length)
     spread = queries.sparkSession.sparkContext.defaultParallelism
     if query_chunks is None:
         rows = queries.count()

@@ -9,7 +9,9 @@ from logvigil.operators import knowledge, regulatory, reports, retrieval, summar
 from logvigil.plans import oracle as sql
 from logvigil.plans.adapter import load
 from logvigil.plans.checks_detection import INV, piped, scored
-from logvigil.session import cut_lineage
+from logvigil.plans.knowledge_base import ingest
+from logvigil.session import cut_lineage, scratch_path
+from logvigil.sources.versioned import VersionedTable
 
 STIX_OBJECTS = """
     event_id as position,
@@ -82,6 +84,39 @@ def kb_upsert(spark, sf_dir):
     return knowledge.upsert(once, new)
 
 
+def kb_ingested(spark, sf_dir):
+    """Parts as records of three collections, ingested, and every fifth once more with new text."""
+    table = VersionedTable(spark, scratch_path(spark, "kb"))
+    records = load(spark, sf_dir, "part").select(
+        F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("collection"),
+        F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("document"),
+        F.create_map(F.lit("brand"), F.col("p_brand")).alias("metadata"))
+    ingest(table, records)
+    ingest(table, records.where(F.substring("id", 2, 20).cast("long") % 5 == 0).withColumn(
+        "document", F.concat(F.lit("new "), "document")))
+    return table.read().select("collection", "id", "document", F.col("metadata")["brand"].alias("brand"),
+                               "provider", "model", "dim", F.size("embedding").alias("size"))
+
+
+def kb_mismatch(spark, sf_dir):
+    """K8: a stored collection refuses vectors from another space, a new one takes any."""
+    table = VersionedTable(spark, scratch_path(spark, "kb"))
+    records = load(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(
+        F.lit("c0").alias("collection"), F.concat(F.lit("P"), "p_partkey").alias("id"),
+        F.col("p_name").alias("document"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    ingest(table, records)
+    found = []
+    for case, changed in {"same": {}, "provider": {"provider": "x"}, "model": {"model": "x"},
+                          "dim": {"dim": 9}}.items():
+        for name in ("c0", "c1"):
+            try:
+                ingest(table, records.withColumn("collection", F.lit(name)), **changed)
+                found.append((case, name, "stored"))
+            except ValueError as error:
+                found.append((case, name, str(error)))
+    return spark.createDataFrame(found, "changed string, collection string, outcome string")
+
+
 def vector_violations(spark, sf_dir):
     docs = kb_documents(spark, sf_dir)
     number = F.substring("id", 2, 8).cast("int")
@@ -321,6 +356,21 @@ CHECKS = {
         SELECT doc_id, trim(regexp_replace(text,
           '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+',
           ' ', 'g')) AS text FROM documents"""),
+    "kb_ingested": (kb_ingested, """
+        SELECT 'c' || (p_partkey % 3) AS collection, 'P' || p_partkey AS id,
+               CASE WHEN p_partkey % 5 = 0 THEN 'new ' ELSE '' END || p_name AS document, p_brand AS brand,
+               'local' AS provider, 'hashed-terms' AS model, 256 AS dim, 256 AS size FROM part"""),
+    "kb_mismatch": (kb_mismatch, """
+        WITH n AS (SELECT count(*) AS n FROM part WHERE p_partkey % 10 = 0)
+        SELECT changed, collection, outcome FROM n, (VALUES
+          ('same', 'c0', 'stored'), ('same', 'c1', 'stored'),
+          ('provider', 'c0', 'Vector space mismatch in provider; rebuild the collection'),
+          ('provider', 'c1', 'Vector space mismatch in provider; rebuild the collection'),
+          ('model', 'c0', 'Vector space mismatch in model; rebuild the collection'),
+          ('model', 'c1', 'Vector space mismatch in model; rebuild the collection'),
+          ('dim', 'c0', 'Vector space mismatch in dim; rebuild the collection'),
+          ('dim', 'c1', 'Vector space mismatch in dim; rebuild the collection')) AS t(changed, collection, outcome)
+        WHERE n > 0"""),
     "kb_upsert": (kb_upsert, """
         WITH docs AS (SELECT 'c' || label AS collection, 'd' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS id, vec_id
                       FROM embeddings)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logvigil.constants import STEP_PADDING
 from logvigil.operators import knowledge, reports, retrieval
+from logvigil.plans.investigate import retrieve
 
 INV = "investigation_id"
 
@@ -38,6 +39,15 @@ def test_upsert_does_not_depend_on_order(spark):
         assert sorted(map(tuple, out.collect())) == [("c", "a", "two"), ("c", "b", "y"), ("c", "z", "kept")]
 
 
+def test_other_space_is_unavailable(spark):
+    docs = spark.createDataFrame([("c", "a", "text", {"k": "v"}, [1.0, 0.0])],
+                                 "collection string, id string, document string, metadata map<string,string>, "
+                                 "embedding array<float>")
+    queries = spark.createDataFrame([("q", "text")], "query_id string, query_used string")
+    row = retrieve(queries, docs).first()
+    assert (row.rag_available, row.total_retrieved) == (False, 0)
+
+
 def test_vector_space(spark):
     docs = spark.createDataFrame([("c", "a", [1.0, 2.0])], "collection string, id string, embedding array<float>")
     knowledge.check_vector_space(docs, {}, "p", "m", 2)

@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from logvigil.operators.retrieval import hashed_embedding
 from logvigil.plans.adapter import telemetry_of
 from logvigil.plans.checks_store import uploads
 from logvigil.plans.investigate import investigate
-from logvigil.session import shared_dir
+from logvigil.plans.regenerate import regenerate
+from logvigil.session import cut_lineage, shared_dir, stage_scope
 from logvigil.sources.sinks import text_report, to_json_rows
 from logvigil.sources.store import CHILD_TABLES, InvestigationStore, write_investigations
 from logvigil.sources.versioned import VersionedTable
@@ -120,8 +122,28 @@ def test_investigate_store_regenerate(spark, folder):
     assert scored.count() == 1000
     assert 0.03 < scored.where("ml_is_anomaly").count() / 1000 < 0.07
     report = text_report(store.incident_view(spark.read.parquet(str(folder / "investigations")))).collect()
+    keep = InvestigationStore(spark, str(folder))
+    asked = spark.createDataFrame(
+        [("owner", "inv-0"), ("owner", "inv-1"), ("stranger", "inv-0")], f"user_id string, {INV} string")
+    faults = regenerate(keep, asked, lambda p: model(p).withColumn(
+        "raw_report", F.replace("raw_report", F.lit("from model"), F.lit("asked again"))),
+        F.lit("2026-02-01 00:00:00").cast("timestamp"))
+    assert {r[INV]: r.report_error for r in faults.collect()} == {"inv-0": None, "inv-1": "report is not valid JSON"}
+    again = {r[INV]: r for r in keep.read().collect()}
+    assert again["inv-0"].incident_summary == "asked again" and again["inv-0"].rag_sources_used == []
+    assert again["inv-0"].regenerated_at == datetime(2026, 2, 1) and again["inv-1"].regenerated_at is None
+    assert again["inv-1"].incident_summary == stored["inv-1"].incident_summary
+    assert keep.read("events").count() == 1000
     assert all(r.report.startswith("INVESTIGATION SUMMARY SHEET\n\nInvestigation ID: inv-") for r in report)
 
 
+def test_stage_scope(spark, folder):
+    with stage_scope(spark):
+        kept = cut_lineage(spark.range(5))
+        files = kept.inputFiles()
+        assert kept.count() == 5
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files)
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getCheckpointDir()
