@@ -151,6 +151,22 @@ def regulatory_flags(spark, sf_dir):
     return regulatory.investigation_flags(scored(spark, sf_dir))
 
 
+def small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log cut into 2,111 investigations of a few events, so that flags take both signs."""
+    return logs(spark, sf_dir).withColumn(INV, F.concat(F.lit("inv-"), F.col("event_id") % 2111))
+
+
+def small_flags(spark, sf_dir):
+    return regulatory.investigation_flags(scored_events(small(spark, sf_dir)))
+
+
+def small_compliance(spark, sf_dir):
+    return regulatory.classify(scored_events(small(spark, sf_dir))).select(
+        INV, piped("popia_flags"), piped("cybercrimes_flags"), piped("sa_patterns_matched"),
+        "compliance_summary", piped("reporting_obligations"),
+    )
+
+
 def compliance_summary(spark, sf_dir):
     return regulatory.classify(scored(spark, sf_dir)).select(
         INV, piped("popia_flags"), piped("cybercrimes_flags"), piped("sa_patterns_matched"),
@@ -181,6 +197,15 @@ _CONTEXT, _SCORED = sql.chain(sql.CONTEXT), sql.chain(sql.SCORED)
 _LOGS = sql.chain(sql.LOGS)
 _SUMMARY = sql.chain(sql.SCORED, sql.SUMMARY)
 _BY_REASON = "SELECT investigation_id, event_id, src_ip, dst_ip FROM rules WHERE \"{0}\""
+
+
+def _small(text: str) -> str:
+    """The same statement over the small investigations."""
+    whole = f"'inv-' || (g % {sql.INVESTIGATIONS}) AS investigation_id"
+    assert whole in text
+    return text.replace(whole, "'inv-' || (event_id % 2111) AS investigation_id")
+
+
 _NUMBER = "(o_orderkey % 1000000007 * 2654435761) % 4294967296"
 
 CHECKS = {
@@ -241,6 +266,8 @@ CHECKS = {
     "protocol_mismatch": (protocol_mismatch, _LOGS + f"""
         SELECT event_id, dst_port, protocol FROM logs WHERE {sql.MISMATCH}"""),
     "regulatory_flags": (regulatory_flags, sql.chain(sql.SCORED, sql.flags()) + " SELECT * FROM flags"),
+    "small_flags": (small_flags, _small(sql.chain(sql.SCORED, sql.flags())) + " SELECT * FROM flags"),
+    "small_compliance": (small_compliance, _small(sql.chain(sql.SCORED, sql.flags())) + " SELECT * FROM listed"),
     "compliance_summary": (compliance_summary, sql.chain(sql.SCORED, sql.flags()) + " SELECT * FROM listed"),
     "top_events": (top_events, sql.chain(sql.SCORED, sql.TOP) + """
         SELECT investigation_id, position, event_id, event_type, src_ip, dst_ip, threat_score, threat_level,

@@ -238,13 +238,15 @@ def investigations(spark, sf_dir):
     events = telemetry_of(spark, sf_dir)
     tables = investigate(events, uploads(events), forest=False)
     root = scratch_path(spark, "store")
-    write_investigations({k: tables[k] for k in ("investigations", "edges", "clusters")}, root)
-    table = spark.read.parquet(f"{root}/investigations")
-    edges = spark.read.parquet(f"{root}/edges").groupBy(INV).agg(F.count(F.lit(1)).alias("stored_edges"))
-    return table.join(edges, INV).select(
+    write_investigations({k: tables[k] for k in ("investigations", *CHILD_TABLES)}, root)
+    keep = InvestigationStore(spark, root)
+    table = keep.read()
+    for name in ("events", "nodes", "edges"):
+        table = table.join(keep.read(name).groupBy(INV).agg(F.count(F.lit(1)).alias(f"stored_{name}")), INV)
+    return table.select(
         INV, "user_id", "filename", "event_count", "anomaly_count", "high_threat_count",
         F.col("threat_distribution")["medium"].alias("medium"), "graph_nodes", "graph_edges",
-        "stored_edges", "attack_clusters", "suspicious_nodes", piped("popia_flags"),
+        "stored_edges", "stored_events", "stored_nodes", "attack_clusters", "suspicious_nodes", piped("popia_flags"),
         piped("cybercrimes_flags"), piped("sa_patterns_matched"), "compliance_summary",
     )
 
@@ -360,7 +362,8 @@ CHECKS = {
         sql.CLUSTERS, sql.SUMMARY, sql.flags(sql.CLUSTER_COUNT), recursive=True) + """
         SELECT s.investigation_id, 'owner' AS user_id, s.investigation_id || '.csv' AS filename, s.event_count,
                s.anomaly_count, s.high_threat_count, s.medium, g.total_nodes AS graph_nodes,
-               g.total_edges AS graph_edges, g.total_edges AS stored_edges,
+               g.total_edges AS graph_edges, g.total_edges AS stored_edges, s.event_count AS stored_events,
+               g.total_nodes AS stored_nodes,
                g.attack_clusters_detected AS attack_clusters, g.suspicious_nodes, l.popia_flags,
                l.cybercrimes_flags, l.sa_patterns_matched, l.compliance_summary
         FROM summary s JOIN graph_summary g USING (investigation_id) JOIN listed l USING (investigation_id)"""),
