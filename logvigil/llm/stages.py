@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logvigil.session import prepare, scratch_path
 
 #: Texts handed to Python at a time, in bytes; keeps very long texts from piling up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Stages:

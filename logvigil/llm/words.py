@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 
@@ -16,28 +14,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash; emptied when it holds ``held`` words."""
+    """word -> 64-bit hash; keeps the first ``held`` words, which are mostly frequent ones."""
 
-    def __init__(self, held: int = 1_000_000):
+    def __init__(self, held: int = 200_000):
         super().__init__()
         self.held = held
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.held:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.held:
+            self[word] = found
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-@functools.cache
-def word_hashes() -> WordHashes:
-    """One per worker process."""
-    return WordHashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))
