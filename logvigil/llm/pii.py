@@ -6,13 +6,16 @@ split at a pattern and the list of its matches give every match its place.
 The patterns are those of the contract, written so that a failed attempt is never
 repeated from inside the same run: a run is entered at its start (or where the last
 match ended) and is taken whole (possessive), which leaves the leftmost matches
-as they are and the time linear also on very long texts.
+as they are and the time linear also on very long texts.  For cards only runs of a card's
+length are listed; the shorter and longer ones would be dropped by the check.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from logvigil.functions.text import settle
+
 #: kind -> (pattern, what a text must contain to hold it, base score, words that support it)
 KINDS = {
     "email": (
@@ -22,8 +25,8 @@ KINDS = {
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         r"[0-9]\.[0-9]", 0.6, ("ip", "host", "server", "address")),
     "card": (
-        r"[0-9](?:[\x20-]?[0-9])++",
-        r"[0-9]", 0.7, ("card", "visa", "credit", "payment")),
+        r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
+        r"[0-9](?:[\x20-]?[0-9]){13}", 0.7, ("card", "visa", "credit", "payment")),
     "phone": (
         r"\+[0-9][\x20().0-9-]+[0-9]",
         "+", 0.6, ("phone", "call", "tel", "mobile")),
@@ -32,7 +35,8 @@ KINDS = {
         r"[A-Z]{2}[0-9]{2}", 0.8, ("iban", "account", "bank")),
 }
 BASE = ("email", "ip", "card", "phone")
-#: Characters before and after a span in which context words count, and what one adds.
+#: Characters before and after a span, up to the next of its kind, in which context words
+#: count, and what one adds.
 NEAR, GAIN = 40, 0.2
 
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
@@ -90,45 +94,58 @@ def _may_hold(kind: str) -> Column:
     return F.contains("text", F.lit(needed)) if len(needed) == 1 else F.col("text").rlike(needed)
 
 
-def _proposed(kind: str) -> tuple[Column, Column]:
+def _proposed(kind: str) -> dict[str, Column]:
     """Matches of a kind, and the texts before, between and behind them."""
     pattern = F.lit(KINDS[kind][0])
-    matches = F.when(_may_hold(kind), F.regexp_extract_all("text", pattern, F.lit(0)))
-    return matches, F.when(_may_hold(kind), F.split("text", KINDS[kind][0], -1))
+    return {
+        f"_{kind}_matches": F.when(_may_hold(kind), F.regexp_extract_all("text", pattern, F.lit(0))),
+        f"_{kind}_gaps": F.when(_may_hold(kind), F.split("text", KINDS[kind][0], -1)),
+    }
 
 
-def _placed(kind: str) -> Column:
-    """Valid matches as (kind, start, end, score); ends are exclusive, in code points."""
+def _lengths(kind: str) -> Column:
+    """Per match: its length and that of the gap before it, in code points."""
     matches, gaps = F.col(f"_{kind}_matches"), F.col(f"_{kind}_gaps")
-    state = "struct<at:int,spans:array<struct<start:int,end:int,found:string>>>"
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(matches)),
-        F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state),
-        lambda s, i: _step(s, F.element_at(matches, i), F.element_at(gaps, i)).cast(state),
-    )["spans"]
-    _, _, base, words = KINDS[kind]
-    kept = F.filter(walked, lambda s: valid(kind, s["found"]))
-    placed = F.transform(kept, lambda s: F.struct(
-        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        _score(s, base, words).alias("score")))
-    return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.transform(matches, lambda m, i: F.struct(
+        F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("size")))
 
 
-def _step(state: Column, found: Column, gap: Column) -> Column:
-    start = state["at"] + F.length(gap)
-    end = start + F.length(found)
-    return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(
-        start.alias("start"), end.alias("end"), found.alias("found")))).alias("spans"))
+def _blocks(kind: str) -> Column:
+    """Places inside runs of about sqrt(n) matches, so that growing arrays stay short."""
+    lengths = F.col(f"_{kind}_lengths")
+    width = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    state = "struct<at:int,starts:array<int>>"
+    return F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / width).cast("int")),
+        lambda b: F.aggregate(
+            F.slice(lengths, b * width + 1, width),
+            F.struct(F.lit(0).alias("at"), F.array().alias("starts")).cast(state),
+            lambda s, x: F.struct(
+                (s["at"] + x["gap"] + x["size"]).alias("at"),
+                F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts")).cast(state)))
 
 
-def _score(span: Column, base: float, words: tuple[str, ...]) -> Column:
-    """The kind's own score, more when a supporting word is near."""
-    begin = F.greatest(span["start"] - NEAR, F.lit(0))
-    before = F.substring(F.col("text"), begin + 1, span["start"] - begin)
-    behind = F.substring(F.col("text"), span["end"] + 1, F.lit(NEAR))
-    near = F.lower(F.concat_ws(" ", before, behind))
-    held = near.rlike("|".join(words))
-    return F.least(F.lit(1.0), F.lit(base) + F.when(held, GAIN).otherwise(0.0))
+def _offsets(kind: str) -> Column:
+    """Where each of those runs begins."""
+    return F.aggregate(
+        F.col(f"_{kind}_blocks"), F.array(F.lit(0)),
+        lambda offsets, b: F.concat(offsets, F.array(F.element_at(offsets, -1) + b["at"])))
+
+
+def _placed(kind: str) -> Column:
+    """Valid matches as (kind, start, end, score); ends are exclusive, in code points."""
+    matches, gaps = F.col(f"_{kind}_matches"), F.col(f"_{kind}_gaps")
+    offsets = F.col(f"_{kind}_offsets")
+    starts = F.flatten(F.transform(
+        F.col(f"_{kind}_blocks"), lambda b, j: F.transform(b["starts"], lambda x: x + F.get(offsets, j))))
+    _, _, base, words = KINDS[kind]
+    found = F.transform(starts, lambda start, i: F.struct(
+        start.alias("start"), F.get(matches, i).alias("found"),
+        F.concat_ws(" ", F.right(F.get(gaps, i), F.lit(NEAR)), F.left(F.get(gaps, i + 1), F.lit(NEAR))).alias("near")))
+    return F.transform(F.filter(found, lambda s: valid(kind, s["found"])), lambda s: F.struct(
+        F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + F.length(s["found"])).alias("end"),
+        F.least(F.lit(1.0), F.lit(base) + F.when(F.lower(s["near"]).rlike("|".join(words)), GAIN).otherwise(0.0))
+        .alias("score")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -140,13 +157,15 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     than doc_id and text are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    proposed = rows.withColumns({
-        f"_{kind}_{name}": column
-        for kind in KINDS
-        for name, column in zip(("matches", "gaps"), _proposed(kind), strict=True)
-    })
+    # each step is computed once per row, not once per use in the next step
+    steps = settle(rows, {n: c for kind in KINDS for n, c in _proposed(kind).items()})
+    for name, step in (("lengths", _lengths), ("blocks", _blocks), ("offsets", _offsets)):
+        steps = settle(steps, {
+            f"_{kind}_{name}": F.when(F.size(f"_{kind}_matches") > 0, step(kind)) for kind in KINDS})
+    placed = {kind: F.when(F.size(f"_{kind}_matches") > 0, _placed(kind)) for kind in KINDS}
+    steps = settle(steps, {f"_{kind}_found": F.coalesce(c, F.array().cast(f"array<{SPAN}>")) for kind, c in placed.items()})
     order = F.lit(list(KINDS))
-    return proposed.select("doc_id", "text", F.concat(*map(_placed, KINDS)).alias("found")).select(
+    return steps.select("doc_id", "text", F.concat(*[f"_{kind}_found" for kind in KINDS]).alias("found")).select(
         "doc_id", "text",
         F.transform(
             F.array_sort(F.transform("found", lambda s: F.struct(
@@ -177,21 +196,22 @@ def personal_data_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, text): spans scoring at least ``least`` replaced by their kind in angle brackets.
+def redact(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every valid match replaced by its kind in angle brackets.
 
-    Where spans overlap, the first one stays and later ones that begin inside it go.
+    Kinds are replaced one after the other, in the order of ``KINDS``; what an earlier kind
+    has replaced is no longer there for a later one.
     """
-    state = "struct<at:int,out:string>"
-    walked = F.aggregate(
-        F.filter("found", lambda s: s["score"] >= least),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state),
-        lambda s, span: F.when(span["start"] >= s["at"], F.struct(
-            span["end"].alias("at"),
-            F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, span["start"] - s["at"]),
-                     F.lit("<"), span["kind"], F.lit(">")).alias("out")).cast(state)).otherwise(s),
-    )
-    return find_personal_data(docs).withColumn("_w", walked).select(
-        "doc_id",
-        F.concat("_w.out", F.substring(F.col("text"), F.col("_w.at") + 1, F.length("text"))).alias("text"),
-    )
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    for kind in KINDS:
+        whole = F.when(F.size(f"_{kind}_matches") > 0, F.array_join(_parts(kind), "")).otherwise(F.col("text"))
+        out = settle(out, _proposed(kind)).select("doc_id", whole.alias("text"))
+    return out
+
+
+def _parts(kind: str) -> Column:
+    """Gaps, each followed by its match or by the kind in its place."""
+    matches, gaps = F.col(f"_{kind}_matches"), F.col(f"_{kind}_gaps")
+    match = lambda i: F.get(matches, i)
+    return F.transform(gaps, lambda gap, i: F.concat(gap, F.when(match(i).isNull(), "").when(
+        valid(kind, match(i)), f"<{kind}>").otherwise(match(i))))
