@@ -82,9 +82,10 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, hot: int = HOT)
     vocabulary = stages.keep(with_pieces(pre_token_frequencies(docs, path), path), "pre-tokens")
     frequent = (
         vocabulary.where(F.octet_length("pre_token") <= HOT_BYTES)
-        .orderBy(F.desc("freq"), "pre_token").limit(hot).select("pre_token", "pieces").collect()
+        .orderBy(F.desc("freq"), "pre_token").limit(hot).select("pre_token", "pieces").toArrow()
     )
-    table = spark.sparkContext.broadcast({r.pre_token: r.pieces for r in frequent})
+    table = spark.sparkContext.broadcast(
+        dict(zip(*(c.to_pylist() for c in frequent.columns), strict=True)))
 
     fields = [
         ("doc_id", pa.int64()), ("key", pa.int64()), ("n_bytes", pa.int64()), ("known", pa.int64()),

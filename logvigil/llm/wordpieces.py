@@ -25,7 +25,7 @@ _SPACES = re.compile("[^\\S\x1c-\x1f]+")
 class WordPieces:
     """``held`` bounds each cache.  A full cache stays as it is: what came first is mostly frequent."""
 
-    def __init__(self, path: str, held: int = 400_000):
+    def __init__(self, path: str, held: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.held = held
         added = self.tokenizer.get_added_tokens_decoder()
