@@ -81,6 +81,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The others cannot be said in SQL (learned models, tokenizer files, components, alignments)
 #: or only too slowly on whole tables; their tests compare with brute force.
 STATEMENTS: dict[str, str] = {
+    "op1_near_dedup": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS shingle
+              FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM d WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+                   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+                  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+        ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT DISTINCT a AS doc_id, a AS other FROM ends
+                  UNION SELECT r.doc_id, e.b FROM reach r JOIN ends e ON e.a = r.other),
+        found AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+               coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+        FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     "op3_decontamination": """
         WITH d AS (SELECT doc_id, regexp_extract_all(
                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
