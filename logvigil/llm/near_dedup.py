@@ -7,35 +7,40 @@ all shifts are one run of ``pi``, so a signature is an element-wise minimum of
 runs.  Bands of coordinates are buckets; what meets in a bucket is a candidate,
 and every link is confirmed on full shingle sets.
 
-Documents with equal sets are one class from the start.  Inside a bucket classes
-are first compared with one hub, not with each other.  Only where a bucket then
-still holds several components are the remaining pairs between them looked at,
-in blocks, by their signatures, and confirmed.  So no link between components that
-meet in a bucket is missed, and large groups of copies cost a row per copy.
+Documents with equal sets are one class from the start.  Two classes alone in a bucket
+are a pair.  In larger buckets classes are first compared with one hub, not with each
+other; where a bucket then still holds several components, each class is compared
+with the most promising one of another component.  What remains after that, pairs between
+components that are no links by any of these, is looked at in blocks by signatures
+long enough to leave only pairs near the threshold, and those are confirmed too.
+So no link between components that meet in a bucket is missed, and large groups
+of copies cost a few rows per copy.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from logvigil.llm.components import components
 from logvigil.llm.stages import Stages, texts_of
-from logvigil.llm.words import mixed, shingles, word_hashes, words_of
+from logvigil.llm.words import WordHashes, mixed, shingles, words_of
 
 #: 32 bands of 5: at a similarity of 0.8 a pair meets in no band once in 300,000 times.
 BANDS, ROWS = 32, 5
 #: Places of the universe, as a power of two; beyond some million shingles a text
 #: saturates it and its coordinates say little, which costs comparisons, not results.
 UNIVERSE = 22
-#: Estimates err by 0.032 at a similarity of 0.8; pairs below this cannot be links.
-LEAST_ESTIMATE = 0.6
+#: Coordinates of the signatures that look at what remains in the end.
+LONG = 2048
+#: Standard errors that an estimate may fall short of the threshold.
+ERRORS = 5
 #: Classes of a bucket compared at a time.
 BLOCK = 1024
 #: Ids that may be broadcast: 32 MB.
@@ -73,7 +78,7 @@ def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS)
     ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes = WordHashes()
         nth = np.arange(bands, dtype=np.uint64)
         for batch in batches:
             keys, counts, buckets, sketches = [], [], [], []
@@ -104,7 +109,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
+        hashes = WordHashes()
         for batch in batches:
             sets = [shingles(hashes.of(words_of(t)), size).tobytes() for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
@@ -113,6 +118,27 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
         collect, "node long, shingles binary")
 
 
+def least_estimate(percent: int, coordinates: int) -> float:
+    """Pairs whose signatures agree less are no links, but for one in millions at the threshold."""
+    p = percent / 100
+    return p - ERRORS * math.sqrt(p * (1 - p) / coordinates)
+
+
+def long_sketches(sets: DataFrame) -> DataFrame:
+    """(node, sketch): one byte of each coordinate of long signatures."""
+    schema = pa.schema([("node", pa.int64()), ("sketch", pa.binary())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = [
+                (signature(np.frombuffer(x, np.uint64), LONG) & 255).astype(np.uint8).tobytes()
+                for x in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], schema=schema)
+
+    return sets.select("node", "shingles").mapInArrow(sign, "node long, sketch binary")
+
+
 def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Add ``estimate`` to pairs (a, b, n_a, n_b) by their sketches."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
@@ -168,50 +194,74 @@ def _hub_pairs(crowded: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
+def _lone_pairs(crowded: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the buckets that hold two classes."""
+    ends = crowded.where("classes = 2").groupBy("bucket").agg(
+        F.min(F.struct("node", "n")).alias("a"), F.max(F.struct("node", "n")).alias("b"))
+    return ends.where(_sizes_allow(F.col("a.n"), F.col("b.n"), percent)).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def _sizes_allow(x, y, percent: int):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of one bucket but different components that the signatures allow.
 
+    With ``best`` only the most promising partner of each class in a group.
     Buckets are cut into blocks by the hash of a node; each pair of blocks is a
     group of its own, so a group never holds more than about two blocks.
     """
     sizes = crowded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
         crowded.join(sizes, "bucket").join(sketches.select("node", "sketch"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                "block", "node", "n", "component", "sketch")
+        # small rows, slow comparisons: keep AQE from packing many groups into one task
+        .repartition(parts, "bucket", "low", "high")
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-        node, n = group["node"].to_numpy(), group["n"].to_numpy()
-        component, block = group["component"].to_numpy(), group["block"].to_numpy()
-        left, right = [], []
-        for i in range(len(group)):
+    def compare(group: pa.Table) -> pa.Table:
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        node, n, component, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        across = group.column("low")[0] != group.column("high")[0]
+        least = least_estimate(percent, sketch.shape[1])
+        top, partner = np.zeros(len(node)), np.full(len(node), -1)
+        pairs = [np.empty((0, 2), np.int64)]
+        for i in range(len(node) - 1):
             own = (
                 (component[i + 1:] != component[i])
                 & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i])))
-            if group["low"].iat[0] != group["high"].iat[0]:
+            if across:
                 own &= block[i + 1:] != block[i]
             at = np.flatnonzero(own) + i + 1
-            if len(at):
-                equal = (sketch[at] == sketch[i]).mean(axis=1)
-                at = at[(equal - 1 / 256) / (255 / 256) >= LEAST_ESTIMATE]
-                left += [node[i]] * len(at)
-                right += node[at].tolist()
-        low, high = np.minimum(left, right), np.maximum(left, right)
-        return pd.DataFrame({"a": low.astype("int64"), "b": high.astype("int64")})
+            estimate = ((sketch[at] == sketch[i]).mean(axis=1) - 1 / 256) / (255 / 256)
+            at, estimate = at[estimate >= least], estimate[estimate >= least]
+            if not len(at):
+                continue
+            if not best:
+                pairs.append(np.stack([np.full(len(at), i), at], axis=1))
+                continue
+            better = estimate > top[at]
+            top[at[better]], partner[at[better]] = estimate[better], i
+            if estimate.max() > top[i]:
+                top[i], partner[i] = estimate.max(), at[estimate.argmax()]
+        if best:
+            held = np.flatnonzero(partner >= 0)
+            pairs.append(np.stack([held, partner[held]], axis=1))
+        found = np.sort(node[np.concatenate(pairs)], axis=1)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
-    return placed.groupBy("bucket", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return placed.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that still hold more than one component, with their components."""
-    labelled = crowded.drop("component").join(
+    labelled = crowded.where("classes > 2").drop("component").join(
         labels.select("node", "component"), "node", "left"
     ).withColumn("component", F.coalesce("component", "node"))
     mixed_up = labelled.groupBy("bucket").agg(
@@ -221,7 +271,7 @@ def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS, hub_turns: int = 3) -> DataFrame:
+                    rows: int = ROWS, hub_turns: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_key): one row per row of ``docs``.
 
     Documents are linked when 100 * shared >= percent * all of their distinct
@@ -241,8 +291,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
     crowded = stages.keep(
-        members.join(shared.select("bucket"), "bucket")
-        .select("bucket", "node", "n", F.col("node").alias("component")), "buckets")
+        members.join(shared, "bucket")
+        .select("bucket", "node", "n", "classes", F.col("node").alias("component")), "buckets")
     candidates = crowded.select("node").distinct()
     held = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
     sets = stages.keep(shingle_sets(
@@ -251,30 +301,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     sketches = stages.keep(
         classes.join(held, "node", "left_semi").select("node", "sketch"), "sketches")
 
-    # rows repeating a doc_id put several sets on one node; equal nodes need no link
-    links = None
-    labels = None
-    open_rows = crowded
-    for turn in range(hub_turns + 1):
+    least = least_estimate(percent, bands * rows)
+    links = labels = None
+    open_rows = crowded.where("classes > 2").drop("classes")
+    # hubs of different draws, then each class's best partner, then all that remains
+    for turn in range(hub_turns + 2):
         if turn < hub_turns:
-            pairs = _estimated(_hub_pairs(open_rows, turn, percent), sketches)
-            pairs = pairs.where(F.col("estimate") >= LEAST_ESTIMATE).groupBy("b").agg(
-                F.max_by("a", "estimate").alias("a"))
+            pairs = _estimated(_hub_pairs(open_rows, turn, percent), sketches).where(F.col("estimate") >= least)
+            pairs = pairs.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b")
+        elif turn == hub_turns:
+            pairs = _cross_pairs(open_rows, sketches, percent, best=True)
         else:
-            pairs = _cross_pairs(open_rows, sketches, percent)
+            open_nodes = open_rows.select("node").distinct()
+            longer = stages.keep(long_sketches(sets.join(open_nodes, "node", "left_semi")), "long-sketches")
+            pairs = _cross_pairs(open_rows, longer, percent, best=False)
+        if turn == 0:
+            lone = _estimated(_lone_pairs(crowded, percent), sketches).where(F.col("estimate") >= least)
+            pairs = pairs.unionByName(lone.select("a", "b")).distinct()
         found = stages.keep(confirmed(pairs, sets, percent), "confirmed")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             if labels is not None:
                 stages.drop(labels)
             labels = components(links, stages)
-        if turn < hub_turns:
-            if labels is not None:
-                settled, open_rows = open_rows, stages.keep(_unsettled(crowded, labels), "unsettled")
-                if settled is not crowded:
-                    stages.drop(settled)
-            if open_rows.isEmpty():
-                break
+            if turn <= hub_turns:
+                open_rows = stages.keep(_unsettled(crowded, labels), "unsettled")
+        if open_rows.isEmpty():
+            break
     nodes = classes.select("set_key", "node")
     if labels is not None:
         nodes = nodes.join(labels, "node", "left")
