@@ -209,6 +209,7 @@ def _sizes_allow(x, y, percent: int):
 def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of one bucket but different components that the signatures allow.
 
+    A pair belongs to the first band in which it meets, so it is looked at once.
     With ``best`` only the most promising partner of each class in a group.
     Buckets are cut into blocks by the hash of a node; each pair of blocks is a
     group of its own, so a group never holds more than about two blocks.
@@ -216,11 +217,11 @@ def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bo
     sizes = crowded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = (
-        crowded.join(sizes, "bucket").join(sketches.select("node", "sketch"), "node")
+        crowded.join(sizes, "bucket").join(sketches.select("node", "sketch", "bands"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "block", "node", "n", "component", "sketch")
+                "block", "node", "n", "component", "sketch", "bands")
         # small rows, slow comparisons: keep AQE from packing many groups into one task
         .repartition(parts, "bucket", "low", "high")
     )
@@ -228,6 +229,8 @@ def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bo
     def compare(group: pa.Table) -> pa.Table:
         sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
         node, n, component, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        bucket = group.column("bucket")[0].as_py()
         across = group.column("low")[0] != group.column("high")[0]
         least = least_estimate(percent, sketch.shape[1])
         top, partner = np.zeros(len(node)), np.full(len(node), -1)
@@ -241,6 +244,8 @@ def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bo
             at = np.flatnonzero(own) + i + 1
             estimate = ((sketch[at] == sketch[i]).mean(axis=1) - 1 / 256) / (255 / 256)
             at, estimate = at[estimate >= least], estimate[estimate >= least]
+            met = bands[i][(bands[at] == bands[i]).argmax(axis=1)] == bucket
+            at, estimate = at[met], estimate[met]
             if not len(at):
                 continue
             if not best:
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(held.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct(), "sets")
     sketches = stages.keep(
-        classes.join(held, "node", "left_semi").select("node", "sketch"), "sketches")
+        classes.join(held, "node", "left_semi").select("node", "sketch", "bands"), "sketches")
 
     least = least_estimate(percent, bands * rows)
     links = labels = None
@@ -313,7 +318,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
             pairs = _cross_pairs(open_rows, sketches, percent, best=True)
         else:
             open_nodes = open_rows.select("node").distinct()
-            longer = stages.keep(long_sketches(sets.join(open_nodes, "node", "left_semi")), "long-sketches")
+            longer = stages.keep(
+                long_sketches(sets.join(open_nodes, "node", "left_semi"))
+                .join(sketches.select("node", "bands"), "node"), "long-sketches")
             pairs = _cross_pairs(open_rows, longer, percent, best=False)
         if turn == 0:
             lone = _estimated(_lone_pairs(crowded, percent), sketches).where(F.col("estimate") >= least)
