@@ -22,7 +22,7 @@ from logvigil.llm.stages import Stages, batches_of, texts_of
 
 WINDOW = 13
 #: Bounds a broadcast slice to some hundred MB of window texts and their item lists.
-SLICE_WINDOWS = 500_000
+SLICE_WINDOWS = 200_000
 #: Separators become spaces, A-Z become a-z; bytes beyond ASCII stay.
 _TO_WORDS = bytes(
     b if b >= 0x80 or chr(b).isdigit() or chr(b).isalpha() and chr(b).islower()
