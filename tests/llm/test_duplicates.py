@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from llm.conftest import EDGES, SF_DIR, frame
-from logvigil.llm import near_dedup
+from logvigil.llm import near_dedup, passages
 from logvigil.llm.components import components
 from logvigil.llm.line_dedup import dedup_lines, matching
 from logvigil.llm.near_dedup import near_duplicates
@@ -188,7 +188,9 @@ def test_passages(documents, rows):
                 assert any(a <= s and s + 50 <= b for a, b in covered[i])
 
 
-def test_near_copies_of_passages(spark):
+@pytest.mark.parametrize("heavy", [10_000, 2])
+def test_near_copies_of_passages(spark, monkeypatch, heavy):
+    monkeypatch.setattr(passages, "HEAVY", heavy)
     rng = random.Random(5)
     fill = lambda n: [f"f{rng.randrange(10 ** 9)}" for _ in range(n)]
     passage = [f"p{i}" for i in range(90)]
