@@ -276,7 +276,7 @@ def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS,
-                    rows: int = ROWS, hub_turns: int = 2) -> DataFrame:
+                    rows: int = ROWS, hub_turns: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, set_key): one row per row of ``docs``.
 
     Documents are linked when 100 * shared >= percent * all of their distinct
