@@ -1,5 +1,6 @@
 """Near duplicates, repeated lines and passages, and the pipeline."""
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import corpus_pipeline
 from llm.conftest import EDGES, SF_DIR, frame
 from logvigil.llm import near_dedup, passages
 from logvigil.llm.components import components
-from logvigil.llm.line_dedup import dedup_lines, matching
+from logvigil.llm.line_dedup import LEAST_RARITY, dedup_lines, matching
 from logvigil.llm.near_dedup import near_duplicates
 from logvigil.llm.passages import bounds, centres, ranked, repeated_passages
 from logvigil.llm.stages import Stages, table
@@ -144,6 +145,28 @@ def test_line_dedup_by_brute_force(spark):
         assert found[i] == sorted(expected)
 
 
+def test_line_dedup_sums_rarity_over_real_pairs(spark):
+    rare = [f"a line {i} that few documents hold" for i in range(6)]
+    own = lambda i, n: [f"own line {i} {j} of a document" for j in range(n)]
+    texts = [(0, [*own(0, 3), rare[0]]), (1, [rare[1], *own(1, 2)]), (2, [*own(2, 1), rare[2]]),
+             (10, rare[:3]), (11, [*own(11, 1), *rare[:3]]), (12, [rare[0], *own(12, 1), rare[3]]),
+             (13, [*rare[:3], *own(13, 2)]), (14, [rare[2], *own(14, 3)])]
+    texts += [(100 + i, own(100 + i, 2)) for i in range(60)]
+    held = defaultdict(set)
+    for i, ls in texts:
+        for line in ls:
+            held[line].add(i)
+    rarity = {x: math.log(len(texts) / len(h)) for x, h in held.items() if len(h) > 1}
+    expected = {i: set() for i, _ in texts}
+    for later, right in texts:
+        for first, left in texts:
+            if first < later and sum(rarity.get(x, 0) for x in set(left) & set(right)) >= LEAST_RARITY:
+                expected[later] |= {j for _, j in matching(left, right)}
+    found = dedup_lines(frame(spark, [(i, "\n".join(ls)) for i, ls in texts])).collect()
+    assert {r.doc_id: set(r.dedup.removed) for r in found} == expected
+    assert expected[11] == {1, 2, 3} and expected[13] == {0, 1, 2} and not expected[10] and not expected[14]
+
+
 def test_line_dedup_edges(edges, nothing):
     found = dedup_lines(edges, least_rarity=0.5).collect()
     assert len(found) == len(EDGES)
