@@ -225,6 +225,31 @@ def test_near_copies_of_passages(spark, monkeypatch, heavy):
     assert {r.doc_id for r in found} == set(range(1, 12))
 
 
+def test_matching_without_unique_elements():
+    p = list(range(100, 160))
+    for left, right in (([1, *p, *p, 2], [3, *p, 4]), ([3, *p, 4], [1, *p, *p, 2]), ([1, *p, *p, 2], [3, *p, *p, 4])):
+        assert len(matching(left, right)) == (120 if len(left) == len(right) else 60)
+
+
+def test_passages_repeated_within_a_document(spark):
+    rng = random.Random(8)
+    fill = lambda n: [f"f{rng.randrange(10 ** 9)}" for _ in range(n)]
+    p, q = ([f"{x}{i}" for i in range(n)] for x, n in (("p", 64), ("q", 80)))
+    texts = [
+        fill(20) + p + fill(20) + q + q + fill(10), fill(5) + p + p + fill(5), fill(3) + q + p + q + p + q + fill(70),
+        fill(9) + q + fill(60) + q + p + fill(1), p + p + p + p,
+    ]
+    found = repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    first, checked = {}, 0
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 49):
+            run = tuple(t[s:s + 50])
+            if first.setdefault(run, i) < i:
+                assert any(r.doc_id == i and r.start <= s and s + 50 <= r.end for r in found), (i, s)
+                checked += 1
+    assert checked > 300
+
+
 def test_passage_edges(edges, nothing):
     found = repeated_passages(edges).collect()
     assert {(r.doc_id, r.first_doc_id) for r in found} == {(7, 6)}
