@@ -8,9 +8,9 @@ Liu, Ting and Zhou, "Isolation Forest", 2008: 100 trees over 256 rows each; the
 * fit: one bounded group per investigation and tree;
 * score: only ids and features go through Arrow; events and trees meet by
   (investigation, slice) with a large investigation cut in slices;
-* threshold: the exact percentile over all events.  A histogram finds the step that
-  holds it, finer histograms inside that step follow, and the last one counts the
-  unrounded scores themselves.
+* threshold: the exact percentile over all events, in two scans of the scores: a
+  histogram finds the narrow interval that holds it, and the unrounded scores of that
+  interval are counted.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ INV = "investigation_id"
 TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.05
 _SCORE_UNIT = 100_000
 _BLOCK = 4096
-_STEPS = (1e4, 1e8, 1e12)
+#: Intervals of the score histogram, from 0 to 1.
+BINS = 1 << 17
 
 TREE_SCHEMA = (
     f"{INV} string, tree int, scale double, feature array<int>, "
@@ -161,44 +162,38 @@ def score_events(rows: DataFrame, trees: DataFrame, weights: DataFrame,
     )
 
 
-def _at_ranks(scored: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(investigation, name, score): the scores at given ranks, the highest score having rank 0.
-
-    ``ranks`` has (investigation, name, rank).  Each step narrows a rank down to one bin
-    of a histogram of at most some ten thousand bins per investigation.
-    """
-    rows = scored.join(ranks, INV)
-    below = Window.partitionBy(INV, "name").orderBy(F.desc("_bin"))
-    for scale in (*_STEPS, None):
-        bin_of = F.col("ml_score") if scale is None else F.floor(F.col("ml_score") * scale).cast("double")
-        rows = rows.withColumn("_bin", bin_of)
-        chosen = (
-            rows.groupBy(INV, "name", "rank", "_bin").agg(F.count(F.lit(1)).alias("_rows"))
-            .withColumn("_upto", F.sum("_rows").over(below))
-            .where((F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_rows")))
-            .select(INV, "name", "_bin", (F.col("rank") - F.col("_upto") + F.col("_rows")).alias("_rest"))
-        )
-        if scale is None:
-            return chosen.select(INV, "name", F.col("_bin").alias("score"))
-        rows = rows.join(chosen, [INV, "name", "_bin"]).select(
-            INV, "name", "ml_score", F.col("_rest").alias("rank"))
-
-
 def outlier_cutoffs(scored: DataFrame, weights: DataFrame,
                     contamination: float = CONTAMINATION) -> DataFrame:
     """The score above which an event is an outlier, and the events counted.
 
-    Linear interpolation between the two ranks around the percentile.
+    Linear interpolation between the two ranks around the percentile, the highest score
+    having rank 0.  The first scan counts scores in ``BINS`` equal intervals, partly in each task;
+    running totals tell which one or two intervals hold the ranks.  The second scan counts the
+    unrounded scores of these intervals only, so the result is that of a full sort.
     """
+    binned = scored.select(INV, "ml_score", F.least(
+        F.floor(F.col("ml_score") * BINS), F.lit(BINS - 1)).cast("int").alias("_bin"))
     place = F.lit(contamination) * (F.col("events") - 1)
-    ranks = weights.select(INV, F.explode(F.array(
-        F.struct(F.lit("a").alias("name"), F.floor(place).alias("rank")),
-        F.struct(F.lit("b").alias("name"), F.ceil(place).alias("rank")))).alias("r")).select(INV, "r.*")
-    found = _at_ranks(scored, ranks).groupBy(INV).agg(
-        F.max(F.when(F.col("name") == "a", F.col("score"))).alias("_a"),
-        F.max(F.when(F.col("name") == "b", F.col("score"))).alias("_b"))
+    ranks = weights.select(INV, "events", F.floor(place).alias("_first"), F.ceil(place).alias("_second"))
+    downwards = Window.partitionBy(INV).orderBy(F.desc("_bin"))
+    chosen = (
+        binned.groupBy(INV, "_bin").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.sum("_rows").over(downwards) - F.col("_rows"))
+        .join(ranks, INV)
+        .where((F.col("_before") <= F.col("_second")) & (F.col("_before") + F.col("_rows") > F.col("_first")))
+        .drop("_rows")
+    )
+    inside = Window.partitionBy(INV, "_bin").orderBy(F.desc("ml_score"))
+    counted = (
+        binned.join(chosen, [INV, "_bin"])
+        .groupBy(INV, "_bin", "_before", "_first", "_second", "events", "ml_score").agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_from", F.col("_before") + F.sum("_rows").over(inside) - F.col("_rows"))
+    )
+    at = lambda rank: F.max(F.when(
+        (F.col("_from") <= F.col(rank)) & (F.col("_from") + F.col("_rows") > F.col(rank)), F.col("ml_score")))
+    found = counted.groupBy(INV, "events").agg(at("_first").alias("_a"), at("_second").alias("_b"))
     between = (place - F.floor(place)) * (F.col("_b") - F.col("_a"))
-    return weights.join(found, INV).select(INV, "events", (F.col("_a") + between).alias("cutoff"))
+    return found.select(INV, "events", (F.col("_a") + between).alias("cutoff"))
 
 
 def isolation_forest(context: DataFrame, zone: str = "UTC", seed: int = SEED,

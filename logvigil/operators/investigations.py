@@ -74,6 +74,33 @@ def list_page(store: DataFrame, user_id: str, page: int = 1, page_size: int = 10
     )
 
 
+def list_after(store: DataFrame, user_id: str, after: tuple | None = None, page_size: int = 10,
+               sort_by: str = "created_at", descending: bool = True) -> DataFrame:
+    """I2 for deep pages: the page behind the last (sort value, id) of the page before.
+
+    Costs the same wherever the page lies: rows up to the last one are filtered in the scan, and stored
+    files are sorted by date, so whole row groups are passed over; the rest is a top-k.  Missing
+    sort values come last when descending, first otherwise, as in ``list_page``.
+    """
+    _check_page(1, page_size)
+    if sort_by not in SORT_KEYS:
+        raise ValueError(f"sort_by must be one of {', '.join(SORT_KEYS)}")
+    rows, key = owned(store, user_id), F.col(sort_by)
+    if after is not None:
+        value, last_id = after
+        if value is None:
+            behind = key.isNull() & (F.col(INV) > last_id)
+            behind = behind if descending else behind | key.isNotNull()
+        else:
+            further = key < value if descending else key > value
+            behind = further | ((key == value) & (F.col(INV) > last_id))
+            # the first condition reaches the scan as it is
+            reached = key <= value if descending else key >= value
+            behind = ((reached & behind) | key.isNull()) if descending else (reached & behind)
+        rows = rows.where(behind)
+    return rows.orderBy(F.desc(sort_by) if descending else F.asc(sort_by), INV).limit(page_size)
+
+
 def page_totals(store: DataFrame, user_id: str, page: int = 1, page_size: int = 10) -> DataFrame:
     """Total, number of pages and the row range shown."""
     _check_page(page, page_size)

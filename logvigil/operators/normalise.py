@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from logvigil.constants import COLUMN_ALIASES, REQUIRED_LOG_COLUMNS
 from logvigil.functions.skew import balanced_join
 from logvigil.functions.text import settle, strip
+from logvigil.session import cut_lineage
 
 BAD_TIMESTAMP = "Unable to parse one or more timestamp values"
 
@@ -93,30 +94,59 @@ def trim_strings(df: DataFrame) -> DataFrame:
     return df.withColumns({c: strip(F.col(f"`{c}`")) for c in strings})
 
 
-def parse_timestamp(value: Column) -> Column:
-    """ISO, and the layouts above; else null.
+def _plain(value: Column) -> Column:
+    """Without a weekday in front; a comma that starts the fraction becomes a point."""
+    return F.regexp_replace(
+        F.regexp_replace(value, r"^[A-Za-z]{3,9}, +(?=\d)", ""), r"(:\d{2}),(\d{1,6})", "$1.$2")
 
-    ``value`` is trimmed.  Its shape selects the layout, and where month and day
-    could be either way round, the first number does: above 12 it is a day.  A weekday
-    in front is passed over, a comma may start the fraction, and a zone behind
-    the clock shifts the time to UTC.
-    """
-    plain = F.regexp_replace(value, r"^[A-Za-z]{3,9}, +(?=\d)", "")
-    plain = F.regexp_replace(plain, r"(:\d{2}),(\d{1,6})", "$1.$2")
-    is_iso = plain.rlike(r"^\d{4}(-|$)") & ~plain.rlike(r"[AaPp][Mm]$")
+
+def _clock(plain: Column) -> tuple[Column, Column]:
+    """The text in local time, and the zone behind its clock."""
     clocked = plain.rlike(r"\d:\d{2}|^\d{8}T")
     zone = F.when(clocked, F.upper(F.regexp_extract(plain, _ZONE, 1)))
     local = F.when(clocked, F.regexp_replace(plain, _ZONE, "")).otherwise(plain)
-    local = F.regexp_replace(F.regexp_replace(local, r"(?<=\d)T(?=\d)", " "), r"(?<=[A-Za-z0-9]),(?= )", "")
-    day_first = F.regexp_extract(local, r"^(\d{1,2})\D", 1).try_cast("int") > 12
-    parsed = F.lit(None).cast("timestamp")
+    return F.regexp_replace(F.regexp_replace(local, r"(?<=\d)T(?=\d)", " "), r"(?<=[A-Za-z0-9]),(?= )", ""), zone
+
+
+def _layout(local: Column) -> Column:
+    """The layout of a text by its shape; where month and day could be either way round, a
+    first number above 12 is a day."""
+    found = F.lit(None).cast("array<string>")
     for shape, layouts in reversed(LAYOUTS.items()):
-        layout = F.when(day_first, layouts[-1]).otherwise(layouts[0]) if len(layouts) > 1 else F.lit(layouts[0])
-        parsed = F.when(local.rlike(shape), F.try_to_timestamp(local, layout)).otherwise(parsed)
+        found = F.when(local.rlike(shape), F.array(*[F.lit(x) for x in layouts])).otherwise(found)
+    day_first = F.regexp_extract(local, r"^(\d{1,2})\D", 1).try_cast("int") > 12
+    return F.when(day_first, F.element_at(found, -1)).otherwise(F.get(found, F.lit(0)))
+
+
+def _moment(plain: Column, local: Column, zone: Column, layout: Column) -> Column:
+    is_iso = plain.rlike(r"^\d{4}(-|$)") & ~plain.rlike(r"[AaPp][Mm]$")
     minutes = F.when(zone.rlike(r"^[+-]"), F.concat(F.substring(zone, 1, 1), F.lit("1")).cast("int") * (
         F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, -2, 2).cast("int"))).otherwise(0)
-    shifted = F.timestamp_micros(F.unix_micros(parsed) - minutes.cast("long") * 60_000_000)
-    return F.when(is_iso, plain.try_cast("timestamp")).otherwise(shifted)
+    parsed = F.unix_micros(F.try_to_timestamp(local, layout)) - minutes.cast("long") * 60_000_000
+    return F.when(is_iso, plain.try_cast("timestamp")).otherwise(F.timestamp_micros(parsed))
+
+
+def parse_timestamp(value: Column) -> Column:
+    """ISO, and the layouts above; else null.
+
+    ``value`` is trimmed.  Its shape selects the layout, a column that one parser
+    call reads.  A weekday in front is passed over, a comma may start the fraction, and a
+    zone behind the clock shifts the time to UTC.
+    """
+    plain = _plain(value)
+    local, zone = _clock(plain)
+    return _moment(plain, local, zone, _layout(local))
+
+
+def with_timestamp(df: DataFrame, source: str, name: str) -> DataFrame:
+    """``parse_timestamp`` of a column, its steps computed once each."""
+    col = F.col
+    df = settle(df, {"_plain": _plain(col(source))})
+    local, zone = _clock(col("_plain"))
+    df = settle(df, {"_local": local, "_zone": zone})
+    df = settle(df, {"_layout": _layout(col("_local"))})
+    df = settle(df, {name: _moment(col("_plain"), col("_local"), col("_zone"), col("_layout"))})
+    return df.drop("_plain", "_local", "_zone", "_layout")
 
 
 def _decimal(c: Column) -> Column:
@@ -140,8 +170,7 @@ def _typed(df: DataFrame) -> DataFrame:
     clean = trim_strings(renamed)
     raw, have = F.col("timestamp"), set(clean.columns)
     if isinstance(clean.schema["timestamp"].dataType, T.StringType):
-        timed = settle(clean.withColumnRenamed("timestamp", "_time"),
-                       {"timestamp": parse_timestamp(F.col("_time"))})
+        timed = with_timestamp(clean.withColumnRenamed("timestamp", "_time"), "_time", "timestamp")
         bad = (F.col("_time") != "") & raw.isNull()
     else:
         timed = clean.withColumns({"_time": F.lit(""), "timestamp": raw.cast("timestamp")})
@@ -177,7 +206,8 @@ def reject_bad_investigations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     An investigation with any unreadable timestamp is rejected as a whole;
     returns the rows that remain and the rejected ids with a row count.
     """
-    typed = _typed(df)
+    # read four times below: parsed once
+    typed = cut_lineage(_typed(df))
     rejected = (
         typed.where("_bad").groupBy("investigation_id").agg(F.count(F.lit(1)).alias("bad_rows"))
     )

@@ -6,17 +6,23 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from logvigil.constants import COLLECTIONS, DEFAULT_QUERY
 from logvigil.functions.skew import balanced_join
 from logvigil.functions.text import first_seen, strip
+from logvigil.session import cut_lineage
 
 INV = "investigation_id"
 EMBEDDING_DIM = 256
 _QUERY_CHUNK, _DOC_BLOCK, _STEP = 2_000, 20_000, 256
+#: Queries that look into one cell in one place.
+_CELL_QUERIES = 20_000
+#: Vectors that cells are fitted on, and cells there are, at most.
+TRAINING, MOST_CELLS = 50_000, 4096
 HITS_SCHEMA = "query_id string, collection string, id string, distance double"
 
 
@@ -154,6 +160,95 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "l2",
     return hits.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)
 
 
+def train_cells(docs: DataFrame, cells: int, sample: int = TRAINING, seed: int = 7) -> np.ndarray:
+    """Centres of ``cells`` cells, by k-means over at most about ``sample`` vectors drawn by hash.
+
+    The bound makes the fit, and the centres all tasks get, independent of the number of documents.
+    """
+    share = min(1.0, sample / max(docs.count(), 1))
+    drawn = docs.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < math.ceil(share * (1 << 30)))
+    vectors = drawn.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    model = KMeans(k=cells, maxIter=10, seed=seed, initSteps=2).fit(vectors)
+    return np.array(model.clusterCenters())
+
+
+def _in_cells(rows: DataFrame, centres: np.ndarray, key: list[str], near: dict[str, np.ndarray] | None,
+              probes: int) -> DataFrame:
+    """Rows with the cell of a document, or (with ``near``, the cells each collection fills) with the
+    ``probes`` nearest such cells of a query in each collection."""
+    names = pa.schema([pa.field(k, pa.string()) for k in key])
+    asks = near is not None
+    extra = [pa.field("collection", pa.string())] if asks else []
+    schema = pa.schema([*names, *extra, pa.field("embedding", pa.list_(pa.float64())), pa.field("cell", pa.int32())])
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = _matrix(pa.Table.from_batches([batch]))
+            far = (centres**2).sum(axis=1)[None, :] - 2.0 * vectors @ centres.T
+            fixed = [batch.column(k).cast(pa.string()) for k in key]
+            stored = batch.column("embedding").cast(pa.list_(pa.float64()))
+            if not asks:
+                cell = pa.array(far.argmin(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*fixed, stored, cell], schema=schema)
+                continue
+            for name, filled in near.items():
+                some = min(probes, len(filled))
+                best = filled[np.argpartition(far[:, filled], some - 1, axis=1)[:, :some]]
+                at = pa.array(np.repeat(np.arange(len(vectors)), some))
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(at) for c in fixed], pa.array([name] * len(at), pa.string()), stored.take(at),
+                     pa.array(best.ravel().astype(np.int32))], schema=schema)
+
+    ddl = ", ".join(f"{k} string" for k in (*key, *(f.name for f in extra))) + ", embedding array<double>, cell int"
+    return rows.select(*key, "embedding").mapInArrow(place, ddl)
+
+
+def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "l2", cells: int | None = None,
+                     probes: int | None = None) -> DataFrame:
+    """K11 for large x large: the nearest documents among the cells near each query, by an index.
+
+    Documents lie in the cell of their nearest centre; a query looks into the ``probes``
+    nearest cells that its collection fills, and there compares exactly.  By default there are about
+    as many cells as documents in a cell, and a third of them, but 64 at most, are looked into.  A
+    document moves once, unless a cell has more queries than a chunk; a query moves once a
+    cell it asks, and block of a large one.  Same columns as ``nearest``; what it returns is
+    exact in distance and order, but a hit in a cell not asked is missed.
+    """
+    size = docs.where(F.col("embedding").isNotNull()).agg(
+        F.count(F.lit(1)).alias("rows"), F.first(F.size("embedding")).alias("dim")).first()
+    same_length = F.size("embedding") == (size.dim or 0)
+    docs = docs.where(same_length).withColumns({c: F.col(c).cast("string") for c in ("collection", "id")})
+    queries = queries.where(same_length).withColumn("query_id", F.col("query_id").cast("string"))
+    if not size.rows:
+        return nearest(queries, docs, k, metric)
+    cells = cells or max(1, min(MOST_CELLS, math.isqrt(size.rows)))
+    probes = probes or max(1, min(64, -(-cells // 3)))
+    centres = train_cells(docs, cells)
+    placed = cut_lineage(_in_cells(docs, centres, ["collection", "id"], None, 0))
+    sizes = cut_lineage(placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("docs")))
+    filled: dict[str, list[int]] = {}
+    for row in sizes.select("collection", "cell").toLocalIterator():
+        filled.setdefault(row.collection, []).append(row.cell)
+    near = {name: np.array(sorted(c)) for name, c in filled.items()}
+    asked = cut_lineage(_in_cells(queries, centres, ["query_id"], near, probes))
+    chunks = asked.groupBy("collection", "cell").agg(
+        F.ceil(F.count(F.lit(1)) / _CELL_QUERIES).cast("int").alias("chunks"))
+    parts = sizes.join(chunks, ["collection", "cell"]).select(
+        "collection", "cell", "chunks", F.ceil(F.col("docs") / _DOC_BLOCK).cast("int").alias("blocks"))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["collection", "cell", "block", "chunk"]
+    left = asked.join(parts, ["collection", "cell"]).withColumn("chunk", part("query_id", "chunks")).withColumn(
+        "block", every("blocks")).select(*key, "query_id", "embedding")
+    right = placed.join(parts, ["collection", "cell"]).withColumn("block", part("id", "blocks")).withColumn(
+        "chunk", every("chunks")).select(*key, "id", "embedding")
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_hits(k, metric), HITS_SCHEMA)
+    rank = Window.partitionBy("query_id", "collection").orderBy("distance", "id")
+    return hits.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)
+
+
 def relevance(distance: Column) -> Column:
     """1 - distance without clamping; a missing distance counts as 1."""
     return F.lit(1.0) - F.coalesce(F.nanvl(distance, F.lit(1.0)), F.lit(1.0))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from logvigil.functions.text import squeeze
-from logvigil.operators import knowledge, regulatory, reports, retrieval, summary
+from logvigil.operators import knowledge, models, regulatory, reports, retrieval, summary
 from logvigil.plans import oracle as sql
 from logvigil.plans.adapter import load
 from logvigil.plans.checks_detection import INV, piped, scored
-from logvigil.plans.knowledge_base import ingest
+from logvigil.plans.knowledge_base import ingest, read_base
 from logvigil.session import cut_lineage, scratch_path
-from logvigil.sources.versioned import VersionedTable
 
 STIX_OBJECTS = """
     event_id as position,
@@ -60,6 +61,28 @@ def technique_records(spark, sf_dir):
     )
 
 
+def pattern_records(spark, sf_dir):
+    """K6: parts as threat patterns."""
+    patterns = load(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"),
+        F.array("p_brand", F.concat(F.lit("size "), "p_size")).alias("indicators"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("p_type")).alias("sector"),
+        F.array(F.concat(F.lit("T"), "p_size"), F.lit("T1")).alias("mitre_technique_ids"), F.lit("survey").alias("source"))
+    return knowledge.pattern_records(patterns).select(
+        "collection", "id", "document", *[F.col("metadata")[k].alias(k) for k in ("name", "sectors", "mitre_technique_ids")])
+
+
+def compliance_records(spark, sf_dir):
+    """K6: parts as compliance rules."""
+    rules = load(spark, sf_dir, "part").select(
+        F.concat(F.lit("C"), "p_partkey").alias("id"), F.col("p_brand").alias("legislation"),
+        F.concat(F.lit("s"), "p_size").alias("section"), F.col("p_name").alias("title"), F.col("p_type").alias("summary"),
+        F.array("p_type", "p_brand").alias("trigger_conditions"), F.lit("report").alias("required_action"),
+        F.lit("office").alias("reporting_body"), F.concat("p_size", F.lit(" days")).alias("deadline"))
+    return knowledge.compliance_records(rules).select(
+        "collection", "id", "document", *[F.col("metadata")[k].alias(k) for k in ("legislation", "section", "deadline")])
+
+
 def whitespace(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", squeeze(F.col("text")).alias("text"))
 
@@ -84,37 +107,35 @@ def kb_upsert(spark, sf_dir):
     return knowledge.upsert(once, new)
 
 
-def kb_ingested(spark, sf_dir):
-    """Parts as records of three collections, ingested, and every fifth once more with new text."""
-    table = VersionedTable(spark, scratch_path(spark, "kb"))
-    records = load(spark, sf_dir, "part").select(
-        F.concat(F.lit("c"), F.col("p_partkey") % 3).alias("collection"),
+def _part_records(spark, sf_dir, collections):
+    return load(spark, sf_dir, "part").select(
+        F.concat(F.lit("c"), F.col("p_partkey") % collections).alias("collection"),
         F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_name").alias("document"),
         F.create_map(F.lit("brand"), F.col("p_brand")).alias("metadata"))
-    ingest(table, records)
-    ingest(table, records.where(F.substring("id", 2, 20).cast("long") % 5 == 0).withColumn(
+
+
+def kb_ingested(spark, sf_dir):
+    """Parts as records of three collections, ingested, and every fifth once more with new text."""
+    root, records = scratch_path(spark, "kb"), _part_records(spark, sf_dir, 3)
+    ingest(spark, root, records)
+    ingest(spark, root, records.where(F.substring("id", 2, 20).cast("long") % 5 == 0).withColumn(
         "document", F.concat(F.lit("new "), "document")))
-    return table.read().select("collection", "id", "document", F.col("metadata")["brand"].alias("brand"),
-                               "provider", "model", "dim", F.size("embedding").alias("size"))
+    return read_base(spark, root).select(
+        "collection", "id", "document", F.col("metadata")["brand"].alias("brand"),
+        "provider", "model", "dim", F.size("embedding").alias("size"))
 
 
 def kb_mismatch(spark, sf_dir):
-    """K8: a stored collection refuses vectors from another space, a new one takes any."""
-    table = VersionedTable(spark, scratch_path(spark, "kb"))
-    records = load(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(
-        F.lit("c0").alias("collection"), F.concat(F.lit("P"), "p_partkey").alias("id"),
-        F.col("p_name").alias("document"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
-    ingest(table, records)
-    found = []
-    for case, changed in {"same": {}, "provider": {"provider": "x"}, "model": {"model": "x"},
-                          "dim": {"dim": 9}}.items():
-        for name in ("c0", "c1"):
-            try:
-                ingest(table, records.withColumn("collection", F.lit(name)), **changed)
-                found.append((case, name, "stored"))
-            except ValueError as error:
-                found.append((case, name, str(error)))
-    return spark.createDataFrame(found, "changed string, collection string, outcome string")
+    """K8: stored collections refuse vectors from another space, a new one takes any that have the length stated."""
+    root = scratch_path(spark, "kb")
+    ingest(spark, root, _part_records(spark, sf_dir, 3))
+    new = cut_lineage(retrieval.hashed_embedding(_part_records(spark, sf_dir, 4), "document"))
+    found = None
+    for case, changed in {"same": {}, "provider": {"provider": "x"}, "model": {"model": "x"}, "dim": {"dim": 9}}.items():
+        space = {"provider": "local", "model": "hashed-terms", "dim": retrieval.EMBEDDING_DIM} | changed
+        outcomes = knowledge.space_outcomes(new, read_base(spark, root), **space).withColumn("changed", F.lit(case))
+        found = outcomes if found is None else found.unionByName(outcomes)
+    return found
 
 
 def vector_violations(spark, sf_dir):
@@ -141,6 +162,68 @@ def nearest_documents(spark, sf_dir):
     )
 
 
+def nearest_in_cells(spark, sf_dir):
+    """K11 by the index: every vector asks for its five nearest in each collection."""
+    docs = kb_documents(spark, sf_dir)
+    hits = retrieval.nearest_in_cells(docs.select(F.col("id").alias("query_id"), "embedding"), docs, 5)
+    return hits.select("query_id", "collection", "id", F.col("position").cast("long").alias("position"),
+                       F.round("distance", 6).alias("distance"))
+
+
+#: What the small model below counts.
+_LETTERS = "etaoinsr"
+
+
+def _letter_model():
+    """Loads a model from texts to counts of eight letters."""
+    import numpy as np
+    letters = np.frombuffer(_LETTERS.encode(), np.uint8)
+
+    def predict(texts):
+        counts = [np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)[letters] for t in texts]
+        return np.array(counts, np.float32).reshape(len(counts), len(letters))
+    return predict
+
+
+def model_embedding(spark, sf_dir):
+    """K9: a model of one's own, loaded once a worker."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = models.embedder(_letter_model)(docs, "text")
+    return found.select("doc_id", *[F.col("embedding")[i].cast("long").alias(f"n_{c}") for i, c in enumerate(_LETTERS)])
+
+
+def _faulty_model():
+    """Loads a model that fails for every fifth investigation and whose answer is broken for every seventh."""
+    def answer(prompts):
+        out = []
+        for prompt in prompts:
+            number = int(json.loads(prompt)["investigation_id"].removeprefix("inv-"))
+            if number % 5 == 0:
+                raise RuntimeError(f"no answer for {number}")
+            out.append("{broken" if number % 7 == 0 else json.dumps({
+                "incident_summary": f"answer {number}", "mitre_techniques": ["T1110"], "confidence_level": "Low",
+                "incident_next_steps": ["look"], "popia_flags": [], "cybercrimes_flags": [],
+                "sa_patterns_matched": [], "rag_sources_used": []}))
+        return out
+    return answer
+
+
+def generated_reports(spark, sf_dir):
+    """Answers that fail or break the contract become evidence reports, and the job goes on."""
+    table = load(spark, sf_dir, "orders").selectExpr(
+        "concat('inv-', o_orderkey) as investigation_id", "o_orderkey % 97 as event_count", "o_orderkey % 31 as anomaly_count",
+        "o_orderkey % 11 as high_threat_count", "o_orderkey % 101 as max_threat_score", "o_orderkey % 3 as attack_clusters",
+        *[f"cast(array() as array<string>) as {c}"
+          for c in ("popia_flags", "cybercrimes_flags", "sa_patterns_matched", "technique_ids")])
+    prompts = table.select(INV, F.to_json(F.struct(INV, "event_count")).alias("prompt_context"))
+    answers = cut_lineage(models.generate_answers(prompts, _faulty_model))
+    found = reports.reports_or_fallback(models.parse_answers(answers), reports.evidence_report(table))
+    tried = answers.select(INV, F.when(F.col("generation_error").isNotNull(), F.col("attempts")).alias("failed_attempts"))
+    return found.join(tried, INV).select(
+        INV, F.when(~F.col("mock"), F.col("incident_summary")).alias("answer"), "confidence_level", "generated_by",
+        "report_error", "failed_attempts")
+
+
 def retrieved_context(spark, sf_dir):
     """All collections merged by relevance, one row per query."""
     docs = kb_documents(spark, sf_dir).withColumns({
@@ -356,21 +439,42 @@ CHECKS = {
         SELECT doc_id, trim(regexp_replace(text,
           '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+',
           ' ', 'g')) AS text FROM documents"""),
+    "pattern_records": (pattern_records, """
+        SELECT 'sa_threat_intel' AS collection, 'P' || p_partkey AS id, p_name AS name,
+               CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END AS sectors, 'T' || p_size || ', T1' AS mitre_technique_ids,
+               'P' || p_partkey || ' | ' || p_name || ' | ' || p_type || ' | signs: ' || p_brand || '; size ' || p_size
+               || ' | sectors: ' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_type END
+               || ' | techniques: T' || p_size || ', T1 | from survey' AS document FROM part"""),
+    "compliance_records": (compliance_records, """
+        SELECT 'sa_compliance' AS collection, 'C' || p_partkey AS id, p_brand AS legislation, 's' || p_size AS section,
+               p_size || ' days' AS deadline,
+               p_brand || ' | s' || p_size || ' | ' || p_name || ' | ' || p_type || ' | applies when: ' || p_type || '; '
+               || p_brand || ' | do: report | report to office | within ' || p_size || ' days' AS document FROM part"""),
+    "nearest_in_cells": (nearest_in_cells, None),
+    "model_embedding": (model_embedding, "SELECT doc_id, " + ", ".join(
+        f"CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')) AS BIGINT) AS n_{c}"
+        for c in _LETTERS) + " FROM documents"),
+    "generated_reports": (generated_reports, """
+        WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 = 0 AS silent, o_orderkey % 7 = 0 AS broken FROM orders)
+        SELECT 'inv-' || k AS investigation_id, CASE WHEN NOT silent AND NOT broken THEN 'answer ' || k END AS answer,
+               CASE WHEN NOT silent AND NOT broken THEN 'Low' WHEN k % 101 >= 75 THEN 'High'
+                    WHEN k % 101 >= 50 THEN 'Medium' ELSE 'Low' END AS confidence_level,
+               CASE WHEN silent OR broken THEN 'evidence-template' ELSE 'report-model' END AS generated_by,
+               CASE WHEN silent THEN 'RuntimeError: no answer for ' || k
+                    WHEN broken THEN 'report is not valid JSON' END AS report_error,
+               CASE WHEN silent THEN 3 END AS failed_attempts FROM o"""),
     "kb_ingested": (kb_ingested, """
         SELECT 'c' || (p_partkey % 3) AS collection, 'P' || p_partkey AS id,
                CASE WHEN p_partkey % 5 = 0 THEN 'new ' ELSE '' END || p_name AS document, p_brand AS brand,
                'local' AS provider, 'hashed-terms' AS model, 256 AS dim, 256 AS size FROM part"""),
     "kb_mismatch": (kb_mismatch, """
-        WITH n AS (SELECT count(*) AS n FROM part WHERE p_partkey % 10 = 0)
-        SELECT changed, collection, outcome FROM n, (VALUES
-          ('same', 'c0', 'stored'), ('same', 'c1', 'stored'),
-          ('provider', 'c0', 'Vector space mismatch in provider; rebuild the collection'),
-          ('provider', 'c1', 'Vector space mismatch in provider; rebuild the collection'),
-          ('model', 'c0', 'Vector space mismatch in model; rebuild the collection'),
-          ('model', 'c1', 'Vector space mismatch in model; rebuild the collection'),
-          ('dim', 'c0', 'Vector space mismatch in dim; rebuild the collection'),
-          ('dim', 'c1', 'Vector space mismatch in dim; rebuild the collection')) AS t(changed, collection, outcome)
-        WHERE n > 0"""),
+        WITH held AS (SELECT DISTINCT 'c' || (p_partkey % 3) AS collection FROM part),
+        new AS (SELECT 'c' || (p_partkey % 4) AS collection, count(*) AS documents FROM part GROUP BY ALL)
+        SELECT changed, collection, documents,
+               CASE WHEN changed <> 'same' AND collection IN (FROM held)
+                    THEN 'Vector space mismatch in ' || changed || '; rebuild the collection'
+                    WHEN changed = 'dim' THEN 'Embedding dimension differs from 9' END AS outcome
+        FROM new, (VALUES ('same'), ('provider'), ('model'), ('dim')) AS t(changed)"""),
     "kb_upsert": (kb_upsert, """
         WITH docs AS (SELECT 'c' || label AS collection, 'd' || lpad(CAST(vec_id AS VARCHAR), 8, '0') AS id, vec_id
                       FROM embeddings)

@@ -16,7 +16,6 @@ from logvigil.plans.investigate import investigate
 from logvigil.session import cut_lineage, scratch_path
 from logvigil.sources.sinks import text_report, to_json_rows
 from logvigil.sources.store import CHILD_TABLES, InvestigationStore, write_investigations
-from logvigil.sources.versioned import VersionedTable
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +55,20 @@ def owned_page_by_date(spark, sf_dir):
     return _short(store.list_page(stored(spark, sf_dir), "user3", descending=False))
 
 
+def owned_page_after(spark, sf_dir):
+    """I2 on the stored table: the page behind the last row of the page before, three pages deep."""
+    keep = InvestigationStore(spark, scratch_path(spark, "store"))
+    keep.write({"investigations": stored(spark, sf_dir)})
+    last = None
+    for _ in range(3):
+        page = store.list_after(keep.read(), "user7", last, page_size=20)
+        rows = page.select("created_at", INV).collect()
+        if not rows:
+            break
+        final, last = page, tuple(rows[-1])
+    return _short(final)
+
+
 def page_totals(spark, sf_dir):
     totals = store.page_totals(stored(spark, sf_dir), "user7", page=2, page_size=20)
     return totals.select(*[F.col(c).cast("long").alias(c) for c in totals.columns])
@@ -83,11 +96,11 @@ def after_delete(spark, sf_dir):
 
 
 def after_versioned_delete(spark, sf_dir):
-    """I6 on the stored table: the survivors become its next version."""
-    table = VersionedTable(spark, scratch_path(spark, "investigations"), ("user_id",))
-    table.replace(stored(spark, sf_dir))
-    table.replace(store.without(table.read(), "user7", "inv-30"))
-    return table.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("investigations"))
+    """I6 on the stored table: what stays replaces its folder."""
+    keep = InvestigationStore(spark, scratch_path(spark, "store"))
+    keep.write({"investigations": stored(spark, sf_dir)})
+    keep.delete(keep.read().where((F.col("user_id") == "user7") & (F.col(INV) == "inv-30")))
+    return keep.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("investigations"))
 
 
 def _store(spark: SparkSession, sf_dir: str) -> InvestigationStore:
@@ -99,8 +112,7 @@ def _store(spark: SparkSession, sf_dir: str) -> InvestigationStore:
         F.col("l_returnflag").alias("event_type"))
     nodes = load(spark, sf_dir, "orders").select(
         F.concat(F.lit("inv-"), "o_orderkey").alias(INV), F.concat(F.lit("user:"), "o_custkey").alias("node_id"))
-    few = lambda df: df.where(F.substring(INV, 5, 20).cast("long") % 50 == 0)
-    tables = {"investigations": few(main), "events": few(events), "nodes": few(nodes)}
+    tables = {"investigations": main, "events": events, "nodes": nodes}
     keep.write({name: table.limit(0) if name == "nodes" else table for name, table in tables.items()})
     keep.write(tables)
     return keep
@@ -145,10 +157,9 @@ def stored_regeneration(spark, sf_dir):
 def orphaned_rows(spark, sf_dir):
     """Events of investigations that were not uploaded are reported, not lost in silence."""
     main = stored(spark, sf_dir).where(F.substring(INV, 5, 20).cast("long") % 3 == 0)
-    events = load(spark, sf_dir, "lineitem").where("l_orderkey % 100 < 5").select(
+    events = load(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("inv-"), "l_orderkey").alias(INV), F.col("l_linenumber").alias("event_id"))
-    few = main.where(F.substring(INV, 5, 20).cast("long") % 100 < 5)
-    rejects = write_investigations({"investigations": few, "events": events}, scratch_path(spark, "store"))
+    rejects = write_investigations({"investigations": main, "events": events}, scratch_path(spark, "store"))
     return rejects.select(F.col("table").alias("name"), INV, "rows")
 
 
@@ -272,7 +283,7 @@ _ISO = """strftime(created_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(create
 
 _KEPT = """
     WITH kept AS (SELECT o_orderkey, 'user' || (o_custkey % 20) AS user_id FROM orders
-                  WHERE o_orderkey % 50 = 0 AND {0}),
+                  WHERE {0}),
     named AS (SELECT user_id, 'investigations' AS name FROM kept
               UNION ALL SELECT user_id, 'nodes' FROM kept
               UNION ALL SELECT user_id, 'events' FROM kept JOIN lineitem ON l_orderkey = o_orderkey)
@@ -287,16 +298,17 @@ CHECKS = {
                     WHEN o_orderstatus = 'F' THEN 'order ' || o_orderkey END AS incident_summary,
                CASE WHEN fresh THEN 'T1' WHEN o_orderkey % 4 = 0 THEN 'T1078|T1110' ELSE '' END AS mitre_techniques,
                CASE WHEN fresh THEN '2026-01-01 00:00:00.000000' END AS regenerated_at
-        FROM (SELECT *, o_orderkey % 300 = 0 AND o_orderkey % 900 <> 0 AS fresh FROM orders)
-        WHERE o_orderkey % 50 = 0"""),
+        FROM (SELECT *, o_orderkey % 300 = 0 AND o_orderkey % 900 <> 0 AS fresh FROM orders)"""),
     "orphaned_rows": (orphaned_rows, """
         SELECT 'events' AS name, 'inv-' || l_orderkey AS investigation_id, count(*) AS rows
-        FROM lineitem WHERE l_orderkey % 100 < 5 AND l_orderkey % 3 <> 0 GROUP BY l_orderkey"""),
+        FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey"""),
 
     "owned_page": (owned_page, _STORED + _SHORT + """ WHERE user_id = 'user7'
         ORDER BY high_threat_count DESC, investigation_id LIMIT 20 OFFSET 40"""),
     "owned_page_by_date": (owned_page_by_date, _STORED + _SHORT + """ WHERE user_id = 'user3'
         ORDER BY stored.created_at, investigation_id LIMIT 10"""),
+    "owned_page_after": (owned_page_after, _STORED + _SHORT + """ WHERE user_id = 'user7'
+        ORDER BY stored.created_at DESC, investigation_id LIMIT 20 OFFSET 40"""),
     "page_totals": (page_totals, _STORED + """
         SELECT count(*) AS total, CAST(2 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size,
                CAST(ceil(count(*) / 20) AS BIGINT) AS total_pages,

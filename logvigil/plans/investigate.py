@@ -13,10 +13,9 @@ from logvigil.operators.graph import (
 )
 from logvigil.operators.investigations import build_investigations
 from logvigil.operators.knowledge import pattern_technique_table, techniques_of_patterns
+from logvigil.operators.models import asked_for, parse_answers
 from logvigil.operators.regulatory import classify
-from logvigil.operators.reports import (
-    REPORT_COLUMNS, evidence_report, parse_reports, prompt_context, reports_or_fallback,
-)
+from logvigil.operators.reports import REPORT_COLUMNS, evidence_report, prompt_context, reports_or_fallback
 from logvigil.operators.retrieval import (
     hashed_embedding, nearest, query_text, retrieval_result, retrieved_context,
 )
@@ -70,8 +69,9 @@ def investigate(events: DataFrame, uploads: DataFrame, docs: DataFrame | None =
     ``uploads`` has investigation_id, user_id, filename, upload_source and
     created_at.  ``docs`` is an embedded knowledge base; without it retrieval
     is unavailable.  ``generate`` turns the prompt table (investigation_id,
-    prompt_context) into (investigation_id, raw_report); without it, and for
-    reports that break the contract, the report is made from the evidence.
+    prompt_context) into (investigation_id, raw_report), such as
+    ``models.generate_answers`` with a model; without it, and for
+    answers that never came or break the contract, the report is made from the evidence.
     """
     scored = cut_lineage(scored_events(events, forest, zone, unit))
     graph = graph_tables(scored, unit)
@@ -120,8 +120,8 @@ def investigate(events: DataFrame, uploads: DataFrame, docs: DataFrame | None =
             )
         )
         # a model answer is costly and may differ when asked twice: keep the first
-        raw = cut_lineage(generate(prompt_context(parts)).select(INV, "raw_report"))
-        parsed = parse_reports(raw.join(context.select(INV, "rag_available"), INV, "left"))
+        raw = cut_lineage(asked_for(generate, prompt_context(parts)))
+        parsed = parse_answers(raw.join(context.select(INV, "rag_available"), INV, "left"))
         reports = reports_or_fallback(parsed, reports)
     else:
         reports = reports.select(INV, *REPORT_COLUMNS, F.lit(None).cast("string").alias("report_error"))

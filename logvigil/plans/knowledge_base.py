@@ -1,37 +1,49 @@
-"""Knowledge-base ingestion: read, build records, embed, guard, upsert, store."""
+"""Knowledge-base ingestion: read, build records, embed, guard, upsert, store (K7, K8).
+
+The base is plain Parquet partitioned by collection.  An ingestion rewrites the collections it
+brings and leaves all others alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from logvigil.operators.knowledge import check_vector_space, upsert
+from logvigil.operators.knowledge import space_outcomes, upsert
 from logvigil.operators.retrieval import EMBEDDING_DIM, hashed_embedding
 from logvigil.session import cut_lineage
-from logvigil.sources.versioned import VersionedTable
-
-SPACE = ("provider", "model", "dim")
 
 
-def registered_space(table: VersionedTable, collection: str) -> dict:
-    """Provider, model and dimension a stored collection was embedded with; empty for a new one."""
-    if not table.exists():
-        return {}
-    row = table.read().where(F.col("collection") == collection).select(*SPACE).first()
-    return row.asDict() if row else {}
+def read_base(spark: SparkSession, root: str) -> DataFrame | None:
+    """The stored documents of all collections; None before the first ingestion."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    fields = spark.read.parquet(root).schema.fields
+    return spark.read.schema(T.StructType([
+        T.StructField(f.name, T.StringType() if f.name == "collection" else f.dataType) for f in fields
+    ])).parquet(root)
 
 
-def ingest(table: VersionedTable, records: DataFrame, provider: str = "local", model: str = "hashed-terms",
-           dim: int = EMBEDDING_DIM, embed: Callable[[DataFrame, str], DataFrame] = hashed_embedding) -> int:
-    """Embed records (collection, id, document, metadata) and store them; returns the new version.
+def ingest(spark: SparkSession, root: str, records: DataFrame, provider: str = "local", model: str = "hashed-terms",
+           dim: int = EMBEDDING_DIM, embed: Callable[[DataFrame, str], DataFrame] = hashed_embedding) -> None:
+    """Embed records (collection, id, document, metadata) and store them.
 
     Every collection keeps the space it was first embedded with, beside its
     documents; records from another space are refused before anything is written.
     """
     embedded = cut_lineage(embed(records, "document"))
-    for row in embedded.select("collection").distinct().toLocalIterator():
-        check_vector_space(embedded.where(F.col("collection") == row.collection),
-                           registered_space(table, row.collection), provider, model, dim)
-    spaced = embedded.withColumns({"provider": F.lit(provider), "model": F.lit(model), "dim": F.lit(dim)})
-    return table.replace(upsert(table.read(), spaced) if table.exists() else upsert(spaced.limit(0), spaced))
+    base = read_base(spark, root)
+    refused = space_outcomes(embedded, base, provider, model, dim).where("outcome is not null").orderBy("collection").first()
+    if refused:
+        raise ValueError(f"{refused.collection}: {refused.outcome}")
+    rows = embedded.withColumns({"provider": F.lit(provider), "model": F.lit(model), "dim": F.lit(dim)})
+    if base is not None:
+        touched = embedded.select("collection").distinct()
+        rows = upsert(base.join(touched, "collection", "left_semi"), rows)
+    else:
+        rows = upsert(rows.limit(0), rows)
+    columns = [c for c in rows.columns if c != "collection"]
+    (rows.select(*columns, "collection").hint("rebalance", "collection").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(root))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logvigil.operators.investigations import regeneration_input
-from logvigil.operators.reports import parse_reports, prompt_context
+from logvigil.operators.models import asked_for, parse_answers
+from logvigil.operators.reports import prompt_context
 from logvigil.operators.summary import threat_summary, top_events_list
 from logvigil.session import cut_lineage
 from logvigil.sources.store import INV, OWNER, InvestigationStore
@@ -26,8 +27,8 @@ def regenerate(store: InvestigationStore, requests: DataFrame, generate: Callabl
     nodes = store.read("nodes").join(held, INV, "left_semi")
     context = regeneration_input(main, top_events_list(events), threat_summary(events), nodes)
     # a model answer is costly and may differ when asked twice: keep the first
-    raw = cut_lineage(generate(prompt_context(context)).select(INV, "raw_report"))
+    raw = cut_lineage(asked_for(generate, prompt_context(context)))
     asked = raw.withColumn("rag_available", F.lit(False)).join(main.select(*OWNER), INV)
-    reports = cut_lineage(parse_reports(asked))
+    reports = cut_lineage(parse_answers(asked))
     store.regenerate(reports, at)
     return reports.select(*OWNER, "report_error")

@@ -1 +1 @@
-"""Readers, ingest gates, sinks and versioned tables."""
+"""Readers, ingest gates, sinks and the store."""

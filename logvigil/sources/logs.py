@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logvigil.constants import (
     BINARY_MAGIC, BINARY_SAMPLE_BYTES, COLUMN_ALIASES, MAX_FILE_BYTES, MAX_TEXT_CHARS,
@@ -12,6 +12,8 @@ from logvigil.functions.text import settle, strip
 
 INV = "investigation_id"
 PASTED_NAME = "pasted-text"
+SURPLUS = "A row has more cells than the header"
+_WHOLE = "_whole_record"
 
 # --- fixed values: cell texts that mean "missing" in a log CSV ---
 MISSING_TEXTS = (
@@ -20,19 +22,27 @@ MISSING_TEXTS = (
 )
 
 
-def read_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def read_logs(spark: SparkSession, path: str, multi_line: bool = False, surplus: str = "fail") -> DataFrame:
     """CSV files that share one header, every column as text.
 
     Splittable, so it suits files of any size.  A file whose header differs, also
     in the order of its columns, fails the job; for uploads with headers of their own
     use ``read_log_files``.  Line breaks inside quotes need ``multi_line``, which reads
-    each file in one task.
+    each file in one task.  A row with more cells than the header fails the job too; with
+    ``surplus="mark"`` it stays, and ``reject_reason`` says so.  Missing cells are null.
     """
-    frame = (
-        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
-        .option("multiLine", multi_line).option("pathGlobFilter", "*.[cC][sS][vV]").csv(path)
-    )
-    return frame.select(*[missing_to_null(F.col(f"`{c}`")).alias(c) for c in frame.columns])
+    options = {"header": True, "escape": '"', "enforceSchema": False, "multiLine": multi_line,
+               "pathGlobFilter": "*.[cC][sS][vV]", "columnPruning": False}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, _WHOLE)])
+    frame = spark.read.options(**options, columnNameOfCorruptRecord=_WHOLE).schema(schema).csv(path)
+    # Spark reads the whole record only beside another column, so one is looked at too
+    beside = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    too_many = F.coalesce((F.size(_fields(F.col(_WHOLE))) > len(names)) & beside, F.lit(False))
+    cells = [missing_to_null(F.col(f"`{c}`")).alias(c) for c in names]
+    if surplus == "mark":
+        return frame.select(*cells, F.when(too_many, SURPLUS).alias("reject_reason"))
+    return frame.where(F.when(too_many, F.raise_error(F.lit(SURPLUS)).cast("boolean")).otherwise(True)).select(*cells)
 
 
 def missing_to_null(c: Column) -> Column:
@@ -157,21 +167,21 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lined = settle(documents, {"_lines": _records(text)})
-    first = _fields(F.get("_lines", F.lit(0)))
+    lined = settle(lined, {"_table": F.transform("_lines", _fields)})
+    first = F.coalesce(F.get("_table", F.lit(0)), F.array().cast("array<string>"))
     lined = settle(lined, {"_header": F.transform(first, lambda c: F.lower(strip(c)))})
-    # position of the column that serves each canonical name, 0 when there is none
-    places = {}
-    for canonical, aliases in COLUMN_ALIASES.items():
-        at = F.lit(0).cast("bigint")
-        for name in reversed((canonical, *aliases)):
-            spot = F.array_position("_header", name)
-            at = F.when(spot > 0, spot).otherwise(at)
-        places[f"_at_{canonical}"] = F.coalesce(at, F.lit(0).cast("bigint"))
+    # position of the column that serves each canonical name, 0 when there is none; an
+    # intersection keeps the order of its first array, so the name of highest rank comes first
+    places = {
+        f"_at_{canonical}": F.coalesce(F.array_position("_header", F.get(F.array_intersect(
+            F.array(*[F.lit(n) for n in (canonical, *aliases)]), F.col("_header")), F.lit(0))), F.lit(0).cast("bigint"))
+        for canonical, aliases in COLUMN_ALIASES.items()
+    }
     placed = settle(settle(lined, places), {"_names": _passing_names(list(places))})
     missing = F.array_join(F.array_compact(F.array(*[
         F.when(F.col(f"_at_{c}") == 0, F.lit(c)) for c in REQUIRED_LOG_COLUMNS
     ])), ", ")
-    too_long = F.exists("_lines", lambda x: F.size(_fields(x)) > F.size("_header"))
+    too_long = F.exists("_table", lambda x: F.size(x) > F.size("_header"))
     reason = (
         F.when(strip(text) == "", "Log text must not be empty")
         .when(too_long, "Unable to parse pasted CSV log text")
@@ -182,10 +192,10 @@ def parse_text_logs(documents: DataFrame, text_col: str = "text") -> tuple[DataF
 
     rows = (
         checked.where(F.col("reject_reason").isNull())
-        .select(INV, "_names", *places, F.posexplode(F.expr("slice(_lines, 2, size(_lines))"))
-                .alias("line_number", "_line"))
+        .select(INV, "_names", *places, F.posexplode(F.expr("slice(_table, 2, size(_table))"))
+                .alias("line_number", "_raw"))
     )
-    rows = settle(rows, {"_cells": F.transform(_fields(F.col("_line")), missing_to_null)})
+    rows = settle(rows, {"_cells": F.transform("_raw", missing_to_null)})
     extra = F.map_from_entries(F.filter(
         F.transform("_names", lambda name, i: F.when(
             name.isNotNull(), F.struct(name.alias("key"), F.get("_cells", i).alias("value")),

@@ -1,18 +1,19 @@
-"""Stored investigations (S8, I6, I11): plain Parquet, one folder per owner and investigation.
-
-Every table below the root is partitioned by (user_id, investigation_id).  A write
-replaces exactly the folders of the investigations it brings, by Spark's dynamic partition
-overwrite: running it twice gives the same rows, and a writer that dies before its
-commit leaves only a staging folder that readers pass over.  A delete removes the
-folders of one investigation in all tables.  Each table's schema is kept
-beside it, so a table without rows can still be read.
+"""Stored investigations (S8, I6, I11): plain Parquet, in folders by owner and bucket.
+
+Every table below the root is partitioned by user_id and by a bucket of the investigation's
+hash, the same for the investigation and all its children, so the number of folders is
+bounded by owners times ``BUCKETS``, and a request for one investigation reads one folder a table.
+
+Writes, deletes and new reports are set operations.  The requested rows name the folders they
+touch; what stays of these and what is new is written in one job a table, and Spark's
+dynamic partition overwrite puts it in place of exactly these folders.  Running the same
+change twice gives the same rows.  Each rewritten folder holds one placeholder row
+without investigation_id, so a folder whose rows are all gone is overwritten too; readers
+pass over it.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from logvigil.functions.skew import balanced_join
@@ -21,7 +22,10 @@ from logvigil.session import cut_lineage
 
 INV = "investigation_id"
 OWNER = ["user_id", INV]
+FOLDER = ["user_id", "bucket"]
 MAIN = "investigations"
+#: Folders an owner has in a table, at most.
+BUCKETS = 16
 
 # child table -> columns that name a row within its investigation
 CHILD_TABLES = {
@@ -34,104 +38,114 @@ CHILD_TABLES = {
 }
 
 
+def bucket_of(investigation: Column) -> Column:
+    return F.pmod(F.xxhash64(investigation), F.lit(BUCKETS)).cast("int")
+
+
 class InvestigationStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+    def exists(self, name: str = MAIN) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def _fs(self, path):
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _schema_file(self, name: str):
-        return self._path(f"{self.root}/_schemas/{name}.json")
+    def _stored(self, name: str) -> DataFrame:
+        """A table with its placeholders and bucket; owners keep their text, whatever it looks like."""
+        if not self.exists(name):
+            raise ValueError(f"There is no table {name} below {self.root}")
+        path = f"{self.root}/{name}"
+        fields = self.spark.read.parquet(path).schema.fields
+        types = {"user_id": T.StringType(), "bucket": T.IntegerType()}
+        schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in fields])
+        return self.spark.read.schema(schema).parquet(path)
 
     def read(self, name: str = MAIN) -> DataFrame:
         """A stored table, with no rows if everything in it was deleted."""
-        file = self._schema_file(name)
-        if not self._fs(file).exists(file):
-            raise ValueError(f"There is no table {name} below {self.root}")
-        text = self.spark.read.option("wholetext", True).text(file.toString()).first().value
-        schema = T.StructType.fromJson(json.loads(text))
-        folder = self._path(f"{self.root}/{name}")
-        if not self._fs(folder).exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(folder.toString())
-
-    def _replace(self, name: str, rows: DataFrame) -> None:
-        """Replace the folders of the investigations in ``rows``."""
-        file = self._schema_file(name)
-        columns = [c for c in rows.columns if c not in OWNER]
-        rows = rows.select(*[f"`{c}`" for c in columns], *OWNER)
-        out = self._fs(file).create(file, True)
-        out.write(bytearray(rows.schema.json().encode()))
-        out.close()
-        # few files per investigation; AQE splits one that is too large for one task
-        (rows.hint("rebalance", *OWNER).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*OWNER).parquet(f"{self.root}/{name}"))
-
-    def _remove(self, names: Iterable[str], requests: DataFrame) -> None:
-        """Remove the folders of the requested (user_id, investigation_id) pairs, one pair at a time."""
-        part = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        for row in requests.select(*OWNER).distinct().toLocalIterator():
-            for name in names:
-                folder = self._path(f"{self.root}/{name}/{part('user_id', row.user_id)}/{part(INV, row[INV])}")
-                self._fs(folder).delete(folder, True)
-
-    def exists(self) -> bool:
-        file = self._schema_file(MAIN)
-        return self._fs(file).exists(file)
+        return self._stored(name).where(F.col(INV).isNotNull()).drop("bucket")
+
+    def detail(self, user_id: str, investigation_id: str, name: str = MAIN) -> DataFrame:
+        """The rows of one owned investigation, read from its folder alone."""
+        rows = self._stored(name).where(
+            (F.col("user_id") == user_id) & (F.col("bucket") == bucket_of(F.lit(investigation_id))))
+        return rows.where(F.col(INV) == investigation_id).drop("bucket")
+
+    def _rewrite(self, name: str, touched: DataFrame, gone: DataFrame, new: DataFrame | None = None) -> None:
+        """Put what is stored without ``gone``, and ``new``, into the folders ``touched``.
+
+        ``touched`` has (user_id, bucket), ``gone`` (user_id, investigation_id), both distinct.
+        """
+        rows = None
+        if self.exists(name):
+            rows = (
+                self._stored(name).where(F.col(INV).isNotNull())
+                .join(touched, FOLDER, "left_semi").join(gone, OWNER, "left_anti")
+            )
+        if new is not None:
+            placed = new.withColumn("bucket", bucket_of(F.col(INV)))
+            rows = placed if rows is None else rows.unionByName(placed, allowMissingColumns=True)
+        columns = [c for c in rows.columns if c not in FOLDER]
+        empty = touched.select(
+            *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], *FOLDER)
+        # few files per folder; AQE splits one that is too large for one task
+        dealt = rows.select(*[f"`{c}`" for c in columns], *FOLDER).unionByName(empty).hint("rebalance", *FOLDER)
+        if "created_at" in columns:
+            dealt = dealt.sortWithinPartitions(*FOLDER, "created_at")
+        (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*FOLDER).parquet(f"{self.root}/{name}"))
 
     def write(self, tables: dict[str, DataFrame]) -> DataFrame:
         """Store investigations and their child tables; returns the rows left out.
 
-        ``tables`` has investigations and any of the child tables.  Children of an
+        ``tables`` has investigations and any of the child tables.  Investigations that are
+        stored already are replaced with all their children.  Children of an
         investigation that is not among them are not stored but counted:
         (table, investigation_id, rows).  The children go first, so an
         investigation that can be listed is complete.
         """
         main = tables[MAIN]
-        owner = main.select(INV, "user_id")
-        if self.exists():
-            # a table that now has no row for an investigation would keep its old folder
-            again = self.read().select(*OWNER).join(main.select(*OWNER), OWNER, "left_semi")
-            self._remove([MAIN, *CHILD_TABLES], again)
-        rejects = None
+        owner = cut_lineage(main.select(*OWNER).distinct())
+        touched = cut_lineage(owner.select("user_id", bucket_of(F.col(INV)).alias("bucket")).distinct())
+        rejects = self.spark.createDataFrame([], "table string, investigation_id string, rows long")
         for name, row_id in CHILD_TABLES.items():
-            if name not in tables:
-                continue
-            child = tables[name].drop("user_id")
-            sizes = cut_lineage(child.groupBy(INV).agg(F.count(F.lit(1)).alias("rows")))
-            self._replace(name, balanced_join(child, owner, [INV], weights=sizes, weight="rows",
-                                              row_id=row_id, how="inner"))
-            orphans = sizes.join(owner, INV, "left_anti").select(F.lit(name).alias("table"), INV, "rows")
-            rejects = orphans if rejects is None else rejects.unionByName(orphans)
-        self._replace(MAIN, main)
-        none = "table string, investigation_id string, rows long"
-        return self.spark.createDataFrame([], none) if rejects is None else rejects
+            if name in tables:
+                child = tables[name].drop("user_id")
+                sizes = cut_lineage(child.groupBy(INV).agg(F.count(F.lit(1)).alias("rows")))
+                owned = balanced_join(child, owner, [INV], weights=sizes, weight="rows", row_id=row_id, how="inner")
+                self._rewrite(name, touched, owner, owned)
+                rejects = rejects.unionByName(
+                    sizes.join(owner, INV, "left_anti").select(F.lit(name).alias("table"), INV, "rows"))
+            elif self.exists(name):
+                self._rewrite(name, touched, owner)
+        self._rewrite(MAIN, touched, owner, main)
+        return rejects
 
     def delete(self, requests: DataFrame) -> None:
         """Remove owned investigations with all their children.
 
         ``requests`` has user_id and investigation_id; a pair that does not match
-        a stored owner removes nothing.  The investigation goes first, so it is
-        no longer listed when its children go.
+        a stored owner removes nothing.  The investigations go first, so they are
+        no longer listed when their children go.
         """
-        held = cut_lineage(self.read().select(*OWNER).join(requests.select(*OWNER), OWNER, "left_semi"))
-        self._remove([MAIN], held)
-        self._remove(CHILD_TABLES, held)
+        asked = requests.select(*OWNER).distinct()
+        held = cut_lineage(self.read().select(*OWNER).join(asked, OWNER, "left_semi"))
+        touched = held.select("user_id", bucket_of(F.col(INV)).alias("bucket")).distinct()
+        for name in (MAIN, *CHILD_TABLES):
+            if self.exists(name):
+                self._rewrite(name, touched, held)
 
     def regenerate(self, reports: DataFrame, at: Column) -> None:
         """Put new reports on their owner's investigations, and store those anew.
 
         ``reports`` has user_id, investigation_id, report_error and the report
-        columns; faulty reports and strangers change nothing.  The new rows are
-        written to the shared folder before the old ones are replaced.
+        columns; faulty reports and strangers change nothing.
         """
         sound = reports.where(F.col("report_error").isNull())
-        touched = self.read().join(sound.select(*OWNER).distinct(), OWNER, "left_semi")
-        self._replace(MAIN, cut_lineage(apply_regenerated(touched, sound, at)))
+        mine = self.read().join(sound.select(*OWNER).distinct(), OWNER, "left_semi")
+        # written once: it names the rows to replace and holds their new form
+        new = cut_lineage(apply_regenerated(mine, sound, at))
+        touched = new.select("user_id", bucket_of(F.col(INV)).alias("bucket")).distinct()
+        self._rewrite(MAIN, touched, new.select(*OWNER), new)
 
 
 def write_investigations(tables: dict[str, DataFrame], root: str) -> DataFrame:

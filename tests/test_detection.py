@@ -5,11 +5,13 @@ import random
 from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logvigil.constants import POPIA_FLAGS
 from logvigil.functions.network import cross_border
+from logvigil.operators import forest
 from logvigil.operators.features import BURSTS, SOURCE, burst_spans
 from logvigil.operators.forest import isolation_forest
 from logvigil.operators.features import with_source_context
@@ -20,6 +22,7 @@ from logvigil.operators.scoring import score_threats
 from logvigil.operators.summary import (
     distribution_shares, events_at_level, threat_summary, top_events, top_events_list,
 )
+from logvigil.session import cut_lineage
 
 INV = "investigation_id"
 LOG = (f"{INV} string, event_id long, timestamp timestamp, src_ip string, dst_ip string, "
@@ -287,3 +290,51 @@ def test_forest(spark):
     assert detected.where("ml_is_anomaly and not is_anomaly").count() == 0
 
 
+
+
+def test_outlier_cutoffs_are_those_of_a_sort(spark):
+    """Percentiles of many sizes, with ties and equal scores, in two scans of the scores and no nested joins."""
+    rng = np.random.default_rng(3)
+    scores = {"one": rng.random(1), "two": rng.random(2), "equal": np.full(50, 0.5), "ties": rng.integers(0, 4, 300) / 4,
+              "close": 0.6 + rng.random(2000) * 1e-7, "wide": rng.random(3001), "ends": np.array([0.0, 1.0] * 40)}
+    rows = [(name, i, float(x)) for name, values in scores.items() for i, x in enumerate(values)]
+    scored = cut_lineage(spark.createDataFrame(rows, f"{INV} string, event_id long, ml_score double"))
+    weights = cut_lineage(scored.groupBy(INV).agg(F.count(F.lit(1)).alias("events")))
+    for share in (0.05, 0.5, 1.0):
+        found = forest.outlier_cutoffs(scored, weights, share)
+        got = {r[INV]: (r.events, r.cutoff) for r in found.collect()}
+        for name, values in scores.items():
+            assert got[name] == (len(values), pytest.approx(np.quantile(values, 1 - share), abs=1e-15))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Relation" in line and "ml_score" in line]
+    assert len(scans) == 2 and plan.count("Join ") == 2
+
+
+def test_forest_flags_of_a_small_table(spark):
+    """The flagged events against scores computed tree by tree from the same fitted forest."""
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame(
+        [(n, i, rng.normal(size=3).tolist() if i % 40 else [9.0, 9.0, float(i)]) for n in ("a", "b") for i in range(160)],
+        f"{INV} string, event_id long, features array<double>")
+    weights = rows.groupBy(INV).agg(F.count(F.lit(1)).alias("events"))
+    trees = cut_lineage(forest.fit_forests(forest.training_sample(rows, weights)))
+    scored = cut_lineage(forest.score_events(rows, trees, weights))
+    fitted = {}
+    for t in trees.collect():
+        fitted.setdefault(t[INV], []).append(t)
+    expected = {}
+    for r in rows.collect():
+        depths = []
+        for t in fitted[r[INV]]:
+            at = 0
+            while t.low[at] != at:
+                at = t.low[at] if r.features[t.feature[at]] <= t.cut[at] else t.high[at]
+            depths.append(t.depth[at])
+        expected[r[INV], r.event_id] = 2 ** (-np.mean(depths) / fitted[r[INV]][0].scale)
+    got = {(r[INV], r.event_id): r.ml_score for r in scored.collect()}
+    assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k], rel=1e-6) for k in got)
+    cutoffs = {r[INV]: r.cutoff for r in forest.outlier_cutoffs(scored, weights).collect()}
+    for name in ("a", "b"):
+        mine = np.array([expected[name, i] for i in range(160)])
+        assert cutoffs[name] == pytest.approx(np.quantile(mine, 0.95), rel=1e-6)
+        assert {0, 40, 80, 120} <= set(np.flatnonzero(mine > cutoffs[name]))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from logvigil.functions.skew import balanced_join
+from logvigil.operators import components
 from logvigil.operators.components import connected_components
 from logvigil.operators.graph import (
     attack_clusters, display_value, edge_events, graph_edges, graph_nodes, incident_edges,
@@ -77,10 +78,25 @@ def test_components_against_union_find(spark):
         f"{INV} string, node_id string")
     expected = {(g, n): c for g, pairs in graphs.items() for n, c in union_find(pairs).items()}
     for unit in (1_000_000, 7):
-        got = {(r[INV], r.node_id): r.component for r in connected_components(edges, nodes).collect()}
+        got = {(r[INV], r.node_id): r.component for r in connected_components(edges, nodes, unit).collect()}
         assert got == expected
 
 
+def test_heavy_node_is_cut(spark):
+    """One node with half of all links: no task joins more than twice the median rows."""
+    half, unit = 8000, 200
+    pairs = spark.range(2 * half).select(
+        F.lit("i").alias(INV), F.when(F.col("id") < half, F.lit("ip:hub")).otherwise(F.concat(F.lit("ip:"), F.col("id") % 997)).alias("u"),
+        F.concat(F.lit("ip:"), "id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = components._with_smallest(pairs, components._around(pairs), unit, small=False)
+        rows = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(rows) == 2 * half and rows[-1] <= 2 * rows[len(rows) // 2]
+
+
 def test_clusters(spark):
     rows = [("a1", "a2", None, None, "x", 95, "Critical", 10.0), ("a1", "a3", None, None, "y", 60, "High", 5.0),
             ("b1", "b2", None, None, "x", 60, "High", 1.0), ("b2", "b3", None, None, "x", 60, "High", 1.0),

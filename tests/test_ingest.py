@@ -10,6 +10,7 @@ from logvigil.operators.normalise import (
     rename_columns, to_bytes, with_event_id,
 )
 from logvigil.operators.rules import detect_anomalies
+from logvigil.plans.registry import QUERIES
 from logvigil.sources import logs
 from logvigil.sources.knowledge_files import PATTERN_SCHEMA, read_kb_json, read_stix_bundle
 
@@ -87,6 +88,15 @@ def test_headers_must_agree(spark, folder):
     assert sorted(r.type for r in rows) == ["c", "two\nlines"]
 
 
+def test_surplus_cells(spark, folder):
+    (folder / "one.csv").write_text('time,src,dst,type\n2026-01-01,a,b,c\n2026-01-01,a,"b,x"\n2026-01-02,a,b,c,d,"e,f"\n')
+    with pytest.raises(Exception, match="more cells than the header"):
+        logs.read_logs(spark, str(folder)).select("src").collect()
+    marked = logs.read_logs(spark, str(folder), surplus="mark")
+    assert [tuple(r) for r in marked.select("time", "dst", "type", "reject_reason").collect()] == [
+        ("2026-01-01", "b", "c", None), ("2026-01-01", "b,x", None, None), ("2026-01-02", "b", "c", logs.SURPLUS)]
+
+
 def test_event_ids_cover_maps(spark):
     rows = spark.createDataFrame([("a", {"x": "1"}), ("a", {"x": "2"})], "src string, extra map<string,string>")
     assert with_event_id(rows).select("event_id").distinct().count() == 2
@@ -166,3 +176,15 @@ def test_knowledge_files(spark, folder):
     bundle.write_text('{"other": 1}')
     with pytest.raises(Exception, match="objects array"):
         read_stix_bundle(spark, str(bundle)).collect()
+
+
+@pytest.mark.parametrize("name", ["normalised_logs", "pasted_logs", "rejected_texts", "quarantined_rows", "csv_round_trip"])
+def test_generated_code_compiles(spark, name):
+    """No fall-back to interpreted expressions because a method grew too large."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", "true")
+        spark.conf.set("spark.sql.codegen.factoryMode", "FALLBACK")

@@ -4,10 +4,13 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.ml import Transformer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import functions as F
 
 from logvigil.constants import STEP_PADDING
-from logvigil.operators import knowledge, reports, retrieval
+from logvigil.operators import knowledge, models, reports, retrieval
 from logvigil.plans.investigate import retrieve
 
 INV = "investigation_id"
@@ -84,6 +87,82 @@ def test_nearest_against_brute_force(spark):
         retrieval.nearest(asked, docs, True)
 
 
+def test_nearest_in_cells(spark):
+    """Recall against the exact path, many queries a cell, cells in blocks, and exactness where all cells are asked."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(900, 16)) + np.repeat(rng.normal(size=(30, 16)) * 2, 30, axis=0)
+    docs = spark.createDataFrame([(f"c{i % 2}", f"d{i:03d}", v.tolist()) for i, v in enumerate(vectors)],
+                                 "collection string, id string, embedding array<double>")
+    asked = docs.where("id < 'd300'").select(F.col("id").alias("query_id"), "embedding")
+    key = lambda hits: {(h.query_id, h.collection, h.id, h.position) for h in hits.collect()}
+    exact = key(retrieval.nearest(asked, docs, 5))
+    got = {x[:3] for x in key(retrieval.nearest_in_cells(asked, docs, 5))}
+    assert len(got & {x[:3] for x in exact}) >= 0.9 * len(exact)
+    retrieval._CELL_QUERIES, retrieval._DOC_BLOCK, before = 40, 30, (retrieval._CELL_QUERIES, retrieval._DOC_BLOCK)
+    try:
+        assert key(retrieval.nearest_in_cells(asked, docs, 5, cells=6, probes=6)) == exact
+    finally:
+        retrieval._CELL_QUERIES, retrieval._DOC_BLOCK = before
+    assert retrieval.nearest_in_cells(asked, docs.limit(0), 5).collect() == []
+
+
+def test_space_outcomes(spark):
+    docs = spark.createDataFrame([("a", [1.0, 2.0]), ("a", None), ("b", [1.0, 2.0]), ("c", [1.0, 2.0])],
+                                 "collection string, embedding array<double>")
+    base = spark.createDataFrame([("b", "p", "m", 2), ("c", "q", "n", 3)],
+                                 "collection string, provider string, model string, dim int")
+    got = {r.collection: (r.documents, r.outcome) for r in knowledge.space_outcomes(docs, base, "p", "m", 2).collect()}
+    assert got == {"a": (2, "Embedding dimension differs from 2"), "b": (1, None),
+                   "c": (1, "Vector space mismatch in provider, model, dim; rebuild the collection")}
+
+
+def test_embedder_takes_a_transformer(spark):
+    docs = spark.createDataFrame([("a b",), (None,)], "t string")
+    found = models.embedder(Vowels(inputCol="words", outputCol="vector"))(docs, "t").collect()
+    assert [r.embedding for r in found] == [[1.0], [0.0]] and found[0].asDict().keys() == {"t", "embedding"}
+
+
+class Vowels(Transformer, HasInputCol, HasOutputCol):
+    def __init__(self, inputCol, outputCol):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, df):
+        vowels = F.length(self.getInputCol()) - F.length(F.translate(self.getInputCol(), "aeiou", ""))
+        return df.withColumn(self.getOutputCol(), array_to_vector(F.array(vowels.cast("double"))))
+
+
+def test_generation_outcomes(spark):
+    """Faults stay with their row: always failing, failing once, a missing answer, a short batch."""
+    def load():
+        seen = set()
+
+        def model(prompts):
+            if len(prompts) == 3 and "short" in prompts:
+                return ["x"]
+            out = []
+            for p in prompts:
+                if p == "never" or (p == "once" and (len(prompts) > 1 or p not in seen)):
+                    if len(prompts) == 1:
+                        seen.add(p)
+                    raise RuntimeError(p)
+                out.append(None if p == "none" else f"<{p}>")
+            return out
+        return model
+
+    def run(prompts, **kw):
+        rows = spark.createDataFrame(list(enumerate(prompts)), f"{INV} int, prompt_context string").coalesce(1)
+        return [tuple(r)[1:] for r in models.generate_answers(rows, load, **kw).orderBy(INV).collect()]
+
+    assert run(["a", "b"]) == [("<a>", None, 1), ("<b>", None, 1)]
+    assert run(["a", "never", "once", "d"]) == [
+        ("<a>", None, 2), (None, "RuntimeError: never", 3), ("<once>", None, 3), ("<d>", None, 2)]
+    assert run(["a", "never"], batch_size=1) == [("<a>", None, 1), (None, "RuntimeError: never", 3)]
+    assert run(["none"]) == [(None, "no answer", 1)]
+    assert run(["short", "b", "c"]) == [("<short>", None, 2), ("<b>", None, 2), ("<c>", None, 2)]
+    assert run([]) == []
+
+
 def test_context_order_and_absence(spark):
     hits = spark.createDataFrame(
         [("q", "sa_compliance", "C1", 0.1), ("q", "mitre_attack", "T2", 0.6), ("q", "mitre_attack", "T1", 0.2),

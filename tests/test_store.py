@@ -15,8 +15,7 @@ from logvigil.plans.investigate import investigate
 from logvigil.plans.regenerate import regenerate
 from logvigil.session import cut_lineage, shared_dir, stage_scope
 from logvigil.sources.sinks import text_report, to_json_rows
-from logvigil.sources.store import CHILD_TABLES, InvestigationStore, write_investigations
-from logvigil.sources.versioned import VersionedTable
+from logvigil.sources.store import BUCKETS, CHILD_TABLES, InvestigationStore, write_investigations
 
 INV = "investigation_id"
 
@@ -44,26 +43,24 @@ def test_paging(table):
             store.list_page(table, "me", **wrong)
 
 
+def test_pages_by_cursor(spark, table):
+    rows = table.withColumn("created_at", F.when(F.col("event_count") % 5 != 0, F.date_trunc("week", "created_at")))
+    for sort_by in ("created_at", "high_threat_count"):
+        for descending in (True, False):
+            expected = [r[INV] for r in store.list_page(rows, "me", page_size=50, sort_by=sort_by, descending=descending).collect()]
+            last, got = None, []
+            while page := store.list_after(rows, "me", last, 5, sort_by, descending).select(sort_by, INV).collect():
+                got += [r[INV] for r in page]
+                last = tuple(page[-1])
+            assert got == expected and len(got) == 12
+
+
 def test_ownership(table):
     assert store.detail(table, "me", "i03").count() == 1 and store.detail(table, "you", "i03").count() == 0
     assert store.without(table, "you", "i03").count() == 15 and store.without(table, "me", "i03").count() == 14
     assert store.filename_contains(table, "fILE1").count() == 6 and store.filename_contains(table, " ").count() == 15
 
 
-def test_versions(spark, table, folder):
-    versioned = VersionedTable(spark, str(folder / "t"), ("user_id",))
-    assert not versioned.exists()
-    with pytest.raises(ValueError):
-        versioned.read()
-    versioned.replace(table)
-    versioned.replace(store.without(versioned.read(), "me", "i03"))
-    (folder / "t" / "version=00000003").mkdir()    # a writer that never finished
-    (folder / "t" / "_attempt-dead").mkdir()
-    assert versioned.read().count() == 14 and versioned.read(1).count() == 15
-    versioned.replace(versioned.read().limit(0))
-    assert versioned.read().count() == 0 and versioned.read().columns == versioned.read(1).columns
-
-
 def test_store_survives(spark, table, folder):
     keep = InvestigationStore(spark, str(folder / "s"))
     with pytest.raises(ValueError):
@@ -78,9 +75,52 @@ def test_store_survives(spark, table, folder):
     assert keep.read().count() == 15 and keep.read("events").count() == 15
     keep.write({"investigations": main.limit(2), "events": events.limit(0)})
     assert keep.read().count() == 15 and keep.read("events").count() == 13
+    one = keep.detail("me/a=b", "i03").collect()
+    assert [r[INV] for r in one] == ["i03"] and keep.detail("you/a=b", "i03").count() == 0
+    assert keep.detail("me/a=b", "i03", "events").count() == 1
+    keep.delete(main.where(F.col("user_id") == "you/a=b"))
+    assert keep.read().count() == 12 and {r.user_id for r in keep.read("events").collect()} == {"me/a=b"}
     keep.delete(main)
     assert keep.read().count() == keep.read("events").count() == 0
     assert set(keep.read().columns) == set(main.columns)
+    keep.write({"investigations": main.withColumn("user_id", F.lit("007")), "events": events})
+    assert {r.user_id for r in keep.read().collect()} == {"007"} and keep.read("events").count() == 15
+
+
+def jobs_of(spark, name, action):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_changes_are_set_operations(spark, folder):
+    """As many jobs and no more folders for two thousand investigations as for a few."""
+    def run(n, name):
+        keep = InvestigationStore(spark, str(folder / name))
+        main = cut_lineage(spark.range(n).select(
+            F.concat(F.lit("i"), "id").alias(INV), F.concat(F.lit("u"), F.col("id") % 3).alias("user_id"),
+            F.lit("a").alias("incident_summary"), F.array(F.lit("x")).alias("incident_next_steps"),
+            F.array(F.lit("x")).alias("mitre_techniques"), F.array(F.lit("x")).alias("rag_sources_used"),
+            F.lit(None).cast("timestamp").alias("regenerated_at"), F.lit(None).cast("string").alias("report_error")))
+        events = main.select(INV, F.lit(1).alias("event_id"))
+        rows = main.drop("report_error")
+        jobs = [
+            jobs_of(spark, f"{name} write", lambda: keep.write({"investigations": rows, "events": events})),
+            jobs_of(spark, f"{name} regenerate", lambda: keep.regenerate(
+                main.withColumn("incident_summary", F.lit("b")), F.lit("2026-01-01").cast("timestamp"))),
+            jobs_of(spark, f"{name} delete", lambda: keep.delete(rows.where(F.col("user_id") != "u1"))),
+        ]
+        assert keep.read().count() == keep.read("events").count() == len(range(1, n, 3))
+        assert {r.incident_summary for r in keep.read().collect()} == {"b"}
+        return jobs, len(list((folder / name / "events").glob("user_id=*/bucket=*")))
+
+    few, _ = run(48, "few")
+    many, folders = run(2000, "many")
+    assert folders <= 3 * BUCKETS
+    assert all(m <= f + 2 for f, m in zip(few, many, strict=True))
 
 
 def test_json_rows(spark):
@@ -109,7 +149,8 @@ def test_investigate_store_regenerate(spark, folder):
     tables = investigate(events, uploads(events), docs, generate=model)
     rejects = write_investigations({k: tables[k] for k in ["investigations", *CHILD_TABLES]}, str(folder))
     assert rejects.count() == 0
-    stored = {r[INV]: r for r in spark.read.parquet(str(folder / "investigations")).collect()}
+    keep = InvestigationStore(spark, str(folder))
+    stored = {r[INV]: r for r in keep.read().collect()}
     assert set(stored) == {"inv-0", "inv-1"}
     assert stored["inv-0"].incident_summary == "from model"
     assert stored["inv-0"].rag_sources_used == ["SA Threat Intelligence"]
@@ -117,12 +158,11 @@ def test_investigate_store_regenerate(spark, folder):
     faults = {r[INV]: r.report_error for r in tables["reports"].collect()}
     assert faults == {"inv-0": None, "inv-1": "report is not valid JSON"}
     for name in CHILD_TABLES:
-        assert spark.read.parquet(str(folder / name)).count() == tables[name].count() > 0
-    scored = spark.read.parquet(str(folder / "events"))
+        assert keep.read(name).count() == tables[name].count() > 0
+    scored = keep.read("events")
     assert scored.count() == 1000
     assert 0.03 < scored.where("ml_is_anomaly").count() / 1000 < 0.07
-    report = text_report(store.incident_view(spark.read.parquet(str(folder / "investigations")))).collect()
-    keep = InvestigationStore(spark, str(folder))
+    report = text_report(store.incident_view(keep.read())).collect()
     asked = spark.createDataFrame(
         [("owner", "inv-0"), ("owner", "inv-1"), ("stranger", "inv-0")], f"user_id string, {INV} string")
     faults = regenerate(keep, asked, lambda p: model(p).withColumn(
