@@ -2,8 +2,8 @@
 
 One inserted, deleted or replaced letter changes the vector of a word's letter counts by
 two at most in L1 distance.  Words of one length are the points of a k-d tree; words of the same
-length and of the length below search it for points within that distance, and what is found
-is checked letter by letter.
+length and of the length below search it for points within that distance.  The edit lies in one half
+of the word, so what is found must share the other half, and is then checked letter by letter.
 
 A length with many words is cut into cells by the upper part of its tree, which is fitted on a
 bounded sample of its words and broadcast; every word is stored in its cell, and asks all cells
@@ -27,9 +27,9 @@ from logvigil.llm.stages import Stages, emit, texts_of
 
 #: Words a cell should hold, and words of a sample that place the cuts; with the sample used up,
 #: cells grow and are cut into blocks.
-CELL, SAMPLE = 8192, 262_144
+CELL, SAMPLE = 32_768, 262_144
 #: Words and letters one group searches, and four times as many that ask.
-BLOCK, LETTERS = 16_384, 4 << 20
+BLOCK, LETTERS = 32_768, 4 << 20
 #: Words of a leaf.
 LEAF = 64
 #: Different words a task holds before it writes its counts.
@@ -98,14 +98,15 @@ def _cut(points: np.ndarray) -> tuple[int, int] | None:
     return d, int(at if at < values[-1] else values[np.searchsorted(values, at) - 1])
 
 
-def fit_cells(points: np.ndarray, cells: int) -> list:
-    """Upper part of a tree over sampled points: nested [dimension, value, left, right]; None is a cell."""
-    cut = _cut(points) if cells > 1 and len(points) > 1 else None
+def fit_cells(points: np.ndarray, most: float) -> list | None:
+    """Upper part of a tree over sampled points, nested [dimension, value, left, right]; None is a cell of
+    ``most`` points or of equal ones."""
+    cut = _cut(points) if len(points) > most else None
     if cut is None:
         return None
     d, value = cut
     left = points[:, d] <= value
-    return [d, value, fit_cells(points[left], cells // 2), fit_cells(points[~left], cells - cells // 2)]
+    return [d, value, fit_cells(points[left], most), fit_cells(points[~left], most)]
 
 
 def cells_in_reach(tree: list | None, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +135,19 @@ def _levels(points: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(len(points), -1), axis=1).view(np.uint64)
 
 
-def pairs_in_reach(tree: np.ndarray, asking: np.ndarray, reach: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places in ``asking``, places in ``tree``) of points within L1 ``reach``, leaf by leaf."""
-    tree, asking = tree.astype(np.int16), asking.astype(np.int16)
+def pairs_in_reach(tree: np.ndarray, asking: np.ndarray, stored_halves: np.ndarray, asking_halves: np.ndarray,
+                   reach: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in ``asking``, places in ``tree``) of points within L1 ``reach`` that share a half, leaf by leaf."""
     bits, asked = _levels(tree), _levels(asking)
+    # above 100 of a letter counts are cut, which only makes distances smaller
+    tree, asking = np.minimum(tree, 100).astype(np.int8), np.minimum(asking, 100).astype(np.int8)
     waiting = [(np.arange(len(tree)), np.arange(len(asking)))]
     while waiting:
         points, at = waiting.pop()
-        if not len(points):
-            continue
         box = tree[points]
         low, high = box.min(axis=0), box.max(axis=0)
-        apart = (np.maximum(low - asking[at], 0) + np.maximum(asking[at] - high, 0)).sum(axis=1)
+        some = asking[at]
+        apart = (np.maximum(low, some) - np.minimum(high, some)).sum(axis=1)
         at = at[apart <= reach]
         if not len(at):
             continue
@@ -155,16 +157,36 @@ def pairs_in_reach(tree: np.ndarray, asking: np.ndarray, reach: int = REACH) ->
             waiting += [(points[left], at), (points[~left], at)]
             continue
         for first in range(0, len(points), LEAF):
-            some = points[first:first + LEAF]
-            differ = np.bitwise_count(asked[at][:, None, :] ^ bits[some][None]).sum(axis=2, dtype=np.int64)
-            i, j = np.nonzero(differ <= reach)
-            yield at[i], some[j]
+            leaf = points[first:first + LEAF]
+            near = np.zeros((len(at), len(leaf)), bool)
+            for half in (0, 1):
+                near |= asking_halves[at, half][:, None] == stored_halves[leaf, half]
+            i, j = np.nonzero(near)
+            i, j = at[i], leaf[j]
+            near = np.bitwise_count(asked[i] ^ bits[j]).sum(axis=1) <= reach
+            if near.any():
+                yield i[near], j[near]
+
+
+def letters_of(words: list[bytes]) -> np.ndarray:
+    """Words of one length as rows of letters."""
+    return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+
 
+def halves(letters: np.ndarray, shorter: int) -> np.ndarray:
+    """Hashes of the first and the last letters; words within one edit share one of them.
 
-def one_edit(shorter: list[bytes], longer: list[bytes]) -> np.ndarray:
-    """Whether words of one length differ from others of the same or the next length by exactly one edit."""
-    a = np.frombuffer(b"".join(shorter), np.uint8).reshape(len(shorter), -1)
-    b = np.frombuffer(b"".join(longer), np.uint8).reshape(len(longer), -1)
+    The halves are those of the ``shorter`` length: an edit in the second half leaves the first
+    as it is, one in the first half leaves the last letters.
+    """
+    first = shorter // 2
+    factors = np.random.default_rng(11).integers(1, 1 << 63, max(shorter, 1), np.uint64)
+    sides = letters[:, :first], letters[:, letters.shape[1] - (shorter - first):]
+    return np.stack([(side * factors[:side.shape[1]]).sum(axis=1, dtype=np.uint64) for side in sides], axis=1)
+
+
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of letters differ from others of the same or the next length by exactly one edit."""
     if a.shape == b.shape:
         return (a != b).sum(axis=1) == 1
     ahead = np.minimum.accumulate(a == b[:, :-1], axis=1).sum(axis=1)
@@ -173,7 +195,8 @@ def one_edit(shorter: list[bytes], longer: list[bytes]) -> np.ndarray:
 
 
 def _placed(words: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
-    """(length, cell, asks, word, n): every word in its cell, and in all cells it asks."""
+    """(length, cell, role, word, n): every word in its cell (role 0), and in all cells it asks: its own
+    (1), those of its length with a higher number and those of the next length (2), so two cells meet once."""
     large = {r["length"]: r["words"] for r in sizes.where(F.col("words") > CELL).collect()}
     trees: dict[int, list | None] = {}
     if large:
@@ -184,8 +207,8 @@ def _placed(words: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
         for length, word in drawn:
             by_length.setdefault(length, []).append(word.encode("latin-1"))
         for length, found in by_length.items():
-            trees[length] = fit_cells(letter_counts(found), -(-large[length] // CELL))
-    schema = pa.schema([("length", pa.int32()), ("cell", pa.int64()), ("asks", pa.bool_()),
+            trees[length] = fit_cells(letter_counts(found), CELL * len(found) / large[length])
+    schema = pa.schema([("length", pa.int32()), ("cell", pa.int64()), ("role", pa.int32()),
                         ("word", pa.string()), ("n", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,15 +218,22 @@ def _placed(words: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
             for length in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == length)
                 points = letter_counts([words[i] for i in at])
-                for tree, reach in ((length, 0), (length, REACH), (length + 1, REACH)):
-                    row, cell = cells_in_reach(trees.get(tree), points, reach)
-                    rows = batch.take(pa.array(at[row]))
+                home = np.empty(len(at), np.int64)
+                own, own_cell = cells_in_reach(trees.get(length), points, 0)
+                home[own] = own_cell
+                row, cell = cells_in_reach(trees.get(length), points, REACH)
+                row, cell = row[cell >= home[row]], cell[cell >= home[row]]
+                longer, longer_cell = cells_in_reach(trees.get(length + 1), points, REACH)
+                for to, rows, cells, role in (
+                        (length, own, own_cell, np.zeros(len(own))), (length, row, cell, 1 + (cell > home[row])),
+                        (length + 1, longer, longer_cell, np.full(len(longer), 2))):
+                    taken = batch.take(pa.array(at[rows]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), tree, np.int32)), pa.array(cell.astype(np.int64)),
-                         pa.array(np.full(len(row), reach > 0)), rows.column(1), rows.column(2)], schema=schema)
+                        [pa.array(np.full(len(rows), to, np.int32)), pa.array(cells.astype(np.int64)),
+                         pa.array(role.astype(np.int32)), taken.column(1), taken.column(2)], schema=schema)
 
     return words.select("length", "word", "n").mapInArrow(
-        place, "length int, cell long, asks boolean, word string, n long")
+        place, "length int, cell long, role int, word string, n long")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -219,43 +249,43 @@ def near_words(words: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         *[F.expr(f"int(greatest(1, ceil(sum(if({own}, 1, 0)) / {size * BLOCK}),"
                  f" ceil(sum(if({own}, length(word), 0)) / {size * LETTERS})))").alias(name)
-          for own, size, name in (("not asks", 1, "blocks"), ("asks", 4, "questions"))])
+          for own, size, name in (("role = 0", 1, "blocks"), ("role > 0", 4, "questions"))])
     rows = balanced_join(placed, groups, ["length", "cell"], groups, "rows", ["word"], "inner", UNIT)
     hashed = F.xxhash64("word", F.lit(7))
     one = lambda blocks: F.array(F.pmod(hashed, F.col(blocks)).cast("int"))
     every = lambda blocks: F.sequence(F.lit(0), F.col(blocks) - 1)
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
-        rows.withColumn("block", F.explode(F.when(F.col("asks"), every("blocks")).otherwise(one("blocks"))))
-        .withColumn("question", F.explode(F.when(F.col("asks"), one("questions")).otherwise(every("questions"))))
-        .select("length", "cell", "block", "question", "asks", "word", "n")
+        rows.withColumn("block", F.explode(F.when(F.col("role") > 0, every("blocks")).otherwise(one("blocks"))))
+        .withColumn("question", F.explode(F.when(F.col("role") > 0, one("questions")).otherwise(every("questions"))))
+        .select("length", "cell", "block", "question", "role", "word", "n")
         .repartition(parts, "length", "cell", "block", "question")
     )
 
     def search(group: pa.Table) -> pa.Table:
         length = group.column("length")[0].as_py()
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        role = group.column("role").to_numpy()
         words, n = [w.encode("latin-1") for w in group.column("word").to_pylist()], group.column("n").to_numpy()
-        stored, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+        lengths = np.array([len(w) for w in words])
+        stored = np.flatnonzero(role == 0)
         found = [np.empty((2, 0), np.int64)]
-        if len(stored) and len(asking):
-            points = letter_counts(words)
-            lengths = np.array([len(w) for w in words])
-            for own in (length, length - 1):
-                some = asking[lengths[asking] == own]
-                if not len(some):
-                    continue
-                step = max(1, LETTERS // length)
-                for i, j in pairs_in_reach(points[stored], points[some]):
-                    i, j = some[i], stored[j]
-                    if own == length:
-                        ordered = np.array([words[a] < words[b] for a, b in zip(i, j, strict=True)], bool)
-                        i, j = i[ordered], j[ordered]
-                    for at in range(0, len(i), step):
-                        a, b = i[at:at + step], j[at:at + step]
-                        near = one_edit([words[x] for x in a], [words[x] for x in b])
-                        found.append(np.stack([a[near], b[near]]))
+        for own in (length, length - 1) if len(stored) else ():
+            asking = np.flatnonzero((role > 0) & (lengths == own))
+            if not len(asking):
+                continue
+            inside, outside = [words[x] for x in stored], [words[x] for x in asking]
+            there, here = letters_of(inside), letters_of(outside)
+            step = max(1, LETTERS // length)
+            for i, j in pairs_in_reach(letter_counts(inside), letter_counts(outside), halves(there, own), halves(here, own)):
+                for at in range(0, len(i), step):
+                    x, y = i[at:at + step], j[at:at + step]
+                    near = one_edit(here[x], there[y])
+                    found.append(np.stack([asking[x[near]], stored[y[near]]]))
         a, b = np.concatenate(found, axis=1)
+        if len(a):
+            # words of one cell find each other both ways: one is enough
+            once = np.array([role[x] == 2 or words[x] < words[y] for x, y in zip(a, b, strict=True)])
+            a, b = a[once], b[once]
         word = group.column("word").combine_chunks()
         return pa.table({"word": word.take(pa.array(a)), "n": pa.array(n[a]),
                          "other": word.take(pa.array(b)), "other_n": pa.array(n[b])})
