@@ -3,23 +3,18 @@
 N-grams are ordered from rare to frequent.  Two sets at the least similarity share one of
 the first few n-grams of this order, so only these prefixes are joined.  A pair that meets
 there must pass three filters before its sets are compared, once: by length, by position (what is
-left behind the last shared prefix n-gram), and by suffix (n-grams counted in ``PARTS`` parts;
+left behind the last shared prefix n-gram), and by suffix (n-grams counted in parts;
 the differences of the counts bound the differences of the sets).
 
 N-grams held by one set only come first in the order and match nothing; a set with enough of them has
 no partner.  Most sets are told apart this way from a quarter of their n-grams, before any others move.
 
 Equal sets are one class.  A group of similar classes shares its prefix n-grams, so pairs are not taken
-out of whole groups: the classes of a prefix n-gram are first compared with one hub, the class with the
-fewest n-grams of its own.  Where classes then lie outside the hub's component, these are
-compared with all others of the n-gram, in blocks, where the filters run and links are confirmed before
-anything becomes a row.  So no link between different sets is missed, and a group of similar texts
-costs a few rows a text.
+out of whole groups: see ``links``.  The hub of an n-gram is the class with the fewest n-grams of its own.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logvigil.functions.skew import balanced_join
 from logvigil.llm.components import components
-from logvigil.llm.stages import Stages, texts_of
+from logvigil.llm.links import PACKED, UNIT, confirmed, hub_pairs, links_that_remain, part_counts
+from logvigil.llm.stages import Stages, short_lived_shuffles, texts_of
 from logvigil.llm.words import WordHashes, shingles, words_of
 
 #: One n-gram in so many is looked at to find sets that have too many of their own.
 SHARE = 4
-#: Parts of the suffix filter: four numbers of eight bytes each.
-PARTS = 32
-#: Classes of a group compared at a time.
-BLOCK = 1024
-#: Rows a join key may have in one place.
-UNIT = 20_000
 
 
 def least_shared(n: str, percent: int) -> Column:
@@ -47,11 +37,6 @@ def least_shared(n: str, percent: int) -> Column:
     return F.expr(f"({n} * {percent} + 99) div 100")
 
 
-def least_overlap(x: str, y: str, percent: int) -> Column:
-    """The n-grams two sets of these sizes share when they link, at least."""
-    return F.expr(f"({percent} * ({x} + {y}) + {percent} + 99) div {100 + percent}")
-
-
 def _grams(docs: DataFrame, size: int, share: int) -> DataFrame:
     """(doc_id, set_key, n, grams): distinct n-grams; of every ``share``-th hash only."""
     schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()),
@@ -96,155 +81,56 @@ def _with_partners(signed: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _ordered(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, m, grams, prefix, p0..p3) of classes with a shared n-gram in their prefix.
+def _ordered(pairs: DataFrame, classes: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """(key, node, n, m, first, members, p0..p3) of classes with a shared n-gram in their prefix.
 
-    ``grams`` are the m n-grams that other classes hold too, rare ones first; ``prefix`` is how
-    many of them lie in the prefix.  p0 to p3 count grams by parts, a byte a part
-    (255 at most, which only weakens the filter).
+    The m n-grams that other classes hold too are ``members``, and ``first`` lists those of the prefix,
+    rare ones first; the n - m others come before them in the order.
     """
-    shared = pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
+    shared = stages.keep(pairs.groupBy("gram").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "shared")
     held = balanced_join(pairs, shared, ["gram"], shared, "holders", ["key"], "inner", UNIT)
-    part = F.pmod(F.shiftright("gram", 8), F.lit(PARTS))
-    lists = held.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("held"),
-        *[F.least(F.count(F.when(part == i, 1)), F.lit(255)).alias(f"c{i}") for i in range(PARTS)])
-    packed = [
-        functools.reduce(Column.bitwiseOR, [F.shiftleft(f"c{8 * word + i}", 8 * i) for i in range(8)]).alias(f"p{word}")
-        for word in range(PARTS // 8)
-    ]
-    prefix = F.col("n") - least_shared("n", percent) + 1 - (F.col("n") - F.size("held"))
-    return (
-        classes.select("key", "node", "n").join(lists, "key")
-        .withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-        .select("key", "node", "n", F.size("held").cast("long").alias("m"), F.col("held.gram").alias("grams"),
-                "prefix", *packed)
-    )
-
-
-def _may_link(percent: int) -> Column:
-    """Length, suffix and position filters on rows ``x`` and ``y`` of one n-gram.
-
-    Before the n-gram at places x.at and y.at lie that many shared ones at most, behind it
-    no more than either side has left.
-    """
-    apart = F.expr("x.n - x.m + y.n - y.m")
-    for word in range(PARTS // 8):
-        for i in range(8):
-            a, b = (F.shiftrightunsigned(f"{side}.p{word}", 8 * i).bitwiseAND(F.lit(255)) for side in "xy")
-            apart = apart + F.abs(a - b)
-    least = least_overlap("x.n", "y.n", percent)
-    return (
-        F.expr(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-        & (F.expr("least(x.at, y.at) + least(x.m - x.at, y.m - y.at)") >= least)
-        & (apart <= F.expr("x.n + y.n") - 2 * least)
-    )
-
-
-_SIDE = ("key", "node", "n", "m", "at", "p0", "p1", "p2", "p3")
-
-
-def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a = hub, b) that may link: each class with the class of its n-gram that has fewest n-grams of its own."""
-    hubs = postings.groupBy("gram").agg(
-        F.min(F.struct((F.col("n") - F.col("m")).alias("own"), *_SIDE)).alias("x"),
-        F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    rows = postings.select("gram", "key", F.struct(*_SIDE).alias("y"))
-    return (
-        balanced_join(rows, hubs, ["gram"], hubs, "classes", ["key"], "inner", UNIT)
-        .where("x.key <> y.key").where(_may_link(percent))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"),
-                F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"),
-                F.col("x.node").alias("node_a"), F.col("y.node").alias("node_b")).distinct()
-    )
-
-
-def _confirmed(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes whose whole sets reach the similarity; hubs are joined in slices."""
-    per_hub = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
-    right = pairs.join(lists.select(F.col("key").alias("b"), F.col("grams").alias("right")), "b")
-    left = lists.select(F.col("key").alias("a"), F.col("grams").alias("left"))
-    sides = balanced_join(right, left, ["a"], per_hub, "partners", ["b"], "inner", UNIT)
-    shared = F.size(F.array_intersect("left", "right"))
-    return sides.where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)).select(
-        F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-
-def _links_that_remain(postings: DataFrame, lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Links (a, b) between components that share a prefix n-gram but no hub.
-
-    Rows outside the hub's component meet all rows of their n-gram, in blocks that
-    are bounded in rows and n-grams; a pair is compared where it meets first, and a block
-    returns only links that join components in it.
-    """
-    if labels is None:
-        labelled = postings.withColumn("component", F.col("node"))
-    else:
-        labelled = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    hub = F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "key", "component"))["component"]
-    groups = labelled.groupBy("gram").agg(
-        hub.alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
-        F.count(F.lit(1)).alias("classes"), F.sum("m").alias("held")
-    ).where("low <> high and classes > 2").select(
-        "gram", "main", "classes", F.expr(f"int(greatest(ceil(classes / {BLOCK}), ceil(held / {BLOCK * 1024})))").alias("blocks"))
-    rows = balanced_join(labelled, groups, ["gram"], groups, "classes", ["key"], "inner", UNIT)
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    own = F.array(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    outside = F.col("component") != F.col("main")
-    sides = rows.select("*", F.lit(False).alias("asks"), own.alias("mine"), every.alias("theirs")).unionByName(
-        rows.where(outside).select("*", F.lit(True).alias("asks"), every.alias("mine"), own.alias("theirs")))
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        sides.withColumn("block", F.explode("mine")).withColumn("asking", F.explode("theirs"))
-        .select("gram", "block", "asking", "asks", "component", outside.alias("outside"), *_SIDE)
-        .join(lists.select("key", "grams", "prefix"), "key")
-        .repartition(parts, "gram", "block", "asking")
-    )
-
-    def compare(group: pa.Table) -> pa.Table:
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        key, node, n, m, at, component = (
-            group.column(c).to_numpy() for c in ("key", "node", "n", "m", "at", "component"))
-        outer = group.column("outside").to_numpy(zero_copy_only=False)
-        counts = np.stack([group.column(f"p{i}").to_numpy() for i in range(PARTS // 8)], axis=1).view(np.uint8)
-        counts = counts.astype(np.int16)
-        gram = group.column("gram")[0].as_py()
-        grams, prefix = group.column("grams"), group.column("prefix").to_numpy()
-        joined: dict[int, int] = {}
+    lists = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("holders", "gram")))["gram"].alias("grams"))
+    prefix = F.col("n") - least_shared("n", percent) + 1 - (F.col("n") - F.size("grams"))
+    ready = classes.select("key", "node", "n").join(lists, "key").withColumn("prefix", prefix.cast("int"))
 
-        def top(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        held: dict[int, np.ndarray] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, node, n, grams, prefix = batch.columns
+            sets = [x.values.to_numpy().view(np.uint64) for x in grams]
+            counts = np.array([part_counts(x) for x in sets], np.int64).reshape(-1, len(PACKED))
+            first = [x[:k].view(np.int64) for x, k in zip(sets, prefix.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [key, node, n, pa.array([len(x) for x in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())),
+                 pa.array([np.sort(x).tobytes() for x in sets], pa.binary()), *map(pa.array, counts.T.copy())],
+                names=["key", "node", "n", "m", "first", "members", *PACKED])
 
-        def of(i: int) -> np.ndarray:
-            if i not in held:
-                held[i] = grams[i].values.to_numpy()
-            return held[i]
+    return ready.where("prefix > 0").select("key", "node", "n", "grams", "prefix").mapInArrow(
+        pack, "key long, node long, n long, m long, first array<long>, members binary, "
+              + ", ".join(f"{p} long" for p in PACKED))
 
-        found = []
-        targets = np.flatnonzero(~asks)
-        for i in np.flatnonzero(asks):
-            t = targets[(component[targets] != component[i]) & (~outer[targets] | (key[targets] > key[i]))]
-            t = t[100 * np.minimum(n[t], n[i]) >= percent * np.maximum(n[t], n[i])]
-            least = (percent * (n[t] + n[i]) + percent + 99) // (100 + percent)
-            apart = np.abs(counts[t] - counts[i]).sum(axis=1) + (n[t] - m[t]) + (n[i] - m[i])
-            most = np.minimum(at[t], at[i]) + np.minimum(m[t] - at[t], m[i] - at[i])
-            may = (apart <= n[t] + n[i] - 2 * least) & (most >= least)
-            for j, need in zip(t[may], least[may], strict=True):
-                a, b = top(component[i]), top(component[j])
-                if a == b:
-                    continue
-                x, y = of(i), of(j)
-                first = x[:prefix[i]][np.isin(x[:prefix[i]], y[:prefix[j]])][0]
-                if first == gram and len(np.intersect1d(x, y, assume_unique=True)) >= need:
-                    joined[max(a, b)] = min(a, b)
-                    found.append((node[i], node[j]))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return placed.groupBy("gram", "block", "asking").applyInArrow(compare, "a long, b long")
+def _labels(docs: DataFrame, classes: DataFrame, size: int, percent: int, stages: Stages) -> DataFrame | None:
+    """(node, component) of all classes with links; None without any."""
+    # every n-gram of one text of each class that is left
+    texts = docs.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    pairs = stages.keep(
+        _grams(texts, size, 1).select(F.xxhash64("set_key").alias("key"), "grams").join(
+            classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
+        .select("key", F.explode("grams").alias("gram")), "grams")
+    sets = stages.keep(_ordered(pairs, classes, percent, stages), "ordered")
+    stages.drop(pairs)
+    postings = stages.keep(
+        sets.select("key", "node", "n", "m", (F.col("n") - F.col("m")).alias("rank"), *PACKED,
+                    F.posexplode("first").alias("at", "bucket"))
+        .withColumn("at", F.col("at").cast("long")), "postings")
+    met = stages.keep(hub_pairs(postings, percent), "hub-pairs")
+    links = stages.keep(confirmed(met, sets, percent), "links")
+    labels = None if links.isEmpty() else components(links, stages)
+    more = stages.keep(links_that_remain(postings, sets, labels, percent, stages), "more-links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more), stages)
+    stages.drop(sets, postings, met)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -260,25 +146,12 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     stages = Stages(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stages.keep(_grams(docs, size, SHARE), "signed")
-    classes = stages.keep(_with_partners(signed, percent), "classes")
-    # every n-gram of one text of each class that is left
-    texts = docs.join(classes.select("node", "key"), docs["doc_id"] == F.col("node"), "left_semi")
-    pairs = stages.keep(
-        _grams(texts, size, 1).select(F.xxhash64("set_key").alias("key"), "grams").join(
-            classes.select("key"), "key", "left_semi").dropDuplicates(["key"])
-        .select("key", F.explode("grams").alias("gram")), "grams")
-    lists = stages.keep(_ordered(pairs, classes, percent), "ordered")
-    stages.drop(pairs)
-    postings = stages.keep(
-        lists.select("key", "node", "n", "m", "p0", "p1", "p2", "p3",
-                     F.posexplode(F.slice("grams", 1, F.col("prefix"))).alias("at", "gram"))
-        .withColumn("at", F.col("at").cast("long")), "postings")
-    links = stages.keep(_confirmed(stages.keep(_hub_pairs(postings, percent), "hub-pairs"), lists, percent), "links")
-    labels = None if links.isEmpty() else components(links, stages)
-    more = stages.keep(_links_that_remain(postings, lists, labels, percent), "more-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more), stages)
+    with short_lived_shuffles(docs.sparkSession):
+        sampled = stages.keep(_grams(docs, size, SHARE), "sampled")
+        classes = stages.keep(_with_partners(sampled, percent), "classes")
+        signed = stages.keep(sampled.drop("grams"), "signed")
+        stages.drop(sampled)
+        labels = _labels(docs, classes, size, percent, stages)
     nodes = signed.where("n > 0 and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows"))
     if labels is not None:
@@ -286,7 +159,6 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     else:
         nodes = nodes.withColumn("component", F.col("node"))
     nodes = nodes.select("set_key", "rows", "component")
-    found = balanced_join(signed.select("doc_id", "set_key", "n"), nodes, ["set_key"], nodes, "rows", ["doc_id"],
-                          "left", UNIT)
+    found = balanced_join(signed, nodes, ["set_key"], nodes, "rows", ["doc_id"], "left", UNIT)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(
         F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

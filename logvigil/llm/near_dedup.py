@@ -7,20 +7,15 @@ all shifts are one run of ``pi``, so a signature is an element-wise minimum of
 runs.  Bands of coordinates are buckets; what meets in a bucket is a candidate,
 and every link is confirmed on full shingle sets.
 
-Documents with equal sets are one class from the start.  Two classes alone in a bucket
-are a pair.  In larger buckets classes are first compared with one hub, not with each
-other; where a bucket then still holds several components, each class is compared
-with the most promising one of another component.  What remains after that, pairs between
-components that are no links by any of these, is looked at in blocks by signatures
-long enough to leave only pairs near the threshold, and those are confirmed too.
-So no link between components that meet in a bucket is missed, and large groups
-of copies cost a few rows per copy.
+Documents with equal sets are one class from the start.  The classes of a bucket are settled as
+``links`` says; the hub of a bucket is the class that meets most others in all its buckets, as the text
+does that copies were made from.  So no link between components that meet in a bucket is missed, and
+large groups of copies cost a few rows per copy.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from logvigil.functions.skew import balanced_join
 from logvigil.llm.components import components
-from logvigil.llm.stages import Stages, texts_of
+from logvigil.llm.links import PACKED, UNIT, confirmed, hub_pairs, links_that_remain, part_counts
+from logvigil.llm.stages import Stages, short_lived_shuffles, texts_of
 from logvigil.llm.words import WordHashes, mixed, shingles, words_of
 
 #: 32 bands of 5: at a similarity of 0.8 a pair meets in no band once in 300,000 times.
@@ -37,12 +34,6 @@ BANDS, ROWS = 32, 5
 #: Places of the universe, as a power of two; beyond some million shingles a text
 #: saturates it and its coordinates say little, which costs comparisons, not results.
 UNIVERSE = 22
-#: Coordinates of the signatures that look at what remains in the end.
-LONG = 2048
-#: Standard errors that an estimate may fall short of the threshold.
-ERRORS = 5
-#: Classes of a bucket compared at a time.
-BLOCK = 1024
 #: Ids that may be broadcast: 32 MB.
 BROADCAST_IDS = 4_000_000
 
@@ -71,208 +62,89 @@ def signature(found: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, set_key, n, bands, sketch) of every row; without words no bands."""
+    """(doc_id, set_key, n, bands, parts) of every row; without words no bands."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("set_key", pa.binary()), ("n", pa.int64()),
-        ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()),
+        ("bands", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64())),
     ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         nth = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            keys, counts, buckets, sketches = [], [], [], []
+            keys, counts, buckets, parts = [], [], [], []
             for text in texts_of(batch):
                 found = shingles(hashes.of(words_of(text)), size)
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()))
                 counts.append(len(found))
+                parts.append(part_counts(found))
                 if not len(found):
                     buckets.append([])
-                    sketches.append(b"")
                     continue
                 signed = signature(found, bands * rows)
                 total = nth.copy()
                 for column in signed.reshape(bands, rows).T.astype(np.uint64):
                     total = mixed(total + np.uint64(0x9E3779B97F4A7C15)) + column
                 buckets.append(mixed(total).view(np.int64))
-                sketches.append((signed & 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()),
-                 pa.array(buckets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
+                 pa.array(buckets, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int64()))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sign, "doc_id long, set_key binary, n long, bands array<long>, sketch binary")
+        sign, "doc_id long, set_key binary, n long, bands array<long>, parts array<long>")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): full sets as packed sorted 64-bit numbers."""
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    """(set_key, members): full sets as packed sorted 64-bit numbers."""
+    schema = pa.schema([("set_key", pa.binary()), ("members", pa.binary())])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingles(hashes.of(words_of(t)), size).tobytes() for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
+            keys = [xxhash.xxh3_128_digest(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").alias("node"), "text").mapInArrow(
-        collect, "node long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(collect, "set_key binary, members binary")
 
 
-def least_estimate(percent: int, coordinates: int) -> float:
-    """Pairs whose signatures agree less are no links, but for one in millions at the threshold."""
-    p = percent / 100
-    return p - ERRORS * math.sqrt(p * (1 - p) / coordinates)
-
-
-def long_sketches(sets: DataFrame) -> DataFrame:
-    """(node, sketch): one byte of each coordinate of long signatures."""
-    schema = pa.schema([("node", pa.int64()), ("sketch", pa.binary())])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sketches = [
-                (signature(np.frombuffer(x, np.uint64), LONG) & 255).astype(np.uint8).tobytes()
-                for x in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], schema=schema)
-
-    return sets.select("node", "shingles").mapInArrow(sign, "node long, sketch binary")
-
-
-def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Add ``estimate`` to pairs (a, b, n_a, n_b) by their sketches."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("estimate", pa.float64())])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                for i in (2, 3))
-            equal = (left == right).mean(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array((equal - 1 / 256) / (255 / 256))], schema=schema)
-
-    sides = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right")), "b").join(
-        sketches.select(F.col("node").alias("a"), F.col("sketch").alias("left")), "a")
-    return sides.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, estimate double")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity, as long as both have a set."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            for left, right in sides:
-                x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                kept.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], schema=schema).filter(pa.array(kept, pa.bool_()))
-
-    sides = pairs.select("a", "b").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b").join(
-        sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    return sides.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
-
-
-def _hub_pairs(crowded: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a = hub, b) for the classes of each bucket, a different hub each ``turn``."""
-    first = F.min(F.struct(
-        F.lit(0).alias("rank") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("rank"),
-        "node", "n", "component"))
-    hubs = crowded.groupBy("bucket").agg(first.alias("hub"))
-    return (
-        crowded.join(hubs, "bucket")
-        .where((F.col("component") != F.col("hub.component"))
-               & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
-        .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    )
-
-
-def _lone_pairs(crowded: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the buckets that hold two classes."""
-    ends = crowded.where("classes = 2").groupBy("bucket").agg(
-        F.min(F.struct("node", "n")).alias("a"), F.max(F.struct("node", "n")).alias("b"))
-    return ends.where(_sizes_allow(F.col("a.n"), F.col("b.n"), percent)).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-
-
-def _sizes_allow(x, y, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def _cross_pairs(crowded: DataFrame, sketches: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of one bucket but different components that the signatures allow.
-
-    A pair belongs to the first band in which it meets, so it is looked at once.
-    With ``best`` only the most promising partner of each class in a group.
-    Buckets are cut into blocks by the hash of a node; each pair of blocks is a
-    group of its own, so a group never holds more than about two blocks.
-    """
-    sizes = crowded.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        crowded.join(sizes, "bucket").join(sketches.select("node", "sketch", "bands"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                "block", "node", "n", "component", "sketch", "bands")
-        # small rows, slow comparisons: keep AQE from packing many groups into one task
-        .repartition(parts, "bucket", "low", "high")
-    )
-
-    def compare(group: pa.Table) -> pa.Table:
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
-        node, n, component, block = (group.column(c).to_numpy() for c in ("node", "n", "component", "block"))
-        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        bucket = group.column("bucket")[0].as_py()
-        across = group.column("low")[0] != group.column("high")[0]
-        least = least_estimate(percent, sketch.shape[1])
-        top, partner = np.zeros(len(node)), np.full(len(node), -1)
-        pairs = [np.empty((0, 2), np.int64)]
-        for i in range(len(node) - 1):
-            own = (
-                (component[i + 1:] != component[i])
-                & (100 * np.minimum(n[i + 1:], n[i]) >= percent * np.maximum(n[i + 1:], n[i])))
-            if across:
-                own &= block[i + 1:] != block[i]
-            at = np.flatnonzero(own) + i + 1
-            estimate = ((sketch[at] == sketch[i]).mean(axis=1) - 1 / 256) / (255 / 256)
-            at, estimate = at[estimate >= least], estimate[estimate >= least]
-            met = bands[i][(bands[at] == bands[i]).argmax(axis=1)] == bucket
-            at, estimate = at[met], estimate[met]
-            if not len(at):
-                continue
-            if not best:
-                pairs.append(np.stack([np.full(len(at), i), at], axis=1))
-                continue
-            better = estimate > top[at]
-            top[at[better]], partner[at[better]] = estimate[better], i
-            if estimate.max() > top[i]:
-                top[i], partner[i] = estimate.max(), at[estimate.argmax()]
-        if best:
-            held = np.flatnonzero(partner >= 0)
-            pairs.append(np.stack([held, partner[held]], axis=1))
-        found = np.sort(node[np.concatenate(pairs)], axis=1)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    return placed.groupBy("bucket", "low", "high").applyInArrow(compare, "a long, b long").distinct()
-
-
-def _unsettled(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold more than one component, with their components."""
-    labelled = crowded.where("classes > 2").drop("component").join(
-        labels.select("node", "component"), "node", "left"
-    ).withColumn("component", F.coalesce("component", "node"))
-    mixed_up = labelled.groupBy("bucket").agg(
-        F.min("component").alias("least"), F.max("component").alias("most")
-    ).where("least <> most").select("bucket")
-    return labelled.join(mixed_up, "bucket").select("bucket", "node", "n", "component")
+def _settled(docs: DataFrame, size: int, percent: int, bands: int, rows: int, hub_turns: int,
+             stages: Stages) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Labels (node, component) of classes with links, or None; the signatures and the classes."""
+    signed = stages.keep(signatures(docs, size, bands, rows), "signatures")
+    # rows of one set hold equal bands and parts, so any of them will do
+    classes = stages.keep(
+        signed.where("n > 0 and doc_id is not null").groupBy("set_key").agg(
+            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
+            F.first("parts").alias("parts"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("key", F.xxhash64("set_key")), "classes")
+    members = classes.select("key", "node", "n", *[F.col("parts")[i].alias(p) for i, p in enumerate(PACKED)],
+                             F.explode("bands").alias("bucket"))
+    shared = stages.keep(
+        members.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "shared-buckets")
+    met = stages.keep(balanced_join(members, shared, ["bucket"], shared, "classes", ["key"], "inner", UNIT), "met")
+    central = met.groupBy("key").agg((-F.sum("classes")).alias("rank"))
+    # buckets have no order, so any member may be shared at any place
+    crowded = stages.keep(
+        met.drop("classes").join(central, "key").withColumns({"m": F.col("n"), "at": F.lit(0).cast("long")}), "buckets")
+    stages.drop(met, shared)
+    candidates = crowded.select("node").distinct()
+    held = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        held.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    sets = stages.keep(
+        shingle_sets(texts, size).dropDuplicates(["set_key"])
+        .join(classes.select("set_key", "key", "node", "n"), "set_key").drop("set_key"), "sets")
+    labels = links = None
+    if hub_turns:
+        pairs = stages.keep(hub_pairs(crowded, percent), "hub-pairs")
+        links = stages.keep(confirmed(pairs, sets, percent), "links")
+        labels = None if links.isEmpty() else components(links, stages)
+    more = stages.keep(
+        links_that_remain(crowded, sets, labels, percent, stages, hubs_done=bool(hub_turns)), "more-links")
+    if not more.isEmpty():
+        labels = components(more if links is None else links.unionByName(more), stages)
+    return labels, signed, classes
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS,
@@ -283,59 +155,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     ``size``-word shingles.  component_id is the smallest doc_id reachable over links,
     kept is doc_id = component_id.  Null and empty texts have no shingles and
     link with nothing.  Rows that repeat a doc_id are one document with several
-    texts.  A row without doc_id links with nothing, has no component_id and is
+    texts.  A text of any length is one set in one row; ties need no order.  A row without doc_id links with nothing, has no component_id and is
     kept.  Columns other than doc_id and text are not read.
     """
     stages = Stages(docs.sparkSession)
-    signed = stages.keep(signatures(docs, size, bands, rows), "signatures")
-    # rows of one set hold equal bands and sketches, so any of them will do
-    classes = stages.keep(
-        signed.where("n > 0 and doc_id is not null").groupBy("set_key").agg(
-            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch")), "classes")
-    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    crowded = stages.keep(
-        members.join(shared, "bucket")
-        .select("bucket", "node", "n", "classes", F.col("node").alias("component")), "buckets")
-    candidates = crowded.select("node").distinct()
-    held = F.broadcast(candidates) if candidates.count() <= BROADCAST_IDS else candidates
-    sets = stages.keep(shingle_sets(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(held.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), size).distinct(), "sets")
-    sketches = stages.keep(
-        classes.join(held, "node", "left_semi").select("node", "sketch", "bands"), "sketches")
-
-    least = least_estimate(percent, bands * rows)
-    links = labels = None
-    open_rows = crowded.where("classes > 2").drop("classes")
-    # hubs of different draws, then each class's best partner, then all that remains
-    for turn in range(hub_turns + 2):
-        if turn < hub_turns:
-            pairs = _estimated(_hub_pairs(open_rows, turn, percent), sketches).where(F.col("estimate") >= least)
-            pairs = pairs.groupBy("b").agg(F.max_by("a", "estimate").alias("a")).select("a", "b")
-        elif turn == hub_turns:
-            pairs = _cross_pairs(open_rows, sketches, percent, best=True)
-        else:
-            open_nodes = open_rows.select("node").distinct()
-            longer = stages.keep(
-                long_sketches(sets.join(open_nodes, "node", "left_semi"))
-                .join(sketches.select("node", "bands"), "node"), "long-sketches")
-            pairs = _cross_pairs(open_rows, longer, percent, best=False)
-        if turn == 0:
-            lone = _estimated(_lone_pairs(crowded, percent), sketches).where(F.col("estimate") >= least)
-            pairs = pairs.unionByName(lone.select("a", "b")).distinct()
-        found = stages.keep(confirmed(pairs, sets, percent), "confirmed")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            if labels is not None:
-                stages.drop(labels)
-            labels = components(links, stages)
-            if turn <= hub_turns:
-                open_rows = stages.keep(_unsettled(crowded, labels), "unsettled")
-        if open_rows.isEmpty():
-            break
-    nodes = classes.select("set_key", "node")
+    with short_lived_shuffles(docs.sparkSession):
+        labels, signed, classes = _settled(docs, size, percent, bands, rows, hub_turns, stages)
+    nodes = classes.select("set_key", "node", "rows")
     if labels is not None:
         nodes = nodes.join(labels, "node", "left")
     else:
@@ -343,7 +169,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(
         F.coalesce("component", "node", "doc_id"))
     return (
-        signed.select("doc_id", "set_key", "n").join(nodes, "set_key", "left")
+        balanced_join(signed.select("doc_id", "set_key", "n"), nodes, ["set_key"], nodes, "rows", ["doc_id"], "left", UNIT)
         .withColumn("component_id", component)
         .select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                 F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "set_key")

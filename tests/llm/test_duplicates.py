@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from llm.conftest import EDGES, SF_DIR, frame
-from logvigil.llm import near_dedup, passages
+from logvigil.llm import links, near_dedup, passages
 from logvigil.llm.components import components
 from logvigil.llm.line_dedup import LEAST_RARITY, dedup_lines, matching
 from logvigil.llm.near_dedup import near_duplicates
@@ -71,12 +71,29 @@ def test_group_of_copies_and_chain(spark):
 
 
 def test_remaining_pairs_settle_what_hubs_miss(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(links, "BLOCK", 8)
     texts = copies(24, seed=4)
     found = {tuple(r)[:4] for r in near_duplicates(frame(spark, texts), 4, 80, hub_turns=0).collect()}
     assert found == brute_components(texts, 4)
 
 
+def test_pairs_grow_with_copies(spark, monkeypatch):
+    """Pairs taken to hubs and links found for 400 and 1,200 near copies: threefold, not ninefold."""
+    counted = defaultdict(dict)
+    kept = near_dedup.Stages.keep
+    for n in (400, 1200):
+        def keep(self, df, name="stage", n=n):
+            held = kept(self, df, name)
+            counted[name][n] = held.count()
+            return held
+
+        monkeypatch.setattr(near_dedup.Stages, "keep", keep)
+        near_duplicates(frame(spark, copies(n)), 4, 80).collect()
+        assert counted["may-link"][n] <= 2 * counted["buckets"][n] and counted["more-links"][n] < n
+    for name in ("hub-pairs", "buckets"):
+        assert counted[name][1200] <= 4 * max(counted[name][400], 100)
+
+
 def test_near_duplicate_edges(edges, nothing):
     found = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(edges, 4, 80).collect()}
     by_id = defaultdict(list)
