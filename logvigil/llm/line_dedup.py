@@ -7,7 +7,8 @@ when the rarity of all lines both hold, the sum of ln(documents / holders), reac
 ``least_rarity``: a line few documents hold is enough, boilerplate alone is not.  Where
 the first holder of a line does not overlap, its neighbours decide: two lines that
 follow each other, in the text, by rarity or by hash, point to the first document
-that has both as neighbours.
+that has both as neighbours.  Documents of the same lines, blank ones aside, overlap at any
+rarity and length: each points to the first of them.
 
 Overlapping pairs are aligned by patience diff on their line hashes: lines unique
 in both parts are matched, the longest increasing run of matches is the frame,
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from logvigil.functions.skew import balanced_join
 from logvigil.llm.stages import Stages, emit, texts_of
 
 #: A line of fewer characters says nothing about its origin: it never links documents.
@@ -147,28 +149,39 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def hashed_lines(docs: DataFrame, least_line: int = LEAST_LINE) -> DataFrame:
-    """(doc_id, key, lines, telling) per row: packed line hashes, and the distinct long ones in order."""
+    """(doc_id, key, lines, telling, body) per row: packed line hashes, the distinct long ones in order,
+    and a digest of all lines that are not blank; null without any."""
     schema = pa.schema([
         ("doc_id", pa.int64()), ("key", pa.int64()), ("lines", pa.binary()),
-        ("telling", pa.list_(pa.int64())),
+        ("telling", pa.list_(pa.int64())), ("body", pa.binary()),
     ])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed, telling = [], []
+            packed, telling, bodies = [], [], []
             for text in texts_of(batch):
                 hashes = line_hashes(text)
+                written = hashes[hashes > 0]
+                bodies.append(xxhash.xxh3_128_digest(written.tobytes()) if len(written) else None)
                 long = np.array([len(x.strip()) >= least_line for x in (text or b"").split(b"\n")], bool)
                 packed.append(hashes.tobytes())
                 told = hashes[long[:len(hashes)]]
                 telling.append(told[np.sort(np.unique(told, return_index=True)[1])].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(packed, pa.binary()),
-                 pa.array(telling, pa.list_(pa.int64()))], schema=schema)
+                 pa.array(telling, pa.list_(pa.int64())), pa.array(bodies, pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     return rows.mapInArrow(
-        hashed, "doc_id long, key long, lines binary, telling array<long>")
+        hashed, "doc_id long, key long, lines binary, telling array<long>, body binary")
+
+
+def copies(lines: DataFrame) -> DataFrame:
+    """(doc_id, first): later documents with the first one that has the same lines; a hot text is cut in slices."""
+    bodies = lines.where("body is not null").select("doc_id", "body")
+    firsts = bodies.groupBy("body").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return balanced_join(bodies, firsts, ["body"], firsts, "rows", ["doc_id"], "inner", UNIT).where(
+        "doc_id <> first").select("doc_id", "first").distinct()
 
 
 def overlapping(lines: DataFrame, least_rarity: float, stages: Stages) -> DataFrame:
@@ -307,7 +320,8 @@ def dedup_lines(docs: DataFrame, least_rarity: float = LEAST_RARITY,
     """
     stages = Stages(docs.sparkSession)
     lines = stages.keep(hashed_lines(docs.where("doc_id is not null"), least_line).distinct(), "lines")
-    pairs = stages.keep(overlapping(lines, least_rarity, stages), "overlaps")
+    found = overlapping(lines.drop("body"), least_rarity, stages)
+    pairs = stages.keep(found.unionByName(copies(lines)).distinct(), "overlaps")
     gone = removed_lines(pairs, lines)
     lost = gone.select(
         F.struct(F.col("doc_id").alias("id"), F.col("key").alias("text")).alias("_row"),

@@ -7,8 +7,8 @@ parts, and a ``rank``: the class of smallest rank is the group's hub.
 
 First the classes of a group are compared with its hub.  Where classes then lie outside the hub's
 component, these meet all others of the group, in pairs of bounded blocks: bounds tell which rows may
-link at all, only these are joined to their sets, and a block returns only links that join components in
-it.  So no link between components is missed, rows grow with the classes and not with their pairs, and no
+link at all, of groups left with the same rows one is taken, only its rows are joined to their sets, and a block
+returns only links that join components in it.  So no link between components is missed, rows grow with the classes and not with their pairs, and no
 task holds more than two blocks.
 """
 
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from logvigil.functions.skew import balanced_join
 from logvigil.llm.stages import Stages
@@ -162,9 +163,18 @@ def links_that_remain(rows: DataFrame, sets: DataFrame, labels: DataFrame | None
             near = block.partners(i)
             kept[near] = True
             kept[i] = len(near) > 0
-        return group.filter(pa.array(kept))
-
-    may = stages.keep(dealt.groupBy(*where).applyInArrow(sieve, dealt.schema), "may-link")
+        order = np.lexsort((block.asks[kept], block.key[kept]))
+        same = xxhash.xxh3_64_intdigest(block.key[kept][order].tobytes() + block.asks[kept][order].tobytes())
+        # as a signed number
+        same = np.full(int(kept.sum()), same, np.uint64).view(np.int64)
+        return group.filter(pa.array(kept)).append_column("same", pa.array(same))
+
+    may = stages.keep(dealt.groupBy(*where).applyInArrow(
+        sieve, T.StructType([*dealt.schema.fields, T.StructField("same", T.LongType())])), "may-link")
+    # long texts and copies share many groups with the same rows left: one of these groups will do
+    once = may.groupBy(*where).agg(F.first("same").alias("same")).groupBy("same").agg(
+        F.min(F.struct(*where)).alias("one")).select("one.*")
+    may = may.join(once, where, "left_semi")
 
     def settle(group: pa.Table) -> pa.Table:
         block, packed = _Block(group, percent), group.column("members")

@@ -145,6 +145,20 @@ def test_lines_leave_later_documents_only(documents, rows):
     assert set(after) | {""} == set(holders) | {""}
 
 
+def test_exact_copies_lose_all_lines_at_any_rarity(spark):
+    """A third of a small table, one-line texts and lines too short to tell anything."""
+    four = "the first line of it\n\nthe second line of it\nthe third line of it\nthe fourth"
+    texts = [(i, f"own text of document {i} here\nand {i * 7} more") for i in range(130)]
+    texts += [(1000 + i, four if i % 2 else four.replace("\n\n", "\n")) for i in range(70)]
+    texts += [(2000 + i, "a single line of text, twice here") for i in range(2)] + [(3000 + i, "ok\nno") for i in range(3)]
+    found = {r.doc_id: r for r in dedup_lines(frame(spark, texts)).collect()}
+    for i, t in texts:
+        if i in (1000, 2000, 3000) or i < 1000:
+            assert found[i].text == t
+        else:
+            assert not found[i].text.strip() and found[i].dedup.n_removed >= 1
+
+
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(1)
     pool = [f"line number {i} of some length" for i in range(60)]
