@@ -14,7 +14,7 @@ pass over it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logvigil.functions.skew import balanced_join
 from logvigil.operators.investigations import apply_regenerated
@@ -54,11 +54,14 @@ class InvestigationStore:
         """A table with its placeholders and bucket; owners keep their text, whatever it looks like."""
         if not self.exists(name):
             raise ValueError(f"There is no table {name} below {self.root}")
-        path = f"{self.root}/{name}"
-        fields = self.spark.read.parquet(path).schema.fields
-        types = {"user_id": T.StringType(), "bucket": T.IntegerType()}
-        schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in fields])
-        return self.spark.read.schema(schema).parquet(path)
+        inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+        before = self.spark.conf.get(inference)
+        self.spark.conf.set(inference, "false")
+        try:
+            stored = self.spark.read.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(inference, before)
+        return stored.withColumn("bucket", F.col("bucket").cast("int"))
 
     def read(self, name: str = MAIN) -> DataFrame:
         """A stored table, with no rows if everything in it was deleted."""
