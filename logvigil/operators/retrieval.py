@@ -23,6 +23,8 @@ _QUERY_CHUNK, _DOC_BLOCK, _STEP = 2_000, 20_000, 256
 _CELL_QUERIES = 20_000
 #: Vectors that cells are fitted on, and cells there are, at most.
 TRAINING, MOST_CELLS = 50_000, 4096
+#: Queries whose exact hits tell how many cells to ask, and the share of hits these cells must hold.
+CALIBRATION, RECALL = 128, 0.95
 HITS_SCHEMA = "query_id string, collection string, id string, distance double"
 
 
@@ -205,14 +207,27 @@ def _in_cells(rows: DataFrame, centres: np.ndarray, key: list[str], near: dict[s
     return rows.select(*key, "embedding").mapInArrow(place, ddl)
 
 
+def _probes_needed(queries: DataFrame, docs: DataFrame, placed: DataFrame, centres: np.ndarray,
+                   near: dict[str, np.ndarray], k: int, metric: str) -> int:
+    """Cells to ask so that ``RECALL`` of the exact hits of a bounded sample of queries lie in them."""
+    some = queries.where(F.col("embedding").isNotNull()).orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION)
+    vectors = {r.query_id: np.array(r.embedding, float) for r in some.collect()}
+    hits = nearest(some, docs, k, metric, query_chunks=1).select("query_id", "collection", "id")
+    ranks = []
+    for hit in hits.join(placed.select("collection", "id", "cell"), ["collection", "id"]).collect():
+        far = ((centres - vectors[hit.query_id]) ** 2).sum(axis=1)
+        ranks.append(int((far[near[hit.collection]] < far[hit.cell]).sum()))
+    return 1 + math.ceil(np.quantile(ranks, RECALL)) if ranks else 1
+
+
 def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "l2", cells: int | None = None,
                      probes: int | None = None) -> DataFrame:
     """K11 for large x large: the nearest documents among the cells near each query, by an index.
 
     Documents lie in the cell of their nearest centre; a query looks into the ``probes``
     nearest cells that its collection fills, and there compares exactly.  By default there are about
-    as many cells as documents in a cell, and a third of them, but 64 at most, are looked into.  A
-    document moves once, unless a cell has more queries than a chunk; a query moves once a
+    as many cells as documents in a cell, and as many are asked as ``RECALL`` of the exact hits of
+    ``CALIBRATION`` queries need: few where vectors cluster, most where they do not.  A document moves once, unless a cell has more queries than a chunk; a query moves once a
     cell it asks, and block of a large one.  Same columns as ``nearest``; what it returns is
     exact in distance and order, but a hit in a cell not asked is missed.
     """
@@ -224,7 +239,6 @@ def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: st
     if not size.rows:
         return nearest(queries, docs, k, metric)
     cells = cells or max(1, min(MOST_CELLS, math.isqrt(size.rows)))
-    probes = probes or max(1, min(64, -(-cells // 3)))
     centres = train_cells(docs, cells)
     placed = cut_lineage(_in_cells(docs, centres, ["collection", "id"], None, 0))
     sizes = cut_lineage(placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("docs")))
@@ -232,6 +246,7 @@ def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: st
     for row in sizes.select("collection", "cell").toLocalIterator():
         filled.setdefault(row.collection, []).append(row.cell)
     near = {name: np.array(sorted(c)) for name, c in filled.items()}
+    probes = probes or _probes_needed(queries, docs, placed, centres, near, k, metric)
     asked = cut_lineage(_in_cells(queries, centres, ["query_id"], near, probes))
     chunks = asked.groupBy("collection", "cell").agg(
         F.ceil(F.count(F.lit(1)) / _CELL_QUERIES).cast("int").alias("chunks"))
