@@ -19,13 +19,16 @@ from logvigil.session import cut_lineage
 INV = "investigation_id"
 EMBEDDING_DIM = 256
 _QUERY_CHUNK, _DOC_BLOCK, _STEP = 2_000, 20_000, 256
-#: Queries that look into one cell in one place.
+#: Queries that look into one block of cells in one place.
 _CELL_QUERIES = 20_000
+#: Vectors compared with all centres at a time.
+_ROWS = 1024
 #: Vectors that cells are fitted on, and cells there are, at most.
 TRAINING, MOST_CELLS = 50_000, 4096
 #: Queries whose exact hits tell how many cells to ask, and the share of hits these cells must hold.
 CALIBRATION, RECALL = 128, 0.95
 HITS_SCHEMA = "query_id string, collection string, id string, distance double"
+_NO_HITS = pa.schema([*[(n, pa.string()) for n in ("query_id", "collection", "id")], ("distance", pa.float64())]).empty_table()
 
 
 def hashed_embedding(df: DataFrame, text_col: str, dim: int = EMBEDDING_DIM,
@@ -174,37 +177,140 @@ def train_cells(docs: DataFrame, cells: int, sample: int = TRAINING, seed: int =
     return np.array(model.clusterCenters())
 
 
-def _in_cells(rows: DataFrame, centres: np.ndarray, key: list[str], near: dict[str, np.ndarray] | None,
-              probes: int) -> DataFrame:
-    """Rows with the cell of a document, or (with ``near``, the cells each collection fills) with the
-    ``probes`` nearest such cells of a query in each collection."""
-    names = pa.schema([pa.field(k, pa.string()) for k in key])
-    asks = near is not None
-    extra = [pa.field("collection", pa.string())] if asks else []
-    schema = pa.schema([*names, *extra, pa.field("embedding", pa.list_(pa.float64())), pa.field("cell", pa.int32())])
+def _far(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of vectors to centres, less the square of each vector."""
+    return (centres**2).sum(axis=1)[None, :] - 2.0 * vectors @ centres.T
+
+
+def _in_cells(docs: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Documents (collection, id, embedding) with the cell they lie in."""
+    schema = pa.schema([("collection", pa.string()), ("id", pa.string()), ("embedding", pa.list_(pa.float64())),
+                        ("cell", pa.int32())])
 
     def place(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = _matrix(pa.Table.from_batches([batch]))
-            far = (centres**2).sum(axis=1)[None, :] - 2.0 * vectors @ centres.T
-            fixed = [batch.column(k).cast(pa.string()) for k in key]
-            stored = batch.column("embedding").cast(pa.list_(pa.float64()))
-            if not asks:
-                cell = pa.array(far.argmin(axis=1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*fixed, stored, cell], schema=schema)
-                continue
-            for name, filled in near.items():
-                some = min(probes, len(filled))
-                best = filled[np.argpartition(far[:, filled], some - 1, axis=1)[:, :some]]
-                at = pa.array(np.repeat(np.arange(len(vectors)), some))
+            for start in range(0, batch.num_rows, _ROWS):
+                rows = batch.slice(start, _ROWS)
+                cell = _far(_matrix(pa.Table.from_batches([rows])), centres).argmin(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [*[c.take(at) for c in fixed], pa.array([name] * len(at), pa.string()), stored.take(at),
-                     pa.array(best.ravel().astype(np.int32))], schema=schema)
+                    [*[rows.column(c).cast(pa.string()) for c in (0, 1)],
+                     rows.column(2).cast(pa.list_(pa.float64())), pa.array(cell)], schema=schema)
+
+    return docs.select("collection", "id", "embedding").mapInArrow(
+        place, "collection string, id string, embedding array<double>, cell int")
+
+
+def _in_order(centres: np.ndarray) -> list[int]:
+    """Cells so that near ones follow each other: halved along the widest axis again and again."""
+    out, parts = [], [np.arange(len(centres))]
+    while parts:
+        part = parts.pop()
+        if len(part) == 1:
+            out.append(int(part[0]))
+            continue
+        axis = np.ptp(centres[part], axis=0).argmax()
+        ordered = part[np.argsort(centres[part, axis], kind="stable")]
+        parts += [ordered[len(part) // 2:], ordered[:len(part) // 2]]
+    return out
 
-    ddl = ", ".join(f"{k} string" for k in (*key, *(f.name for f in extra))) + ", embedding array<double>, cell int"
-    return rows.select(*key, "embedding").mapInArrow(place, ddl)
+
+def _cell_blocks(centres: np.ndarray, docs: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and the number of blocks it is cut into; cells without documents have none.
+
+    Cells that follow each other share a block of about ``size`` documents.
+    """
+    first, parts = np.zeros(len(centres), np.int32), np.zeros(len(centres), np.int32)
+    block, held = 0, 0
+    for cell in _in_order(centres):
+        rows = docs.get(cell, 0)
+        if not rows:
+            continue
+        if held and held + rows > size:
+            block, held = block + 1, 0
+        first[cell], parts[cell] = block, math.ceil(rows / size)
+        block, held = block + int(parts[cell]) - 1, held + rows
+    return first, parts
+
+
+def _asked_blocks(queries: DataFrame, centres: np.ndarray, near: dict[str, np.ndarray], probes: int,
+                  first: np.ndarray, parts: np.ndarray) -> DataFrame:
+    """(query_id, embedding, bounds, block): each query once a block that holds a cell it asks.
+
+    ``bounds`` says for each collection how far the last of the ``probes`` nearest cells is that it fills.
+    """
+    schema = pa.schema([("query_id", pa.string()), ("embedding", pa.list_(pa.float64())),
+                        ("bounds", pa.list_(pa.float64())), ("block", pa.int32())])
+    of_block = [np.flatnonzero((first <= b) & (b < first + parts)) for b in range(int((first + parts).max(initial=0)))]
+
+    def ask(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, _ROWS):
+                rows = batch.slice(start, _ROWS)
+                far = _far(_matrix(pa.Table.from_batches([rows])), centres)
+                asked, bounds = np.zeros(far.shape, bool), np.empty((rows.num_rows, len(near)))
+                for i, filled in enumerate(near.values()):
+                    some, there = min(probes, len(filled)), far[:, filled]
+                    last = np.partition(there, some - 1, axis=1)[:, some - 1]
+                    # the same distance may come out a little larger where it is computed again
+                    bounds[:, i] = last + 1e-9 * (1.0 + np.abs(last))
+                    asked[:, filled] |= there <= bounds[:, i, None]
+                fixed = [rows.column(0).cast(pa.string()), rows.column(1).cast(pa.list_(pa.float64())),
+                         pa.array(list(bounds), pa.list_(pa.float64()))]
+                for block, cells in enumerate(of_block):
+                    at = pa.array(np.flatnonzero(asked[:, cells].any(axis=1)))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [*[c.take(at) for c in fixed], pa.array(np.full(len(at), block, np.int32))], schema=schema)
+
+    return queries.select("query_id", "embedding").mapInArrow(
+        ask, "query_id string, embedding array<double>, bounds array<double>, block int")
+
+
+def _cell_hits(k: int, metric: str, centres: np.ndarray, names: list[str]):
+    """Nearest k documents in the cells of one block a query asks, per query and collection."""
+    def run(queries: pa.Table, docs: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        if queries.num_rows and docs.num_rows:
+            order = np.argsort(np.asarray(docs.column("id").to_pylist()), kind="stable")
+            docs = docs.take(pa.array(order))
+            ids, cells = docs.column("id"), docs.column("cell").to_numpy()
+            inside = np.asarray(docs.column("collection").to_pylist())
+            q, d = _matrix(queries), _matrix(docs)
+            bounds = np.asarray(queries.column("bounds").combine_chunks().flatten(), float).reshape(len(q), -1)
+            here = np.unique(cells)
+            far_cells = _far(q, centres[here])
+            for place, name in enumerate(names):
+                mine = np.flatnonzero(inside == name)
+                closest, found = np.full(len(q), np.inf), [[], [], []]
+                for column, cell in enumerate(here) if len(mine) else ():
+                    rows = mine[cells[mine] == cell]
+                    asks = np.flatnonzero(far_cells[:, column] <= bounds[:, place])
+                    keep = min(k, len(rows))
+                    if not keep:
+                        continue
+                    step = max(_STEP, _STEP * _DOC_BLOCK // len(rows))
+                    for start in range(0, len(asks), step):
+                        part = asks[start:start + step]
+                        far = _distances(q[part], d[rows], metric)
+                        edge = np.partition(far, keep - 1, axis=1)[:, keep - 1]
+                        at, doc = np.nonzero(far <= np.minimum(edge, closest[part])[:, None])
+                        if keep == k:
+                            closest[part] = np.minimum(closest[part], edge)
+                        for column_, values in zip(found, (part[at], rows[doc], far[at, doc]), strict=True):
+                            column_.append(values)
+                if not found[0]:
+                    continue
+                at, doc, far = (np.concatenate(x) for x in found)
+                best = np.lexsort((doc, far, at))
+                at, doc, far = at[best], doc[best], far[best]
+                kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, doc = pa.array(at[kept]), pa.array(doc[kept])
+                out.append(pa.table({
+                    "query_id": queries.column("query_id").take(at), "collection": pa.array([name] * len(at), pa.string()),
+                    "id": ids.take(doc), "distance": pa.array(far[kept])}))
+        return pa.concat_tables(out) if out else _NO_HITS
+
+    return run
 
 
 def _probes_needed(queries: DataFrame, docs: DataFrame, placed: DataFrame, centres: np.ndarray,
@@ -227,8 +333,9 @@ def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: st
     Documents lie in the cell of their nearest centre; a query looks into the ``probes``
     nearest cells that its collection fills, and there compares exactly.  By default there are about
     as many cells as documents in a cell, and as many are asked as ``RECALL`` of the exact hits of
-    ``CALIBRATION`` queries need: few where vectors cluster, most where they do not.  A document moves once, unless a cell has more queries than a chunk; a query moves once a
-    cell it asks, and block of a large one.  Same columns as ``nearest``; what it returns is
+    ``CALIBRATION`` queries need: few where vectors cluster, most where they do not.  Neighbouring cells
+    lie in blocks of bounded size.  A query moves once a block in which it asks a cell, however many it asks
+    there, and a document once a chunk of the queries its block gets.  Same columns as ``nearest``; what it returns is
     exact in distance and order, but a hit in a cell not asked is missed.
     """
     size = docs.where(F.col("embedding").isNotNull()).agg(
@@ -240,26 +347,28 @@ def nearest_in_cells(queries: DataFrame, docs: DataFrame, k: int = 5, metric: st
         return nearest(queries, docs, k, metric)
     cells = cells or max(1, min(MOST_CELLS, math.isqrt(size.rows)))
     centres = train_cells(docs, cells)
-    placed = cut_lineage(_in_cells(docs, centres, ["collection", "id"], None, 0))
-    sizes = cut_lineage(placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("docs")))
+    placed = cut_lineage(_in_cells(docs, centres).where("collection is not null"))
     filled: dict[str, list[int]] = {}
-    for row in sizes.select("collection", "cell").toLocalIterator():
+    rows_of: dict[int, int] = {}
+    for row in placed.groupBy("collection", "cell").agg(F.count(F.lit(1)).alias("docs")).toLocalIterator():
         filled.setdefault(row.collection, []).append(row.cell)
-    near = {name: np.array(sorted(c)) for name, c in filled.items()}
+        rows_of[row.cell] = rows_of.get(row.cell, 0) + row.docs
+    near = {name: np.array(sorted(c)) for name, c in sorted(filled.items())}
     probes = probes or _probes_needed(queries, docs, placed, centres, near, k, metric)
-    asked = cut_lineage(_in_cells(queries, centres, ["query_id"], near, probes))
-    chunks = asked.groupBy("collection", "cell").agg(
-        F.ceil(F.count(F.lit(1)) / _CELL_QUERIES).cast("int").alias("chunks"))
-    parts = sizes.join(chunks, ["collection", "cell"]).select(
-        "collection", "cell", "chunks", F.ceil(F.col("docs") / _DOC_BLOCK).cast("int").alias("blocks"))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    key = ["collection", "cell", "block", "chunk"]
-    left = asked.join(parts, ["collection", "cell"]).withColumn("chunk", part("query_id", "chunks")).withColumn(
-        "block", every("blocks")).select(*key, "query_id", "embedding")
-    right = placed.join(parts, ["collection", "cell"]).withColumn("block", part("id", "blocks")).withColumn(
-        "chunk", every("chunks")).select(*key, "id", "embedding")
-    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_hits(k, metric), HITS_SCHEMA)
+    # small tables are cut finer, so that every core has a block
+    spread = queries.sparkSession.sparkContext.defaultParallelism
+    first, parts = _cell_blocks(centres, rows_of, max(1, min(_DOC_BLOCK, math.ceil(size.rows / spread))))
+    asked = cut_lineage(_asked_blocks(queries, centres, near, probes, first, parts))
+    chunks = F.broadcast(cut_lineage(asked.groupBy("block").agg(
+        F.ceil(F.count(F.lit(1)) / _CELL_QUERIES).cast("int").alias("chunks"))))
+    part = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    start, pieces = (F.element_at(F.lit(x.tolist()), F.col("cell") + 1) for x in (first, parts))
+    left = asked.join(chunks, "block").withColumn("chunk", part("query_id", F.col("chunks"))).drop("chunks")
+    right = placed.withColumn("block", start + part("id", pieces)).join(chunks, "block").withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    key = ["block", "chunk"]
+    hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+        _cell_hits(k, metric, centres, list(near)), HITS_SCHEMA)
     rank = Window.partitionBy("query_id", "collection").orderBy("distance", "id")
     return hits.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)
 

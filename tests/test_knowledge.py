@@ -106,6 +106,27 @@ def test_nearest_in_cells(spark):
     assert retrieval.nearest_in_cells(asked, docs.limit(0), 5).collect() == []
 
 
+def test_queries_move_once_a_block(spark, monkeypatch):
+    """A query that asks many cells moves once a block of them, not once a cell and collection."""
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(f"c{i % 4}", f"d{i:03d}", v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)))],
+                                 "collection string, id string, embedding array<double>")
+    asked = docs.select(F.col("id").alias("query_id"), "embedding")
+    rows, cut = [], retrieval.cut_lineage
+
+    def counted(df):
+        table = cut(df)
+        if "query_id" in table.columns:
+            rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(retrieval, "cut_lineage", counted)
+    monkeypatch.setattr(retrieval, "_DOC_BLOCK", 100)
+    hits = {tuple(h)[:3] for h in retrieval.nearest_in_cells(asked, docs, 3, cells=20, probes=20).collect()}
+    assert hits == {tuple(h)[:3] for h in retrieval.nearest(asked, docs, 3).collect()}
+    assert sum(rows) <= 400 * (2 * spark.sparkContext.defaultParallelism + 8)
+
+
 def test_space_outcomes(spark):
     docs = spark.createDataFrame([("a", [1.0, 2.0]), ("a", None), ("b", [1.0, 2.0]), ("c", [1.0, 2.0])],
                                  "collection string, embedding array<double>")
