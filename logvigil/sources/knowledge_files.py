@@ -44,10 +44,14 @@ def read_kb_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return sound.select(F.from_json(F.to_json("item"), schema).alias("r")).select("r.*")
 
 
-def read_stix_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """The objects of a STIX bundle with their place in it."""
+def read_stix_bundle(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The objects of a STIX bundle with their place in it.
+
+    A file is one bundle, laid out as it may be; with ``lines``, each line of a file is one, so
+    that very many bundles need not be as many files, and a large file is read in parts.
+    """
     bundle = (
-        spark.read.option("multiLine", True).option("mode", "FAILFAST")
+        spark.read.option("multiLine", not lines).option("mode", "FAILFAST")
         .schema(f"objects {OBJECTS}").json(path)
     )
     guarded = bundle.select(

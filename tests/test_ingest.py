@@ -178,6 +178,18 @@ def test_knowledge_files(spark, folder):
         read_stix_bundle(spark, str(bundle)).collect()
 
 
+def test_bundles_by_line(spark, folder):
+    """Many bundles in few files: one a line, each with its own places."""
+    bundles = folder / "lines"
+    bundles.write_text('{"objects": [{"id": "a"}, {"id": "b"}]}\n{"objects": [{"id": "c"}]}\n')
+    rows = read_stix_bundle(spark, str(bundles), lines=True).collect()
+    assert sorted((r.position, r.id) for r in rows) == [(0, "a"), (0, "c"), (1, "b")]
+    for wrong in ('{"objects": []}\n{"other": 1}\n', '{"objects": []}\n{"objects": [\n'):
+        bundles.write_text(wrong)
+        with pytest.raises(Exception):
+            read_stix_bundle(spark, str(bundles), lines=True).collect()
+
+
 @pytest.mark.parametrize("name", ["normalised_logs", "pasted_logs", "rejected_texts", "quarantined_rows", "csv_round_trip"])
 def test_generated_code_compiles(spark, name):
     """No fall-back to interpreted expressions because a method grew too large."""
