@@ -354,10 +354,10 @@ def report_fallback(spark, sf_dir):
 
 def prompt_context(spark, sf_dir):
     """Document texts as retrieved content, five entries of 200 characters."""
-    docs = load(spark, sf_dir, "documents")
+    docs = load(spark, sf_dir, "documents").withColumn("content", F.regexp_replace("text", "[^A-Za-z ]+", ""))
     entry = lambda i: F.struct(
         F.col("source").alias("source"), F.concat(F.lit(f"{i}-"), F.col("doc_id")).alias("id"),
-        F.regexp_replace("text", "[^A-Za-z ]", "").alias("content"), F.lit(0.5).alias("relevance_score"),
+        "content", F.lit(0.5).alias("relevance_score"),
     )
     evidence = docs.select(
         F.concat(F.lit("inv-"), "doc_id").alias(INV),
