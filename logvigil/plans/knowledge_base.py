@@ -1,7 +1,8 @@
 """Knowledge-base ingestion: read, build records, embed, guard, upsert, store (K7, K8).
 
 The base is plain Parquet partitioned by collection.  An ingestion rewrites the collections it
-brings and leaves all others alone.
+brings and leaves all others alone.  Vectors of few terms are a hundred times smaller in files than
+in memory, so rows are dealt to tasks by their number, not by their bytes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from logvigil.operators.knowledge import space_outcomes, upsert
 from logvigil.operators.retrieval import EMBEDDING_DIM, hashed_embedding
 from logvigil.session import cut_lineage
 
+#: Documents with their vectors that one task sorts or writes, about.
+ROWS = 50_000
+
 
 def read_base(spark: SparkSession, root: str) -> DataFrame | None:
     """The stored documents of all collections; None before the first ingestion."""
@@ -39,11 +43,21 @@ def ingest(spark: SparkSession, root: str, records: DataFrame, provider: str = "
     if refused:
         raise ValueError(f"{refused.collection}: {refused.outcome}")
     rows = embedded.withColumns({"provider": F.lit(provider), "model": F.lit(model), "dim": F.lit(dim)})
+    keys = ["collection", "id"]
     if base is not None:
-        touched = embedded.select("collection").distinct()
-        rows = upsert(base.join(touched, "collection", "left_semi"), rows)
+        held = base.join(embedded.select("collection").distinct(), "collection", "left_semi")
+        sizes = _sizes(embedded.select("collection").unionByName(held.select("collection")))
     else:
-        rows = upsert(rows.limit(0), rows)
+        held, sizes = rows.limit(0), _sizes(embedded)
+    total = sizes.agg(F.coalesce(F.sum("slices"), F.lit(1))).first()[0]
+    rows = upsert(held.repartition(total, *keys), rows.repartition(total, *keys))
     columns = [c for c in rows.columns if c != "collection"]
-    (rows.select(*columns, "collection").hint("rebalance", "collection").write.mode("overwrite")
+    sliced = rows.join(sizes, "collection", "left").withColumn(
+        "_slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))))
+    (sliced.repartition(total, "collection", "_slice").select(*columns, "collection").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(root))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(collection, slices): the parts each collection is dealt to."""
+    return cut_lineage(rows.groupBy("collection").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("slices")))

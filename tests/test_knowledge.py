@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logvigil.constants import STEP_PADDING
 from logvigil.operators import knowledge, models, reports, retrieval
+from logvigil.plans import checks_knowledge, knowledge_base
 from logvigil.plans.investigate import retrieve
 
 INV = "investigation_id"
@@ -42,6 +43,24 @@ def test_upsert_does_not_depend_on_order(spark):
         assert sorted(map(tuple, out.collect())) == [("c", "a", "two"), ("c", "b", "y"), ("c", "z", "kept")]
 
 
+def test_ingested_rows_are_dealt_by_number(spark, folder, monkeypatch):
+    """No task writes more than a few times ROWS documents, however small their vectors are in files."""
+    monkeypatch.setattr(knowledge_base, "ROWS", 50)
+    records = spark.range(1000).select(
+        F.lit("c").alias("collection"), F.concat(F.lit("p"), "id").alias("id"), F.lit("same words").alias("document"),
+        F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    for _ in range(2):
+        knowledge_base.ingest(spark, str(folder / "kb"), records)
+        base = knowledge_base.read_base(spark, str(folder / "kb"))
+        assert base.count() == base.select("id").distinct().count() == 1000
+        assert base.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 500
+
+
+def test_prompt_content_is_made_once(spark):
+    plan = checks_knowledge.prompt_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+
+
 def test_other_space_is_unavailable(spark):
     docs = spark.createDataFrame([("c", "a", "text", {"k": "v"}, [1.0, 0.0])],
                                  "collection string, id string, document string, metadata map<string,string>, "
