@@ -7,12 +7,13 @@ a probe misses.  Each n-gram keeps all its bits in one block of 512, chosen by
 its hash; blocks are built in segments, each in one task, and the whole filter
 is broadcast.
 
-The filter has at most ``max_bits`` bits however large the corpus is.  Bigrams
-seen once are not part of the model; where the entries do not fit at
-``LEAST_BITS`` bits each, the least count of bigrams doubles until they do, and
-then that of unigrams.  The model mixes the two orders,
+The filter has at most ``max_bits`` bits however large the corpus is.  It holds no bigrams
+seen once; where the entries do not fit at ``LEAST_BITS`` bits each, the least count of
+bigrams doubles until they do, and then that of unigrams.  The model mixes the two orders,
     P(w | h) = weight * count(h w) / count(h) + (1 - weight) * (count(w) + 1) / (N + V + 1),
-with counts from the filter; after a word the filter does not hold, P is the second part.
+with counts from the filter; after a word never seen, P is the second part.  An n-gram the filter does
+not hold gets its exact count by a shuffled join.  While the least count of bigrams is 2, only held out
+texts need it: a bigram of a training text that is not in the filter was seen once, there.
 
 The base score uses exact counts.  The most frequent tokens (bounded in number and
 length) reach the workers as a broadcast, all others by a shuffled join.
@@ -280,8 +281,8 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
     tokens = stages.keep(token_frequencies(training), "tokens")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     segments = max(SEGMENTS, 1 << max(0, (total >> 19)).bit_length())
-    bigrams = stages.keep(bigram_frequencies(training, LEAST_BIGRAM, segments), "bigrams")
-    model = build_filter(_hashed_unigrams(tokens), bigrams, max_bits)
+    bigrams = stages.keep(bigram_frequencies(training, 1, segments), "bigrams")
+    model = build_filter(_hashed_unigrams(tokens), bigrams.where(F.col("n") >= LEAST_BIGRAM), max_bits)
     frequent = (
         tokens.where(F.octet_length("token") <= HOT_BYTES)
         .orderBy(F.desc("n"), "token").limit(hot).select("token", "n").toArrow()
@@ -294,6 +295,9 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
         ("doc_id", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
         ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))),
+        ("asked", pa.list_(pa.struct([
+            *[(n, pa.int64()) for n in ("pair", "before", "word")],
+            *[(n, pa.float64()) for n in ("n_pair", "n_before", "n_word")]]))),
     ])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +309,10 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
             tokens, sizes = _sequences(texts)
             starts = np.concatenate([[1], 1 + np.cumsum(sizes)])
             base = np.fromiter((get(t, 1.0) for t in tokens), np.float64, len(tokens))
-            scores = _log_probabilities(filter_, hashes.of(tokens), whole, weight)
+            learned = np.concatenate([[False], np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), sizes)])[1:]
+            scores, asked = _log_probabilities(filter_, hashes.of(tokens), learned, whole, weight)
+            edges = np.searchsorted(asked.pop("at"), np.concatenate([[0], np.cumsum(sizes)])).tolist()
+            asked = list(zip(*(x.tolist() for x in asked.values()), strict=True))
             unknown = base > 0
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
                 a, b = starts[i], starts[i + 1]
@@ -317,12 +324,14 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
                 found["base"].append(float(base[a:b][~unknown[a:b]].sum()))
                 found["score"].append(float(scores[a - 1:b - 1].sum()))
                 found["rare"].append([{"token": t, "n": n} for t, n in rare.items()])
+                found["asked"].append(asked[edges[i]:edges[i + 1]])
             found["held_out"] = batch.column(2).to_pylist()
             yield batches_of(found, fields)
 
     parts = stages.keep(rows.select("doc_id", "text", "held_out").mapInArrow(
         score, "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base double, "
-               "score double, rare array<struct<token:binary,n:int>>"), "scored")
+               "score double, rare array<struct<token:binary,n:int>>, asked array<struct<pair:long,before:long,"
+               "word:long,n_pair:double,n_before:double,n_word:double>>"), "scored")
     same = ["doc_id", "key", "held_out"]
     rare = (
         parts.select(*same, F.explode("rare").alias("r")).select(*same, "r.token", F.col("r.n").alias("times"))
@@ -333,8 +342,15 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
             (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(whole)))).alias("base"),
             F.lit(0.0).alias("score"), F.lit(0).alias("rows"))
     )
+    asked = _counted(parts.select(*same, F.explode("asked").alias("a")).select(*same, "a.*"), model.least, tokens, bigrams)
+    alone = (F.col("n_word") + 1) / F.lit(float(whole))
+    mixed_ = F.when(F.col("n_before") > 0, F.lit(weight) * F.col("n_pair") / F.col("n_before") + F.lit(1 - weight) * alone)
+    none = F.lit(0).cast("long")
+    left = asked.select(
+        *same, none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"),
+        F.log10(F.least(F.lit(1.0), F.coalesce(mixed_, alone))).alias("score"), F.lit(0).alias("rows"))
     # equal rows share a key: sums are divided by their number, and each row is given back
-    per_text = parts.drop("rare").withColumn("rows", F.lit(1)).unionByName(rare).groupBy(*same).agg(
+    per_text = parts.drop("rare", "asked").withColumn("rows", F.lit(1)).unionByName(rare).unionByName(left).groupBy(*same).agg(
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
         F.sum("rows").cast("int").alias("rows"))
     return per_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
@@ -343,12 +359,45 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
         (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
 
 
-def _log_probabilities(model: Filter, hashes: np.ndarray, whole: int, weight: float) -> np.ndarray:
-    """log10 P of every token but the first, given the one before it."""
+def _counted(asked: DataFrame, least: tuple[int, int], tokens: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """Places with the exact counts of the n-grams the filter leaves out; others keep the count they have."""
+    def joined(rows: DataFrame, low: DataFrame, name: str) -> DataFrame:
+        # what is not asked has no partner: it is spread by the other columns
+        spread = F.coalesce(name, F.xxhash64("key", "n_before", "n_word", "n_pair"))
+        return rows.withColumn(name, spread).join(
+            low.select(F.col("gram").alias(name), F.col("n").cast("double").alias("_n")), name, "left",
+        ).withColumn(f"n_{name}", F.coalesce("_n", f"n_{name}")).drop("_n")
+
+    rows = joined(asked, bigrams.where(F.col("n") < least[1]), "pair")
+    if least[0] > 1:
+        low = _hashed_unigrams(tokens.where(F.col("n") < least[0]))
+        rows = joined(joined(rows, low, "before"), low, "word")
+    return rows.withColumn("n_before", F.greatest("n_before", "n_pair"))
+
+
+def _log_probabilities(model: Filter, hashes: np.ndarray, learned: np.ndarray, whole: int,
+                       weight: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """log10 P of every token but the first, given the one before it; 0 where a count must be asked for.
+
+    Also these places ``at``, with the n-grams to be asked (null for the others) and the counts known.
+    ``learned`` tells the tokens of training texts.
+    """
     distinct, at = np.unique(hashes, return_inverse=True)
-    single = model.counts(_unigrams(distinct), 1)[at]
-    pair = model.counts(_bigrams(hashes), 2)
+    words, pairs = _unigrams(distinct), _bigrams(hashes)
+    single = model.counts(words, 1)
+    words, single, pair = words[at], single[at], model.counts(pairs, 2)
+    no_pair = pair == 0
+    if model.least[1] <= LEAST_BIGRAM:
+        pair[no_pair & learned] = 1.0
+        no_pair &= ~learned
+    no_word = (single == 0) if model.least[0] > 1 else np.zeros(len(single), bool)
     before = np.maximum(single[:-1], pair)
     alone = (single[1:] + 1) / whole
     share = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
-    return np.log10(np.minimum(1.0, np.where(before > 0, weight * share + (1 - weight) * alone, alone)))
+    scores = np.log10(np.minimum(1.0, np.where(before > 0, weight * share + (1 - weight) * alone, alone)))
+    places = np.flatnonzero(no_pair | no_word[:-1] | no_word[1:])
+    scores[places] = 0.0
+    asked = {"at": places}
+    for name, grams, missing in (("pair", pairs, no_pair), ("before", words[:-1], no_word[:-1]), ("word", words[1:], no_word[1:])):
+        asked[name] = np.where(missing[places], grams[places].view(np.int64).astype(object), None)
+    return scores, asked | {"n_pair": pair[places], "n_before": single[:-1][places], "n_word": single[1:][places]}

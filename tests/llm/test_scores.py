@@ -55,6 +55,45 @@ def test_untrained_model(spark):
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (True, 3, 0, 0, 0, 0)
 
 
+def test_rare_ngrams_are_counted_exactly(spark, monkeypatch):
+    """Bigrams seen once, and what a full filter leaves out, come with exact counts by the join."""
+    held = [i for i in range(400) if is_held_out(i, 7, 2)]
+    learned = [i for i in range(400) if not is_held_out(i, 7, 2)]
+    texts = [(i, " ".join(f"w{(i * 31 + j * j) % 97}" for j in range(30))) for i in learned[:250]]
+    texts += [(learned[300], "one two three four"), (held[0], "one two three four"), (held[1], "two one four three"),
+              (held[2], texts[0][1]), (held[2], texts[0][1]), (held[3], "unseen w1 w2"), (held[4], None)]
+    train = [tokens(x) for i, x in texts if not is_held_out(i, 7, 2)]
+    single = Counter(t for x in train for t in x)
+    pairs = Counter(p for x in train for p in zip(["\n", *x], x))
+    whole = sum(single.values()) + len(single) + 1
+
+    def expected(text):
+        out, x = 0.0, tokens(text)
+        for a, b in zip(["\n", *x], x):
+            alone = (single[b] + 1) / whole
+            p = 0.3 * pairs[a, b] / single[a] + 0.7 * alone if single[a] else alone
+            out += math.log10(min(1.0, p))
+        return out
+
+    docs = frame(spark, texts)
+    scores = {}
+    for least in (None, (1, 8), (1 << 30, 1 << 30)):
+        if least:
+            monkeypatch.setattr(ngram_model, "_least_counts", lambda *_, least=least: (least, 1000))
+        found = ngram_model.score_texts(docs, hot=20).collect()
+        scores[least] = sorted((r.doc_id, round(r.score, 6)) for r in found)
+    exact_scores = scores[1 << 30, 1 << 30]
+    # nothing in the filter: every count is exact
+    assert [x for x, _ in exact_scores] == sorted(i for i, _ in texts)
+    for (i, got), (_, text) in zip(exact_scores, sorted(texts, key=lambda x: x[0]), strict=True):
+        assert got == pytest.approx(expected(text), abs=1e-4)
+    # a pair seen once counts, whatever the filter holds
+    for found in scores.values():
+        assert dict(found)[held[0]] > dict(found)[held[1]] + 1
+        for (i, got), (_, exact) in zip(found, exact_scores, strict=True):
+            assert got == pytest.approx(exact, rel=0.12)
+
+
 def test_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     grams = rng.integers(-(1 << 63), 1 << 63, 30_000)
