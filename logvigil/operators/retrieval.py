@@ -18,7 +18,7 @@ from logvigil.session import cut_lineage
 
 INV = "investigation_id"
 EMBEDDING_DIM = 256
-_QUERY_CHUNK, _DOC_BLOCK, _STEP = 2_000, 20_000, 256
+_QUERY_CHUNK, _DOC_BLOCK, _STEP = 10_000, 20_000, 256
 #: Queries that look into one block of cells in one place.
 _CELL_QUERIES = 20_000
 #: Vectors compared with all centres at a time.
@@ -161,6 +161,8 @@ def nearest(queries: DataFrame, docs: DataFrame, k: int = 5, metric: str = "l2",
         left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
         .applyInArrow(_block_hits(k, metric), HITS_SCHEMA)
     )
+    # a query's hits are moved once, for this window and those over all its collections
+    hits = hits.repartition("query_id")
     rank = Window.partitionBy("query_id", "collection").orderBy("distance", "id")
     return hits.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)
 

@@ -1,6 +1,7 @@
 """Knowledge base, retrieval and reports."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -61,6 +62,16 @@ def test_prompt_content_is_made_once(spark):
     assert plan.count("regexp_replace") == 1
 
 
+def test_hits_move_once(spark):
+    """A query's hits are moved once for the ranks in each collection and over all of them."""
+    docs = spark.range(40).select(F.lit("c").alias("collection"), F.concat(F.lit("d"), "id").alias("id"),
+                                  F.array(F.col("id").cast("double")).alias("embedding"))
+    hits = retrieval.retrieved_context(retrieval.nearest(docs.select(F.col("id").alias("query_id"), "embedding"), docs, 3))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(query_id#\d+", plan)) == 1
+    assert hits.groupBy("query_id").count().where("count <> 3").isEmpty()
+
+
 def test_other_space_is_unavailable(spark):
     docs = spark.createDataFrame([("c", "a", "text", {"k": "v"}, [1.0, 0.0])],
                                  "collection string, id string, document string, metadata map<string,string>, "
