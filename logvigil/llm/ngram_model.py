@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logvigil.llm.stages import Stages, batches_of, emit, texts_of
+from logvigil.llm.stages import Stages, batches_of, emit, short_lived_shuffles, texts_of
 from logvigil.llm.words import WordHashes, mixed, words_of
 
 #: The end of a text, which no word can equal.
@@ -274,6 +274,11 @@ def score_texts(docs: DataFrame, max_bits: int = MAX_BITS, weight: float = WEIGH
     doc_id are scored each on their own text.  Columns other than doc_id and
     text are not read.
     """
+    with short_lived_shuffles(docs.sparkSession):
+        return _scored(docs, max_bits, weight, hot)
+
+
+def _scored(docs: DataFrame, max_bits: int, weight: float, hot: int) -> DataFrame:
     spark = docs.sparkSession
     stages = Stages(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
