@@ -11,7 +11,7 @@ import corpus_pipeline
 from llm.conftest import EDGES, SF_DIR, frame
 from logvigil.llm import links, near_dedup, passages
 from logvigil.llm.components import components
-from logvigil.llm.line_dedup import LEAST_RARITY, dedup_lines, matching
+from logvigil.llm.line_dedup import LEAST_RARITY, dedup_lines, hashed_lines, matching, overlapping
 from logvigil.llm.near_dedup import near_duplicates
 from logvigil.llm.passages import bounds, centres, ranked, repeated_passages
 from logvigil.llm.stages import Stages, table
@@ -198,6 +198,26 @@ def test_line_dedup_sums_rarity_over_real_pairs(spark):
     assert expected[11] == {1, 2, 3} and expected[13] == {0, 1, 2} and not expected[10] and not expected[14]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_of_overlapping_documents_have_a_partner(spark, seed):
+    """Documents that share lines whose first holders are others, in no order the same neighbours."""
+    rng = random.Random(seed)
+    pool = [f"a line {i} that many documents hold" for i in range(60)]
+    texts = [(i, "\n".join(rng.sample(pool, rng.randint(8, 14)))) for i in range(120)]
+    lines = hashed_lines(frame(spark, texts)).drop("body")
+    found = {(r.doc_id, r.first) for r in overlapping(lines, LEAST_RARITY, Stages(spark)).collect()}
+    sets, holders = {i: set(t.split("\n")) for i, t in texts}, defaultdict(int)
+    for s in sets.values():
+        for x in s:
+            holders[x] += 1
+    over = {(i, j) for i in sets for j in range(i)
+            if sum(math.log(len(sets) / holders[x]) for x in sets[i] & sets[j]) >= LEAST_RARITY}
+    assert found <= over and len(over) > 500
+    for i, s in sets.items():
+        shared, met = ({x for j in sets if (i, j) in pairs for x in s & sets[j]} for pairs in (over, found))
+        assert shared == met
+
+
 def test_line_dedup_edges(edges, nothing):
     found = dedup_lines(edges, least_rarity=0.5).collect()
     assert len(found) == len(EDGES)
