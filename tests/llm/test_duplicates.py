@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ from logvigil.llm import links, near_dedup, passages
 from logvigil.llm.components import components
 from logvigil.llm.line_dedup import LEAST_RARITY, dedup_lines, hashed_lines, matching, overlapping
 from logvigil.llm.near_dedup import near_duplicates
-from logvigil.llm.passages import bounds, centres, ranked, repeated_passages
+from logvigil.llm.passages import bounds, centres, passages_between, ranked, repeated_passages, run_hashes
 from logvigil.llm.stages import Stages, table
 
 
@@ -301,6 +302,33 @@ def test_passages_repeated_within_a_document(spark):
     assert checked > 300
 
 
+def test_passages_whose_first_token_holders_lack_them(spark):
+    """Every five words of the passage stand in an earlier document of their own as well."""
+    rng = random.Random(3)
+    fill = lambda n: [f"f{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = [(i, " ".join(fill(50) + passage[i:i + 5] + fill(50))) for i in range(56)]
+    texts += [(100 + i, " ".join(fill(20 + i) + passage + fill(30))) for i in range(4)]
+    found = repeated_passages(frame(spark, texts)).collect()
+    assert {(r.doc_id, r.first_doc_id, r.start, r.end, r.first_start) for r in found} == {
+        (100 + i, 100, 20 + i, 80 + i, 20) for i in range(1, 4)}
+
+
+def test_runs_an_alignment_leaves():
+    run, gap = list(range(100, 150)), [1, 2, 3]
+    left, right = [*run, *gap, *run[:20]], [*run[:20], 9, *run]
+    found = passages_between(left, right, 46, 80, [(0, 21)])
+    assert any(p[0] <= 0 and p[1] >= 50 for p in found)
+
+
+def test_run_hashes():
+    tokens = np.array([*range(1, 60), 0, *range(1, 60)], np.uint64)
+    for width in (1, 2, 7, 46):
+        found = run_hashes(tokens, width)
+        assert len(found) == len(tokens) - width + 1 and (found[:60 - width] == found[60:]).all()
+        assert len(set(found.tolist())) == len(found) - (60 - width)
+
+
 def test_passage_edges(edges, nothing):
     found = repeated_passages(edges).collect()
     assert {(r.doc_id, r.first_doc_id) for r in found} == {(7, 6)}
