@@ -77,6 +77,7 @@ class InvestigationStore:
         """Put what is stored without ``gone``, and ``new``, into the folders ``touched``.
 
         ``touched`` has (user_id, bucket), ``gone`` (user_id, investigation_id), both distinct.
+        Where nothing is new the rows stay in the files they are read from, without a shuffle.
         """
         rows = None
         if self.exists(name):
@@ -90,8 +91,12 @@ class InvestigationStore:
         columns = [c for c in rows.columns if c not in FOLDER]
         empty = touched.select(
             *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in columns], *FOLDER)
-        # few files per folder; AQE splits one that is too large for one task
-        dealt = rows.select(*[f"`{c}`" for c in columns], *FOLDER).unionByName(empty).hint("rebalance", *FOLDER)
+        dealt = rows.select(*[f"`{c}`" for c in columns], *FOLDER)
+        if new is None:
+            dealt = dealt.unionByName(empty.repartition(self.spark.sparkContext.defaultParallelism))
+        else:
+            # few files per folder; AQE splits one that is too large for one task
+            dealt = dealt.unionByName(empty).hint("rebalance", *FOLDER)
         if "created_at" in columns:
             dealt = dealt.sortWithinPartitions(*FOLDER, "created_at")
         (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -123,6 +123,21 @@ def test_changes_are_set_operations(spark, folder):
     assert all(m <= f + 2 for f, m in zip(few, many, strict=True))
 
 
+def test_deletes_do_not_shuffle_what_stays(spark, folder, monkeypatch):
+    main = spark.range(300).selectExpr("concat('i', id) as investigation_id", "concat('u', id % 3) as user_id")
+    events = main.selectExpr("investigation_id", "explode(array(1, 2)) as event_id")
+    keep = InvestigationStore(spark, str(folder / "s"))
+    keep.write({"investigations": main, "events": events})
+    hints, hint = [], type(main).hint
+    monkeypatch.setattr(type(main), "hint", lambda df, name, *a: (hints.append(name), hint(df, name, *a))[1])
+    for start in ("i1%", "i2%"):
+        keep.delete(main.where(f"investigation_id like '{start}'"))
+    assert "rebalance" not in hints
+    left = {r.investigation_id for r in main.collect() if r.investigation_id[1] not in "12"}
+    assert sorted(r.investigation_id for r in keep.read().collect()) == sorted(left)
+    assert sorted(r.investigation_id for r in keep.read("events").collect()) == sorted([*left, *left])
+
+
 def test_json_rows(spark):
     frame = spark.createDataFrame(
         [(datetime(2026, 1, 1, 10), float("nan"), [1.0, float("nan")], None, {"a": datetime(2026, 1, 1, 0, 0, 0, 5)})],
