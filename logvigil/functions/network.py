@@ -13,7 +13,7 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 from logvigil.constants import HOME_PREFIXES
-from logvigil.functions.text import BLANK
+from logvigil.functions.text import BLANKS
 
 # --- fixed values: IPv4 ranges that are not abroad, as leading octets: the
 # special-purpose ranges, then the home prefixes; 192.0.0.9 and .10 are excepted ---
@@ -81,7 +81,7 @@ def cross_border(column: str) -> Column:
     """
     near = "|".join([*V4_SPECIAL, *[p.rstrip(".") for p in HOME_PREFIXES]])
     abroad = f"^(?!(?:{near})[.])(?!{V4_SPECIAL_BUT_TWO}){_V4}$"
-    address = f"regexp_replace(`{column}`, r'^{BLANK}+|{BLANK}+$', '')"
+    address = f"btrim(`{column}`, '{BLANKS}')"
     return F.expr(f"""coalesce(case when instr(`{column}`, ':') > 0
         then transform(array({address}), a -> {_v6_public('a')})[0]
         else {address} rlike '{abroad}' end, false)""")

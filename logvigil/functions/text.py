@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from logvigil.constants import LEVELS
 
-# everything Python's str.strip() removes, as a Java character class
+# everything Python's str.strip() removes, as a Java character class and as single characters
 BLANK = r"[\p{IsWhite_Space}\x1C-\x1F]"
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space, not only the space character."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    """Trim every kind of white space, not only the space character.
+
+    A trim looks at the ends only; a pattern for the end is tried at each character.
+    """
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:

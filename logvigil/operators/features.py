@@ -6,8 +6,9 @@ that table in a single join on the finest key, with heavy keys sliced.  No
 source, however busy, is ever gathered in one task:
 
 * counts, means and distinct ports combine on the map side;
-* a burst (k events of one source within w) is found from at most k first and
-  k - 1 last times of each w-wide cell, which Spark limits before the shuffle.
+* a burst (k events of one source within w) is found by looking k - 1 times back in the hours of a
+  source; where a source has a very busy hour, from at most k first and k - 1 last times of each
+  w-wide cell, which Spark limits before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from logvigil.constants import (
     BRUTE_EVENTS, BRUTE_SECONDS, FAILED_TERMS, RAPID_EVENTS, RAPID_SECONDS,
 )
 from logvigil.functions.network import cross_border
-from logvigil.functions.skew import UNIT, balanced_join
+from logvigil.functions.skew import UNIT, balanced_join, heavy_keys
 from logvigil.functions.text import contains_any
 from logvigil.session import cut_lineage
 
 SOURCE = ["investigation_id", "src_ip"]
 HOUR_US = 3_600_000_000
 _NO_HOUR = -(2**60)
+#: A source with more events in an hour has its bursts found by cells.
+DENSE_HOUR = 100_000
 BURSTS = {"rapid": (RAPID_EVENTS, RAPID_SECONDS), "brute": (BRUTE_EVENTS, BRUTE_SECONDS)}
 SPANS = "array<struct<lo:bigint,hi:bigint>>"
 
@@ -122,6 +125,34 @@ def burst_spans(rows: DataFrame, keys: list[str], bursts: dict[str, tuple[int, i
     ).select(*keys, "burst", "span.lo", "span.hi")
 
 
+def sparse_burst_spans(rows: DataFrame, keys: list[str], bursts: dict[str, tuple[int, int]]) -> DataFrame:
+    """The spans of ``burst_spans`` for keys whose rows of an hour fit in one window.
+
+    A row is placed in its own hour and in the hour a burst it begins may end in, which is the next
+    at most.  So the hour of a burst's last event holds all its events, and k events in a row are a burst
+    when the last is within the width of the first.
+    """
+    by_name = lambda values: "case burst " + " ".join(
+        f"when '{name}' then {value}" for name, value in values.items()) + " end"
+    width = by_name({name: f"{seconds * 1_000_000}L" for name, (_, seconds) in bursts.items()})
+    hour = lambda t: f"({t} - pmod({t}, {HOUR_US}L)) div {HOUR_US}L"
+    known = " and ".join(f"{c} is not null" for c in [*keys, "ts_us"])
+    placed = (
+        rows.where(known).selectExpr(*keys, "ts_us", "explode(burst) as burst")
+        .selectExpr("*", f"{hour('ts_us')} as own", f"{hour(f'(ts_us + {width})')} as last")
+        .selectExpr(*keys, "ts_us", "burst", "own", "explode(if(own = last, array(own), array(own, last))) as place")
+    )
+    # the number first: it settles most comparisons of the sort by itself
+    order = Window.partitionBy("place", *keys, "burst").orderBy("ts_us")
+    for events in sorted({events for events, _ in bursts.values()}):
+        placed = placed.withColumn(f"back{events}", F.lag("ts_us", events - 1).over(order))
+    first = by_name({name: f"back{events}" for name, (events, _) in bursts.items()})
+    return (
+        placed.where("own = place").selectExpr(*keys, "burst", f"{first} as lo", "ts_us as hi", f"{width} as width")
+        .where("hi - lo <= width").select(*keys, "burst", "lo", "hi")
+    )
+
+
 def _merged(spans: str) -> Column:
     """Join touching spans of an array, so that lookups in it stay short."""
     return F.expr(f"""aggregate(sort_array({spans}), cast(array() as {SPANS}),
@@ -189,16 +220,24 @@ def hourly_counts(events: DataFrame, zone: str = "UTC") -> DataFrame:
     return counts_of(hourly_ports(events, zone))
 
 
-def source_ledger(events: DataFrame, hourly: DataFrame, zone: str = "UTC") -> DataFrame:
+def source_ledger(events: DataFrame, hourly: DataFrame, zone: str = "UTC",
+                  dense: int = DENSE_HOUR) -> DataFrame:
     """All facts about a source in one clock hour, bursts included."""
     candidates = events.select(
         *SOURCE, F.unix_micros("timestamp").alias("ts_us"),
         F.when(is_failed(F.col("event_type")), F.array(F.lit("rapid"), F.lit("brute")))
         .otherwise(F.array(F.lit("rapid"))).alias("burst"),
     )
-    spans = burst_spans(candidates, SOURCE, BURSTS)
+    counts = counts_of(hourly)
+    busiest = counts.groupBy(*SOURCE).agg(F.max("source_hour_events").alias("busiest"))
+    busy = heavy_keys(busiest, SOURCE, "busiest", dense)
+    if busy.isEmpty():
+        spans = sparse_burst_spans(candidates, SOURCE, BURSTS)
+    else:
+        spans = sparse_burst_spans(candidates.join(busy, SOURCE, "left_anti"), SOURCE, BURSTS).unionByName(
+            burst_spans(candidates.join(busy, SOURCE, "left_semi"), SOURCE, BURSTS))
     return (
-        counts_of(hourly)
+        counts
         .join(profile_of(hourly), SOURCE)
         .join(_spans_by_hour(spans, list(BURSTS), zone), [*SOURCE, "hour"], "left")
     )

@@ -43,13 +43,15 @@ def entities(scored: DataFrame) -> DataFrame:
 
 def graph_nodes(scored: DataFrame) -> DataFrame:
     """Events, highest score and level, suspicion and type of each node."""
-    is_source = F.max((F.col("role") == "src_ip").cast("int"))
+    # within a node the roles are either the two address roles, the source first, or one single role;
+    # as numbers, so that the nodes are hashed in each task and not sorted
+    roles = F.array(*[F.lit(r) for r in ENTITIES])
     return (
         entities(scored)
+        .withColumn("role", F.array_position(roles, F.col("role")).cast("int"))
         .groupBy(INV, "node_id")
         .agg(
-            # within a node the roles are either the two address roles or one single role
-            F.when(is_source == 1, "src_ip").otherwise(F.min("role")).alias("type"),
+            F.element_at(roles, F.min("role")).alias("type"),
             (F.max("rank") >= 3).alias("is_suspicious"),
             F.greatest(F.max("score"), F.lit(0)).alias("max_threat_score"),
             level_name(F.max("rank")).alias("max_threat_level"),

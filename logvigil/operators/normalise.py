@@ -149,19 +149,24 @@ def with_timestamp(df: DataFrame, source: str, name: str) -> DataFrame:
     return df.drop("_plain", "_local", "_zone", "_layout")
 
 
-def _decimal(c: Column) -> Column:
-    """A double for decimal notation and infinities; null for all other texts, such as 1d or 0x1p3."""
+def _decimal(c: Column, kind: T.DataType | None) -> Column:
+    """A double for decimal notation and infinities; null for all other texts, such as 1d or 0x1p3.
+
+    A column whose ``kind`` is a number is not written out as a text first.
+    """
+    if isinstance(kind, T.NumericType):
+        return F.when(~F.isnan(c.try_cast("double")), c.try_cast("double"))
     return F.when(c.cast("string").rlike(_DECIMAL), c.try_cast("double"))
 
 
-def to_bytes(c: Column) -> Column:
+def to_bytes(c: Column, kind: T.DataType | None = None) -> Column:
     """A double; what is no number becomes 0.0."""
-    return F.coalesce(_decimal(c), F.lit(0.0))
+    return F.coalesce(_decimal(c, kind), F.lit(0.0))
 
 
-def to_port(c: Column) -> Column:
+def to_port(c: Column, kind: T.DataType | None = None) -> Column:
     """An int cut towards zero; what is no number becomes 0."""
-    return F.coalesce(_decimal(c).try_cast("int"), F.lit(0))
+    return F.coalesce(_decimal(c, kind).try_cast("int"), F.lit(0))
 
 
 def _typed(df: DataFrame) -> DataFrame:

@@ -19,9 +19,10 @@ def prepare(events: DataFrame, require_nonempty: bool = False) -> DataFrame:
     check_columns(events, REQUIRED)
     if require_nonempty and events.isEmpty():
         raise ValueError("There are no events to look at")
+    kind = {f.name: f.dataType for f in events.schema}
     return events.withColumns({
-        "bytes_transferred": to_bytes(F.col("bytes_transferred")),
-        "dst_port": to_port(F.col("dst_port")),
+        "bytes_transferred": to_bytes(F.col("bytes_transferred"), kind.get("bytes_transferred")),
+        "dst_port": to_port(F.col("dst_port"), kind.get("dst_port")),
     })
 
 

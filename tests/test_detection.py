@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from logvigil.constants import POPIA_FLAGS
 from logvigil.functions.network import cross_border
+from logvigil.functions.text import strip
 from logvigil.operators import forest
-from logvigil.operators.features import BURSTS, SOURCE, burst_spans
+from logvigil.operators.features import BURSTS, SOURCE, burst_spans, hourly_ports, source_ledger, sparse_burst_spans
 from logvigil.operators.forest import isolation_forest
 from logvigil.operators.features import with_source_context
 from logvigil.operators.graph import graph_edges, graph_nodes, graph_summary
@@ -338,3 +339,46 @@ def test_forest_flags_of_a_small_table(spark):
         mine = np.array([expected[name, i] for i in range(160)])
         assert cutoffs[name] == pytest.approx(np.quantile(mine, 0.95), rel=1e-6)
         assert {0, 40, 80, 120} <= set(np.flatnonzero(mine > cutoffs[name]))
+
+
+def test_bursts_of_quiet_sources_need_one_row_an_event(spark):
+    """An event is in a burst by either way of looking, at hour borders and between them; and few rows move."""
+    rng = random.Random(5)
+    rows = [("i", f"s{rng.randrange(6)}", int((3600 * 1_000_000) * rng.choice([1, 2, 2.5, -3]) + rng.randrange(-400, 400) * 1_000_000),
+             ["rapid", "brute"] if rng.random() < 0.5 else ["rapid"]) for _ in range(900)]
+    frame = spark.createDataFrame(rows, "investigation_id string, src_ip string, ts_us long, burst array<string>")
+    found = []
+    for spans in (burst_spans(frame, SOURCE, BURSTS), sparse_burst_spans(frame, SOURCE, BURSTS)):
+        held = {}
+        for r in spans.collect():
+            held.setdefault((r.src_ip, r.burst), []).append((r.lo, r.hi))
+        found.append({(s, b, t) for _, s, t, bursts in rows for b in bursts
+                      if any(lo <= t <= hi for lo, hi in held.get((s, b), []))})
+    assert found[0] == found[1] and 0 < len(found[0]) < sum(len(r[3]) for r in rows)
+
+
+def test_quiet_sources_are_not_dealt_into_cells(spark):
+    """Without a very busy hour no row is sent once per end of a cell; with one, both ways meet in one ledger."""
+    events = log_frame(spark, [
+        {"src": "a", "at": 30 * i, "type": "login_failed" if i % 2 else "x"} for i in range(9)
+    ] + [{"src": "b", "at": 3595 + 4 * i} for i in range(4)])
+    hourly = cut_lineage(hourly_ports(events))
+    quiet, mixed = source_ledger(events, hourly), source_ledger(events, hourly, dense=6)
+    plan = quiet._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan
+    inside = lambda ledger: {
+        (r.src_ip, r.at) for r in events.select("src_ip", F.unix_micros("timestamp").alias("at")).distinct().join(
+            ledger.select("src_ip", F.explode("rapid").alias("s")), "src_ip")
+        .where("at between s.lo and s.hi").collect()}
+    assert inside(quiet) == inside(mixed) and len(inside(quiet)) == 13
+
+
+def test_trimmed_ends_and_number_columns(spark):
+    """A trim takes what Python's strip takes; a column of numbers is not written out as a text first."""
+    blanks = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
+    frame = spark.createDataFrame([(b + "a" + b + "c" + b + b,) for b in [*blanks, "\u200b", "\ufeff"]], "v string")
+    assert [r.s for r in frame.select(strip(F.col("v")).alias("s")).collect()] == [r.v.strip() for r in frame.collect()]
+    numbers = log_frame(spark, [{"src": "a", "at": 0, "bytes": x} for x in (2.5, float("nan"), float("inf"), -1e300)])
+    ready = prepare(numbers)
+    assert [r.bytes_transferred for r in ready.collect()] == [2.5, 0.0, float("inf"), -1e300]
+    assert "RLIKE" not in ready._jdf.queryExecution().optimizedPlan().toString()
