@@ -19,6 +19,8 @@ from logvigil.llm.stages import Stages, table
 
 #: A text whose best language scores less is none of the languages learned.
 LEAST_SCORE = 0.35
+#: Pieces a task of the last stage keeps; they go with it, as the worker's memory is shared by all stages.
+PIECES_HELD = 65_536
 
 
 def _columns(docs: DataFrame) -> list[str]:
@@ -60,7 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens or a power of two below."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), held=PIECES_HELD)
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from logvigil.llm.stages import emit
-from logvigil.llm.wordpieces import word_pieces
+from logvigil.llm.wordpieces import pieces_of_task
 
 TIERS = (256, 512, 1024, 2048)
 #: Rests of documents that are packed together; each has less than a longest tier of ids.
@@ -115,7 +115,7 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int, ...] = TIERS,
-                   step_tokens: int = 16_384) -> DataFrame:
+                   step_tokens: int = 16_384, held: int | None = None) -> DataFrame:
     """One row per piece; tiers must be powers of two.
 
     A null or empty text is a document of the end id alone.  Every row of
@@ -123,12 +123,13 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, tiers: tuple[int
     sequence_tokens is the sequence's number of tokens (always a power of two, so
     there is no padding), step_id its step group.  Ids of sequences and groups
     are unique over all tasks but not consecutive.  An empty table gives no rows;
-    columns other than doc_id and text are not read.
+    columns other than doc_id and text are not read.  With ``held`` a task's caches
+    have so many entries and go with it; else they stay with the worker.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            pieces, end = word_pieces(path), end_id.to_bytes(4, "little")
+            pieces, end = pieces_of_task(path, held), end_id.to_bytes(4, "little")
             packer = Packer(tiers, TaskContext.get().partitionId() << 36, step_tokens)
             for batch in batches:
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

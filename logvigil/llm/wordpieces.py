@@ -107,3 +107,8 @@ class WordPieces:
 def word_pieces(path: str) -> WordPieces:
     """One per worker process."""
     return WordPieces(path)
+
+
+def pieces_of_task(path: str, held: int | None) -> WordPieces:
+    """With ``held`` caches of so many entries that go with the task; else those the worker keeps."""
+    return word_pieces(path) if held is None else WordPieces(path, held)

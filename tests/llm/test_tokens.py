@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from llm.conftest import EDGES, frame
 from logvigil.llm.packing import pack_documents
 from logvigil.llm.token_counts import token_counts
+from logvigil.llm.wordpieces import pieces_of_task, word_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
@@ -102,3 +103,15 @@ def test_packing_odd_texts(spark, library):
     check_packing(pack_documents(frame(spark, once), PATH).collect(), dict(once), library)
     repeated = pack_documents(frame(spark, [(5, "one two"), (5, "one two")]), PATH).collect()
     assert sum(p.length for p in repeated) == 2 * (len(ids_of(library, "one two")) + 1)
+
+
+def test_a_task_may_drop_its_pieces(spark, edges):
+    """Caches of a given size stay within it and are not the worker's; the pieces are the same."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    kept, before = word_pieces(path), word_pieces.cache_info().currsize
+    own = pieces_of_task(path, 3)
+    assert own is not kept and own.ids("a few words of one text") == kept.ids("a few words of one text")
+    assert max(map(len, (own._chunks, own._pieces, own._plain_spelling))) <= 3
+    assert word_pieces.cache_info().currsize == before
+    one = edges.coalesce(1)
+    assert pack_documents(one, path, held=3).collect() == pack_documents(one, path).collect()
