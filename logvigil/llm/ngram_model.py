@@ -12,7 +12,8 @@ seen once; where the entries do not fit at ``LEAST_BITS`` bits each, the least c
 bigrams doubles until they do, and then that of unigrams.  The model mixes the two orders,
     P(w | h) = weight * count(h w) / count(h) + (1 - weight) * (count(w) + 1) / (N + V + 1),
 with counts from the filter; after a word never seen, P is the second part.  An n-gram the filter does
-not hold gets its exact count by a shuffled join.  While the least count of bigrams is 2, only held out
+not hold gets its exact count by a shuffled join: places and counts travel as packed runs by
+segments of the bigrams' hashes (by rows, should unigrams be left out too).  While the least count of bigrams is 2, only held out
 texts need it: a bigram of a training text that is not in the filter was seen once, there.
 
 The base score uses exact counts.  The most frequent tokens (bounded in number and
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from logvigil.llm.stages import Stages, batches_of, emit, short_lived_shuffles, texts_of
@@ -40,6 +42,8 @@ HOT = 1 << 18
 HOT_BYTES = 64
 HELD = 200_000
 GRAMS_HELD = 1_000_000
+#: Places of one segment that are looked up in one task.
+PLACES = 4_000_000
 SEGMENTS = 256
 MAX_BITS = 1 << 28
 BITS, LEAST_BITS, PROBES = 16, 10, 5
@@ -182,8 +186,10 @@ class Filter:
         return found
 
     def counts(self, grams: np.ndarray, order: int) -> np.ndarray:
+        return self.counts_at(self.levels(grams), order)
+
+    def counts_at(self, level: np.ndarray, order: int) -> np.ndarray:
         """Estimated counts: the middle of a level's range, 0 for level 0."""
-        level = self.levels(grams)
         middle = (BASE ** (level - 1) + BASE ** level) / 2
         exact = np.where(level == 1, 1.0, middle)
         return np.where(level > 0, exact * self.least[order - 1], 0.0)
@@ -296,18 +302,23 @@ def _scored(docs: DataFrame, max_bits: int, weight: float, hot: int) -> DataFram
     logs = np.log10((frequent.column(1).to_numpy() + 1) / whole).tolist()
     sent = spark.sparkContext.broadcast((model, dict(zip(frequent.column(0).to_pylist(), logs, strict=True))))
 
+    shift = 64 - (segments - 1).bit_length()
+    by_rows = model.least[0] > 1
     fields = pa.schema([
-        ("doc_id", pa.int64()), ("key", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
         ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
         ("rare", pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))),
         ("asked", pa.list_(pa.struct([
             *[(n, pa.int64()) for n in ("pair", "before", "word")],
             *[(n, pa.float64()) for n in ("n_pair", "n_before", "n_word")]]))),
+        *_PACKED,
     ])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (filter_, logs), hashes = sent.value, WordHashes()
         get = logs.get
+        row = first = TaskContext.get().partitionId() << 36
+        parts: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             texts = texts_of(batch)
             found: dict[str, list] = {f.name: [] for f in fields}
@@ -316,14 +327,20 @@ def _scored(docs: DataFrame, max_bits: int, weight: float, hot: int) -> DataFram
             base = np.fromiter((get(t, 1.0) for t in tokens), np.float64, len(tokens))
             learned = np.concatenate([[False], np.repeat(~batch.column(2).to_numpy(zero_copy_only=False), sizes)])[1:]
             scores, asked = _log_probabilities(filter_, hashes.of(tokens), learned, whole, weight)
-            edges = np.searchsorted(asked.pop("at"), np.concatenate([[0], np.cumsum(sizes)])).tolist()
-            asked = list(zip(*(x.tolist() for x in asked.values()), strict=True))
+            at = asked.pop("at")
+            edges = np.searchsorted(at, np.concatenate([[0], np.cumsum(sizes)])).tolist()
+            if by_rows:
+                asked = list(zip(*(x.tolist() for x in asked.values()), strict=True))
+            else:
+                owner = np.repeat(np.arange(row - first, row - first + len(texts)), sizes)[at]
+                parts.append((owner.astype(np.uint32), asked["pair"], asked["before"], asked["word"]))
+                asked = []
             unknown = base > 0
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 a, b = starts[i], starts[i + 1]
                 rare = Counter(tokens[a + j] for j in np.flatnonzero(unknown[a:b]).tolist())
+                found["row"].append(row + i)
                 found["doc_id"].append(doc_id)
-                found["key"].append(xxhash.xxh3_64_intdigest(text or b"") - (1 << 63))
                 found["n_tokens"].append(int(b - a))
                 found["n_known"].append(int(b - a) - sum(rare.values()))
                 found["base"].append(float(base[a:b][~unknown[a:b]].sum()))
@@ -331,44 +348,163 @@ def _scored(docs: DataFrame, max_bits: int, weight: float, hot: int) -> DataFram
                 found["rare"].append([{"token": t, "n": n} for t, n in rare.items()])
                 found["asked"].append(asked[edges[i]:edges[i + 1]])
             found["held_out"] = batch.column(2).to_pylist()
+            found |= {f.name: [None] * len(texts) for f in _PACKED}
             yield batches_of(found, fields)
+            row += len(texts)
+            if sum(len(x[0]) for x in parts) >= GRAMS_HELD:
+                yield from _packed_places(parts, first, shift, fields)
+                parts, first = [], row
+        yield from _packed_places(parts, first, shift, fields)
 
     parts = stages.keep(rows.select("doc_id", "text", "held_out").mapInArrow(
-        score, "doc_id long, key long, held_out boolean, n_tokens long, n_known long, base double, "
+        score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
                "score double, rare array<struct<token:binary,n:int>>, asked array<struct<pair:long,before:long,"
-               "word:long,n_pair:double,n_before:double,n_word:double>>"), "scored")
-    same = ["doc_id", "key", "held_out"]
+               "word:long,n_pair:double,n_before:double,n_word:double>>, segment long, first long, places int, "
+               "owners binary, pairs binary, levels binary"), "scored")
+    texts, none = parts.where("segment is null"), F.lit(0).cast("long")
     rare = (
-        parts.select(*same, F.explode("rare").alias("r")).select(*same, "r.token", F.col("r.n").alias("times"))
+        texts.select("row", F.explode("rare").alias("r")).select("row", "r.token", F.col("r.n").alias("times"))
         .join(tokens, "token", "left")
         .select(
-            *same, F.lit(0).cast("long").alias("n_tokens"),
+            "row", none.alias("n_tokens"),
             F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("n_known"),
             (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(whole)))).alias("base"),
-            F.lit(0.0).alias("score"), F.lit(0).alias("rows"))
+            F.lit(0.0).alias("score"))
     )
-    asked = _counted(parts.select(*same, F.explode("asked").alias("a")).select(*same, "a.*"), model.least, tokens, bigrams)
-    alone = (F.col("n_word") + 1) / F.lit(float(whole))
-    mixed_ = F.when(F.col("n_before") > 0, F.lit(weight) * F.col("n_pair") / F.col("n_before") + F.lit(1 - weight) * alone)
-    none = F.lit(0).cast("long")
-    left = asked.select(
-        *same, none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"),
-        F.log10(F.least(F.lit(1.0), F.coalesce(mixed_, alone))).alias("score"), F.lit(0).alias("rows"))
-    # equal rows share a key: sums are divided by their number, and each row is given back
-    per_text = parts.drop("rare", "asked").withColumn("rows", F.lit(1)).unionByName(rare).unionByName(left).groupBy(*same).agg(
-        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")],
-        F.sum("rows").cast("int").alias("rows"))
-    return per_text.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(
-        "doc_id", "held_out", F.expr("n_tokens div rows").alias("n_tokens"),
-        F.expr("n_known div rows").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    if by_rows:
+        asked = _counted(texts.select("row", F.explode("asked").alias("a")).select("row", "a.*"), model.least, tokens, bigrams)
+        alone = (F.col("n_word") + 1) / F.lit(float(whole))
+        mixed_ = F.when(F.col("n_before") > 0, F.lit(weight) * F.col("n_pair") / F.col("n_before") + F.lit(1 - weight) * alone)
+        looked_up = asked.select("row", F.log10(F.least(F.lit(1.0), F.coalesce(mixed_, alone))).alias("score"))
+    else:
+        places = parts.where("segment is not null").select("segment", "first", "places", "owners", "pairs", "levels")
+        low = bigrams.where(F.col("n") < model.least[1])
+        values = model.counts_at(np.arange(TOP_LEVEL + 1), 1)
+        looked_up = _looked_up(places, low, shift, values, whole, weight)
+    # stored, so that the places' shuffle files go before the texts are summed
+    sums = stages.keep(looked_up.groupBy("row").agg(F.sum("score").alias("score")), "sums")
+    stages.drop(bigrams)
+    left = sums.select("row", none.alias("n_tokens"), none.alias("n_known"), F.lit(0.0).alias("base"), "score")
+    more = rare.unionByName(left).select(
+        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
+        "n_tokens", "n_known", "base", "score")
+    per_text = texts.select(*more.columns).unionByName(more).groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
+        *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
+    return per_text.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), "score")
+
+
+#: Places of one segment in the texts from row ``first`` on, by pair; bytes lie in planes, pairs as steps.
+_PACKED = [
+    pa.field("segment", pa.int64()), pa.field("first", pa.int64()), pa.field("places", pa.int32()),
+    pa.field("owners", pa.binary()), pa.field("pairs", pa.binary()), pa.field("levels", pa.binary()),
+]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(x: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(grams: np.ndarray) -> bytes:
+    return _planes(np.diff(grams, prepend=np.uint64(0)))
+
+
+def _from_steps(x: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(x, np.uint64), dtype=np.uint64)
+
+
+def _runs(grams: np.ndarray, shift: int) -> Iterator[tuple[int, int, int]]:
+    """(segment, start, end) of the segments in sorted hashes; a shift of 64 is one segment."""
+    owner = grams >> np.uint64(shift) if shift < 64 else np.zeros(len(grams), np.uint64)
+    edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]])).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(owner[a]), a, b
+
+
+def _packed_places(parts: list[tuple[np.ndarray, ...]], first: int, shift: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    if not sum(len(x[0]) for x in parts):
+        return
+    owners, pairs, before, word = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(pairs, kind="stable")
+    owners, pairs, before, word = (x[order] for x in (owners, pairs, before, word))
+    empty = (None,) * (len(schema) - len(_PACKED))
+    yield from emit((
+        (*empty, segment, first, b - a, _planes(owners[a:b]), _steps(pairs[a:b]), before[a:b].tobytes() + word[a:b].tobytes())
+        for segment, a, b in _runs(pairs, shift)), schema, 64)
+
+
+def _looked_up(places: DataFrame, low: DataFrame, shift: int, values: np.ndarray, whole: int, weight: float) -> DataFrame:
+    """(row, score): log10 P of the places with the exact counts of their pairs; no count is 0.
+
+    A segment with very many places is looked up in slices, each with the segment's counts.
+    """
+    schema = pa.schema([("segment", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+    out = pa.schema([("row", pa.int64()), ("score", pa.float64())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams, counts = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+            order = np.argsort(grams.view(np.uint64))
+            grams, counts = grams.view(np.uint64)[order], counts[order].astype(np.uint64)
+            yield from emit(((segment, _steps(grams[a:b]), _planes(counts[a:b])) for segment, a, b in _runs(grams, shift)), schema, 64)
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= GRAMS_HELD:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
+
+    def look(asked: pa.Table, known: pa.Table) -> pa.Table:
+        none = np.empty(0, np.uint64)
+        grams = np.concatenate([none, *map(_from_steps, known.column("grams").to_pylist())])
+        counts = np.concatenate([none, *(_from_planes(x, np.uint64) for x in known.column("counts").to_pylist())])
+        order = np.argsort(grams)
+        grams, counts = grams[order], counts[order].astype(np.float64)
+        rows, scores = [np.empty(0, np.int64)], [np.empty(0)]
+        for first, owners, pairs, levels in zip(*(asked.column(c).to_pylist() for c in ("first", "owners", "pairs", "levels")), strict=True):
+            pairs, owners = _from_steps(pairs), _from_planes(owners, np.uint32)
+            before, word = values[np.frombuffer(levels, np.uint8).reshape(2, -1)]
+            pair = np.zeros(len(pairs))
+            if len(grams):
+                at = np.minimum(np.searchsorted(grams, pairs), len(grams) - 1)
+                pair = np.where(grams[at] == pairs, counts[at], 0.0)
+            found = np.log10(np.minimum(1.0, _probabilities(pair, np.maximum(before, pair), word, whole, weight)))
+            texts, inverse = np.unique(owners, return_inverse=True)
+            rows.append(first + texts.astype(np.int64))
+            scores.append(np.bincount(inverse, found))
+        return pa.Table.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(scores))], schema=out)
+
+    slices = F.broadcast(places.groupBy("segment").agg(F.ceil(F.sum("places") / PLACES).cast("int").alias("slices")))
+    dealt = places.join(slices, "segment").withColumn(
+        "slice", F.pmod(F.xxhash64("first", "pairs"), F.col("slices")).cast("int")).drop("slices")
+    sent = low.select("gram", "n").mapInArrow(pack, "segment long, grams binary, counts binary").join(
+        slices, "segment").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    by = ("segment", "slice")
+    return dealt.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(look, "row long, score double")
+
+
+def _probabilities(pair: np.ndarray, before: np.ndarray, word: np.ndarray, whole: int, weight: float) -> np.ndarray:
+    alone = (word + 1) / whole
+    share = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
+    return np.where(before > 0, weight * share + (1 - weight) * alone, alone)
 
 
 def _counted(asked: DataFrame, least: tuple[int, int], tokens: DataFrame, bigrams: DataFrame) -> DataFrame:
     """Places with the exact counts of the n-grams the filter leaves out; others keep the count they have."""
     def joined(rows: DataFrame, low: DataFrame, name: str) -> DataFrame:
         # what is not asked has no partner: it is spread by the other columns
-        spread = F.coalesce(name, F.xxhash64("key", "n_before", "n_word", "n_pair"))
+        spread = F.coalesce(name, F.xxhash64("row", "n_before", "n_word", "n_pair"))
         return rows.withColumn(name, spread).join(
             low.select(F.col("gram").alias(name), F.col("n").cast("double").alias("_n")), name, "left",
         ).withColumn(f"n_{name}", F.coalesce("_n", f"n_{name}")).drop("_n")
@@ -384,25 +520,28 @@ def _log_probabilities(model: Filter, hashes: np.ndarray, learned: np.ndarray, w
                        weight: float) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """log10 P of every token but the first, given the one before it; 0 where a count must be asked for.
 
-    Also these places ``at``, with the n-grams to be asked (null for the others) and the counts known.
+    Also these places ``at``, with the n-grams to be asked (null for the others) and the counts known;
+    where the filter holds all unigrams, with the bigrams and the levels of their words.
     ``learned`` tells the tokens of training texts.
     """
     distinct, at = np.unique(hashes, return_inverse=True)
     words, pairs = _unigrams(distinct), _bigrams(hashes)
-    single = model.counts(words, 1)
-    words, single, pair = words[at], single[at], model.counts(pairs, 2)
+    level = model.levels(words)
+    single = model.counts_at(level, 1)
+    words, level, single, pair = words[at], level[at], single[at], model.counts(pairs, 2)
     no_pair = pair == 0
     if model.least[1] <= LEAST_BIGRAM:
         pair[no_pair & learned] = 1.0
         no_pair &= ~learned
     no_word = (single == 0) if model.least[0] > 1 else np.zeros(len(single), bool)
     before = np.maximum(single[:-1], pair)
-    alone = (single[1:] + 1) / whole
-    share = np.divide(pair, before, out=np.zeros_like(pair), where=before > 0)
-    scores = np.log10(np.minimum(1.0, np.where(before > 0, weight * share + (1 - weight) * alone, alone)))
+    scores = np.log10(np.minimum(1.0, _probabilities(pair, before, single[1:], whole, weight)))
     places = np.flatnonzero(no_pair | no_word[:-1] | no_word[1:])
     scores[places] = 0.0
     asked = {"at": places}
+    if model.least[0] == 1:
+        level = level.astype(np.uint8)
+        return scores, asked | {"pair": pairs[places], "before": level[:-1][places], "word": level[1:][places]}
     for name, grams, missing in (("pair", pairs, no_pair), ("before", words[:-1], no_word[:-1]), ("word", words[1:], no_word[1:])):
         asked[name] = np.where(missing[places], grams[places].view(np.int64).astype(object), None)
     return scores, asked | {"n_pair": pair[places], "n_before": single[:-1][places], "n_word": single[1:][places]}
