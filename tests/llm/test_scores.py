@@ -94,6 +94,29 @@ def test_rare_ngrams_are_counted_exactly(spark, monkeypatch):
             assert got == pytest.approx(exact, rel=0.12)
 
 
+def test_places_travel_as_packed_runs(spark, monkeypatch):
+    """Places to be looked up are stored in a few bytes each; a segment in slices gives the same scores."""
+    docs = frame(spark, [(i, " ".join(f"w{(i * 31 + j * j) % 97}" for j in range(200))) for i in range(150)])
+    monkeypatch.setattr(ngram_model, "_least_counts", lambda *_: ((1, 1 << 30), 1000))
+    kept, sizes = ngram_model.Stages.keep, []
+
+    def keep(self, df, name="stage"):
+        table = kept(self, df, name)
+        if name == "scored":
+            width = sum(F.octet_length(c) for c in ("owners", "pairs", "levels"))
+            sizes.append(table.where("segment is not null").agg(F.sum("places"), F.sum(width)).first())
+        return table
+
+    monkeypatch.setattr(ngram_model.Stages, "keep", keep)
+    scores = []
+    for places in (4_000_000, 20):
+        monkeypatch.setattr(ngram_model, "PLACES", places)
+        scores.append({r.doc_id: r.score for r in ngram_model.score_texts(docs).collect()})
+    assert scores[1] == pytest.approx(scores[0]) and len(scores[0]) == 150
+    for places, size in sizes:
+        assert 30_000 < places <= 150 * 201 and size <= 14 * places  # the filter may take a few for its own
+
+
 def test_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     grams = rng.integers(-(1 << 63), 1 << 63, 30_000)
