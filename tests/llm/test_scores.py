@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,39 @@ def test_places_travel_as_packed_runs(spark, monkeypatch):
         assert 30_000 < places <= 150 * 201 and size <= 14 * places  # the filter may take a few for its own
 
 
+def test_places_travel_packed_where_unigrams_are_left_out(spark, monkeypatch):
+    """Only places next to a word the filter lacks are rows; shares of the segments give the scores of all at once."""
+    docs = frame(spark, [(i, " ".join(f"w{(i * 31 + j * j) % 97}" for j in range(200)) + f" once{i}") for i in range(150)])
+    kept, stored = ngram_model.Stages.keep, []
+
+    def keep(self, df, name="stage"):
+        table = kept(self, df, name)
+        if name == "scored":
+            width = sum(F.octet_length(c) for c in ("owners", "pairs", "levels"))
+            stored.append(table.agg(F.sum(F.size("asked")), F.sum("places"), F.sum(width)).first())
+        return table
+
+    monkeypatch.setattr(ngram_model.Stages, "keep", keep)
+    scores = []
+    for least, tokens in (((1 << 30, 1 << 30), 1 << 23), ((3, 1 << 30), 1 << 23), ((3, 1 << 30), 5_000)):
+        monkeypatch.setattr(ngram_model, "_least_counts", lambda *_, least=least: (least, 1000))
+        monkeypatch.setattr(ngram_model, "ROUND_TOKENS", tokens)
+        scores.append({r.doc_id: r.score for r in ngram_model.score_texts(docs).collect()})
+    assert scores[1] == pytest.approx(scores[0], rel=0.12) and scores[2] == pytest.approx(scores[1]) and len(scores[0]) == 150
+    assert stored[1] == stored[2]
+    rows, places, size = stored[1]
+    # the filter may take a few for its own
+    assert 0 < rows <= 2 * 150 and 150 * 202 - 30 <= rows + places <= 150 * 202 and size <= 14 * places
+
+
+def test_tokens_of_a_batch():
+    texts = [" the a\tb\x0b ", None, "", " \n ", "A \x1c\x85 \u0130 x\x00y \U0001f600Z the", "end"]
+    found, codes, sizes = ngram_model._tokens_of(pa.record_batch({"text": pa.array(texts)}))
+    expected = [[*x.encode().lower().split(), b"\n"] if x else [b"\n"] for x in texts]
+    assert [found[i].as_py() for i in codes] == [b"\n", *(w for x in expected for w in x)]
+    assert sizes.tolist() == list(map(len, expected))
+
+
 def test_filter_reads_counts_back(spark):
     rng = np.random.default_rng(3)
     grams = rng.integers(-(1 << 63), 1 << 63, 30_000)
