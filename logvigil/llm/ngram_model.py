@@ -500,17 +500,23 @@ def _scored(docs: DataFrame, max_bits: int, weight: float, hot: int) -> DataFram
             F.lit(0.0).alias("score"))
     )
     places = parts.where("round is not null").select("round", *[f.name for f in _PACKED])
-    if by_rows:
-        asked = _counted(texts.select("row", F.explode("asked").alias("a")).select("row", "a.*"), model.least[0], tokens)
-        asked = _packed_asked(asked, segments).withColumn("round", share)
-        places = places.unionByName(stages.keep(asked, "asked").select(*places.columns))
     values = model.counts_at(np.arange(TOP_LEVEL + 1), 1)
-    # one share after the other, each stored, so that its shuffle files go before the next
-    sums = [
-        stages.keep(_looked_up(
-            places.where(F.col("round") == i), bigrams.where(F.col("round") == i), values, whole, weight), "sums")
-        for i in range(rounds)
-    ]
+    if by_rows:
+        asked = texts.select("row", F.explode("asked").alias("a")).select("row", "a.*")
+        low = stages.keep(_hashed_unigrams(tokens.where(F.col("n") < model.least[0])), "low")
+
+    def sums_of(i: int) -> DataFrame:
+        """One share of the segments; all is stored, so that its shuffle files go before the next."""
+        here, held = places.where(F.col("round") == i).drop("round"), []
+        if by_rows:
+            segment = F.shiftrightunsigned("pair", 64 - (segments - 1).bit_length())
+            held = [stages.keep(_packed_asked(_counted(asked.where(segment % rounds == i), low), segments), "asked")]
+            here = here.unionByName(*held)
+        found = stages.keep(_looked_up(here, bigrams.where(F.col("round") == i), values, whole, weight), "sums")
+        stages.drop(*held)
+        return found
+
+    sums = [sums_of(i) for i in range(rounds)]
     stages.drop(bigrams)
     left = functools.reduce(DataFrame.unionByName, sums).groupBy("chunk").applyInArrow(
         lambda x: pa.table(dict(zip(("row", "score"), _added(x), strict=True))), "row long, score double").select(
@@ -669,9 +675,8 @@ def _probabilities(pair: np.ndarray, before: np.ndarray, word: np.ndarray, whole
     return np.where(before > 0, weight * share + (1 - weight) * alone, alone)
 
 
-def _counted(asked: DataFrame, least: int, tokens: DataFrame) -> DataFrame:
+def _counted(asked: DataFrame, low: DataFrame) -> DataFrame:
     """Places with the exact counts, behind ``TOP_LEVEL``, of the words the filter leaves out; others keep their level."""
-    low = _hashed_unigrams(tokens.where(F.col("n") < least))
     for name in ("before", "word"):
         # what is not asked has no partner: it is spread by the other columns
         spread = F.coalesce(name, F.xxhash64("row", "pair"))
